@@ -40,12 +40,14 @@ SCORES = f"""s AS (SELECT {LINE_KEY} AS CoilID, l_quantity / 50.0 AS p,
   CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
 PRICES = f"""s AS (SELECT {LINE_KEY} AS CoilID, l_extendedprice / 110000.0 AS p,
   CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
+# Columns too large for six decimals in a double.
+COARSE = {"tie_term": 0, "u_defect": 1, "u_normal": 1}
 POSITION = "CAST(substr(feature, 2) AS INTEGER)"
 
 
 def out(parts, body, doubles=(), integers=(), texts=(), digits=6):
     """WITH parts SELECT the named columns of `body`, rounded and widened."""
-    columns = [f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"' for c in doubles]
+    columns = [f'round(CAST("{c}" AS DOUBLE), {COARSE.get(c, digits)}) + 0.0 AS "{c}"' for c in doubles]
     columns += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in integers]
     columns += [f'"{c}"' for c in texts]
     head = "WITH " + ", ".join(parts) + " " if parts else ""
@@ -80,7 +82,7 @@ c AS (SELECT *, coalesce(sum(n0) OVER (PARTITION BY feature ORDER BY value
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0 FROM d),
 u AS (SELECT feature, CAST(sum(n0) AS DOUBLE) AS n_normal, CAST(sum(n1) AS DOUBLE) AS n_defect,
     sum(CAST(n1 AS DOUBLE) * (b0 + n0 / 2.0)) AS u_defect,
-    sum(pow(CAST(n0 + n1 AS DOUBLE), 3) - (n0 + n1)) AS tie_term FROM c GROUP BY feature),
+    sum(CAST(n0 + n1 AS DOUBLE) * (n0 + n1) * (n0 + n1) - (n0 + n1)) AS tie_term FROM c GROUP BY feature),
 w AS (SELECT *, n_normal * n_defect - u_defect AS u_normal, n_normal + n_defect AS n FROM u),
 mw AS (SELECT *, (greatest(u_defect, u_normal) - n_normal * n_defect / 2 - 0.5)
     / sqrt(n_normal * n_defect / 12 * ((n + 1) - tie_term / (n * (n - 1)))) AS z FROM w)"""
@@ -128,12 +130,18 @@ risk AS (SELECT *, CASE WHEN highly_correlated_pairs > 3 THEN 'HIGH' WHEN highly
     THEN 'MEDIUM' ELSE 'LOW' END AS redundancy_risk FROM red)"""
 
 
+def bin_number(steps):
+    """Right-closed bin between the quantiles e[1]..e[steps + 1], counting each distinct inner edge once."""
+    return " + ".join(
+        f"CAST(e[{i + 1}] > e[{i}] AND e[{i + 1}] < e[{steps + 1}] AND value > e[{i + 1}] AS INTEGER)"
+        for i in range(1, steps)
+    )
+
+
 def bins(source="l"):
     """b(CoilID, Y, feature, bin): right-closed thirds, duplicate edges dropped."""
-    return f"""e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0, 1/3, 2/3, 1]))) AS edges
-    FROM {source} GROUP BY feature),
-b AS (SELECT CoilID, Y, feature, len(list_filter(edges[2:len(edges) - 1], x -> value > x)) AS bin
-    FROM {source} JOIN e USING (feature) WHERE len(edges) > 1)"""
+    return f"""ed AS (SELECT feature, quantile_cont(value, [0, 1/3, 2/3, 1]) AS e FROM {source} GROUP BY feature),
+b AS (SELECT CoilID, Y, feature, {bin_number(3)} AS bin FROM {source} JOIN ed USING (feature) WHERE e[4] > e[1])"""
 
 
 DENSITY = """pr AS (SELECT a.feature AS feature_1, z.feature AS feature_2, a.place AS p1, z.place AS p2
@@ -177,7 +185,7 @@ cu AS (SELECT *, sum(n1) OVER (ORDER BY p DESC) AS tp, sum(n0) OVER (ORDER BY p
 
 
 def sweep(points=101):
-    return f"""gr AS (SELECT CAST(i AS DOUBLE) / {points - 1} AS threshold FROM range(0, {points}) t(i)),
+    return f"""gr AS (SELECT CASE WHEN i = {points - 1} THEN 1.0 ELSE i * (CAST(1 AS DOUBLE) / {points - 1}) END AS threshold FROM range(0, {points}) t(i)),
 cn AS (SELECT p, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM s GROUP BY p),
 sw0 AS (SELECT threshold, sum(CASE WHEN p >= threshold THEN n1 ELSE 0 END) AS tp,
     sum(CASE WHEN p >= threshold THEN n0 ELSE 0 END) AS fp, sum(CASE WHEN p < threshold THEN n1 ELSE 0 END) AS fn,
@@ -329,8 +337,8 @@ def statements() -> dict[str, str]:
             (SELECT coalesce(sum(k - 1), 0) FROM (SELECT count(*) AS k FROM m GROUP BY {line_columns})) AS duplicates,
             min(variance) AS min_variance, max(variance) AS max_variance,
             quantile_cont(variance, 0.1) AS low_variance_cut FROM va""",
-        ["min_variance", "max_variance", "low_variance_cut"],
-        ["rows", "columns", "features", "missing_cells", "duplicates"], digits=4,
+        ["max_variance", "low_variance_cut"],
+        ["rows", "columns", "features", "missing_cells", "duplicates"], digits=2,
     )
     sql["duplicate_count"] = out(
         [],
@@ -853,10 +861,8 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
     deciles = "[" + ", ".join(f"{i}/10" for i in range(11)) + "]"
     sql["drift_report"] = out(
         [LINES, lin_long,
-         f"""ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {deciles}))) AS edges
-             FROM l WHERE Y = 0 GROUP BY feature),
-         bn AS (SELECT feature, Y, len(list_filter(edges[2:len(edges) - 1], x -> value > x)) AS bin
-             FROM l JOIN ed USING (feature)),
+         f"""ed AS (SELECT feature, quantile_cont(value, {deciles}) AS e FROM l WHERE Y = 0 GROUP BY feature),
+         bn AS (SELECT feature, Y, {bin_number(10)} AS bin FROM l JOIN ed USING (feature)),
          cb AS (SELECT feature, bin, count(*) FILTER (Y = 0) AS was, count(*) FILTER (Y = 1) AS now FROM bn GROUP BY 1, 2),
          sb AS (SELECT feature, greatest(was / sum(was) OVER (PARTITION BY feature), 1e-6) AS a,
              greatest(now / sum(now) OVER (PARTITION BY feature), 1e-6) AS c FROM cb),

@@ -1,8 +1,5 @@
 """Column helpers shared by the operators. All of them build expressions only."""
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +27,9 @@ def safe_divide(numerator: Column, denominator: Column) -> Column:
     return finite_or_zero(F.try_divide(numerator, denominator))
 
 
-def total(columns: list[Column]) -> Column:
-    """Sum over the given columns of one row, as one flat codegen expression."""
-    return functools.reduce(operator.add, columns)
+def total(terms: list[str]) -> Column:
+    """Sum of SQL terms over one row, as one flat codegen expression."""
+    return F.expr(" + ".join(terms))
 
 
 def long_form(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:

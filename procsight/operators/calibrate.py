@@ -134,6 +134,7 @@ def calibrated_oof_mixed(
     plain = ModelSpec(**{**spec.__dict__, "resample": None})
 
     def mix(model: Fitted, train: DataFrame, scored: DataFrame) -> DataFrame:
+        scored = scored.persist()
         half = scored.count() // 2
         placed = numbered(scored.withColumn("__all", F.lit(0)), ["__all"], [key], "__place", seed).drop("__all")
         first = placed.filter(F.col("__place") < half).drop("__place")

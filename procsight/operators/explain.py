@@ -23,10 +23,9 @@ def read_leaves(spark: SparkSession, model_path: str) -> list[tuple]:
     A row meets the leaf's conditions on a feature when low < x <= high.
     """
     nodes = spark.read.parquet(f"{model_path}/data").select("treeID", "nodeData.*").collect()
-    weights = {
-        row["treeID"]: row["weights"]
-        for row in spark.read.parquet(f"{model_path}/treesMetadata").collect()
-    }
+    # The names of these three columns differ between Spark versions, their order does not.
+    trees = spark.read.parquet(f"{model_path}/treesMetadata").toDF("tree", "metadata", "weight")
+    weights = {row["tree"]: row["weight"] for row in trees.collect()}
     table = {(n["treeID"], n["id"]): n for n in nodes}
     leaves = []
     for tree, weight in weights.items():

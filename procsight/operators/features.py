@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsight import LABEL
-from procsight.functions.columns import feature_columns, finite_or_zero, safe_divide, total
+from procsight.functions.columns import (
+    feature_columns,
+    finite_or_zero,
+    long_form,
+    safe_divide,
+    total,
+)
 from procsight.operators.quantiles import exact_quantiles
 
 # The feature choices of both sets.
@@ -52,21 +58,23 @@ def fit_statistics(
 ) -> TrainStatistics:
     """Means, population deviations (all rows and normal rows) and the regime quartiles."""
     features = features or feature_columns(train)
-    normal = F.col(label) == 0
-    sums = []
-    for c in features:
-        sums += [
-            F.avg(c).alias(f"mean_{c}"),
-            F.stddev_pop(c).alias(f"spread_{c}"),
-            F.avg(F.when(normal, F.col(c))).alias(f"normal_mean_{c}"),
-            F.stddev_pop(F.when(normal, F.col(c))).alias(f"normal_spread_{c}"),
-        ]
-    row = train.agg(*sums).first().asDict()
+    normal = F.when(F.col(label) == 0, F.col("value"))
+    fitted = (
+        long_form(train, features, [label])
+        .groupBy("feature")
+        .agg(
+            F.avg("value").alias("mean"),
+            F.stddev_pop("value").alias("spread"),
+            F.avg(normal).alias("normal_mean"),
+            F.stddev_pop(normal).alias("normal_spread"),
+        )
+        .collect()
+    )
     regime = [c for c in REGIME_FEATURES if c in features]
     quartiles = exact_quantiles(train, regime, [0.25, 0.75]) if regime else {}
 
     def scalars(name: str) -> dict[str, float]:
-        return {c: row[f"{name}_{c}"] for c in features}
+        return {row["feature"]: row[name] for row in fitted}
 
     return TrainStatistics(
         scalars("mean"),
@@ -92,12 +100,12 @@ def difference(pairs: list[tuple[str, str]], sign: str = "sub") -> dict[str, Col
 
 
 def row_mean(features: list[str]) -> Column:
-    return total([F.col(c) for c in features]) / len(features)
+    return total(features) / len(features)
 
 
-def row_std(features: list[str], mean: Column) -> Column:
-    """Population deviation across the features of one row."""
-    return F.sqrt(total([(F.col(c) - mean) * (F.col(c) - mean) for c in features]) / len(features))
+def row_std(features: list[str], mean: str) -> Column:
+    """Population deviation across the features of one row, given the name of their mean."""
+    return F.sqrt(total([f"({c} - {mean}) * ({c} - {mean})" for c in features]) / len(features))
 
 
 def row_instability(mean: Column, std: Column) -> Column:
@@ -107,7 +115,7 @@ def row_instability(mean: Column, std: Column) -> Column:
 def with_row_stats(df: DataFrame, features: list[str], extremes: bool = True) -> DataFrame:
     """row_mean and row_std, and row_max and row_min if asked for."""
     df = df.withColumn("row_mean", row_mean(features))
-    df = df.withColumn("row_std", row_std(features, F.col("row_mean")))
+    df = df.withColumn("row_std", row_std(features, "row_mean"))
     if extremes:
         columns = [F.col(c) for c in features]
         df = df.withColumns({"row_max": F.greatest(*columns), "row_min": F.least(*columns)})
@@ -124,7 +132,7 @@ def with_block_stats(df: DataFrame, features: list[str]) -> DataFrame:
     blocks = blocks_present(features)
     df = df.withColumns({f"{block}_mean": row_mean(names) for block, names in blocks.items()})
     return df.withColumns(
-        {f"{block}_std": row_std(names, F.col(f"{block}_mean")) for block, names in blocks.items()}
+        {f"{block}_std": row_std(names, f"{block}_mean") for block, names in blocks.items()}
     )
 
 
@@ -137,42 +145,44 @@ def block_divergence(features: list[str]) -> dict[str, Column]:
     }
 
 
+def literal(value: float | None) -> str:
+    """A double as SQL text; a statistic that does not exist is null."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"({float(value)!r}D)"
+
+
 def anomaly_distance(features: list[str], stats: TrainStatistics) -> Column:
     """Mean absolute standard score against the normal training rows."""
+    return _standard_scores(features, stats.normal_mean, stats.normal_spread, "{0}") / len(features)
+
+
+def _standard_scores(
+    features: list[str], mean: dict[str, float], spread: dict[str, float], term: str
+) -> Column:
+    """Sum of `term` over the absolute standard scores of the features."""
     scores = [
-        F.abs((F.col(c) - F.lit(stats.normal_mean[c])) / F.lit(stats.normal_spread[c] + EPSILON))
-        for c in features
+        f"abs(({c} - {literal(mean[c])}) / ({literal(spread[c])} + {literal(EPSILON)}))" for c in features
     ]
-    return total(scores) / len(features)
+    return total([term.format(score) for score in scores])
 
 
 def regime_anomaly(stats: TrainStatistics) -> Column:
     """Mean distance from the middle of the training quartiles, in quartile ranges."""
     terms = [
-        F.abs(F.col(c) - F.lit((low + high) / 2)) / F.lit(high - low + EPSILON)
+        f"abs({c} - {literal((low + high) / 2)}) / {literal(high - low + EPSILON)}"
         for c, (low, high) in stats.quartiles.items()
     ]
     return total(terms) / len(terms)
 
 
 def threshold_count(features: list[str], limits: dict[str, float] | None = None) -> Column:
+    """How many of the given limits are exceeded."""
     limits = limits or LIMITS
-    return total(
-        [F.lit(0)] + [(F.col(c) > F.lit(limit)).cast("int") for c, limit in limits.items() if c in features]
-    )
+    return total(["0", *[f"int({c} > {literal(v)})" for c, v in limits.items() if c in features]])
 
 
 def extreme_count(features: list[str], stats: TrainStatistics) -> Column:
     """How many features lie more than three deviations from the training mean."""
-    return total(
-        [
-            (
-                F.abs((F.col(c) - F.lit(stats.mean[c])) / F.lit(stats.spread[c] + EPSILON))
-                > F.lit(EXTREME)
-            ).cast("int")
-            for c in features
-        ]
-    )
+    return _standard_scores(features, stats.mean, stats.spread, f"int({{0}} > {literal(EXTREME)})")
 
 
 def secondary_mean(features: list[str]) -> Column:

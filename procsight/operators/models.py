@@ -55,6 +55,13 @@ PRESETS = {
         "hybrid", trees=250, depth=6, rate=0.04, rows=0.75, columns=0.75, weight=20.0, resample="smote"
     ),
 }
+# Columns that exist only between the stages of a model.
+MODEL_COLUMNS = {
+    "featuresCol": "__features",
+    "rawPredictionCol": "__margin",
+    "probabilityCol": "__probability",
+    "predictionCol": "__prediction",
+}
 BASELINES = ["boosted", "unbalanced", "forest"]
 STRATEGIES = ["weighted", "focal", "smote", "bagging", "hybrid"]
 
@@ -72,8 +79,8 @@ class Fitted:
         parts = []
         for i, model in enumerate(self.models):
             part = f"__p{i}"
-            df = model.transform(df).withColumn(part, vector_to_array("probability")[1])
-            df = df.drop("features", "rawPrediction", "probability", "prediction")
+            df = model.transform(df).withColumn(part, vector_to_array(MODEL_COLUMNS["probabilityCol"])[1])
+            df = df.drop(*MODEL_COLUMNS.values())
             parts.append(part)
         mean = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / len(parts)
         return df.withColumn(name, mean).drop(*parts)
@@ -85,7 +92,8 @@ def preset(name: str, **changes) -> ModelSpec:
 
 def _estimator(spec: ModelSpec, features: list[str], label: str, weighted: bool) -> Pipeline:
     common = dict(
-        featuresCol="features",
+        featuresCol=MODEL_COLUMNS["featuresCol"],
+        predictionCol=MODEL_COLUMNS["predictionCol"],
         labelCol=label,
         maxDepth=spec.depth,
         minInstancesPerNode=spec.least_leaf,
@@ -106,7 +114,9 @@ def _estimator(spec: ModelSpec, features: list[str], label: str, weighted: bool)
         trees = RandomForestClassifier(
             numTrees=spec.trees, subsamplingRate=spec.rows, featureSubsetStrategy=share, **common
         )
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    trees = trees.setRawPredictionCol(MODEL_COLUMNS["rawPredictionCol"])
+    trees = trees.setProbabilityCol(MODEL_COLUMNS["probabilityCol"])
+    assembler = VectorAssembler(inputCols=features, outputCol=MODEL_COLUMNS["featuresCol"])
     return Pipeline(stages=[assembler, trees])
 
 

@@ -64,7 +64,7 @@ def nearest_neighbours(
         )
         .collect()
     }
-    chunks = F.element_at(F.create_map(*[F.lit(v) for c, (m, _) in cells.items() for v in (c, m)]), "cell")
+    chunks = F.element_at(F.create_map(*[F.lit(v) for c, (m, _) in cells.items() for v in (c, m)]), F.col("cell"))
     chunked = placed.withColumn("chunk", F.pmod(hashed([key], seed + 1), chunks).cast("int"))
 
     def closest(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
@@ -120,10 +120,11 @@ def nearest_neighbours(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
     group = ["cell", "chunk", "part"]
+    # Both sides come from the same rows; fresh names keep their columns apart.
+    asking = queries.select(*group, key, "point").toDF(*group, key, "point")
     other = (
-        queries.select(*group, key, "point")
-        .groupBy(*group)
-        .cogroup(targets.select(*group, key, "point").groupBy(*group))
+        asking.groupBy(*group)
+        .cogroup(targets.select(*group, key, "point").toDF(*group, key, "point").groupBy(*group))
         .applyInPandas(lambda q, t: closest(q, t) if len(q) and len(t) else empty(key), found)
     )
     order = Window.partitionBy(key).orderBy("distance", "neighbour")

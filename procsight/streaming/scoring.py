@@ -29,7 +29,9 @@ def stream_monitor(
     Works on streaming frames, where windows close after the watermark, and on
     batch frames alike.
     """
-    framed = rows.withWatermark(time, late) if rows.isStreaming else rows
+    framed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    if rows.isStreaming:
+        framed = framed.withWatermark(time, late)
     counted = framed.groupBy(F.window(time, window).alias("span")).agg(
         F.count("*").alias("n"),
         F.sum(F.col(positive).cast("bigint")).alias("n_positive"),
