@@ -47,4 +47,5 @@ def feature_table(df: DataFrame, features: list[str]) -> DataFrame:
 
 def with_position(report: DataFrame, features: list[str]) -> DataFrame:
     """Add the schema position of `feature` to a report, to break ties the way a stable sort does."""
-    return report.join(F.broadcast(feature_table(report, features)), "feature")
+    names = F.array(*[F.lit(name) for name in features])
+    return report.withColumn("position", F.array_position(names, F.col("feature")).cast("int") - 1)

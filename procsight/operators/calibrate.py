@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
-from procsight.operators.models import Fitted, ModelSpec, fit, oof_predictions
+from procsight.operators.models import (
+    Fitted,
+    ModelSpec,
+    fit,
+    load_model,
+    oof_predictions,
+    save_model,
+)
 from procsight.operators.sampling import SEED, numbered, stratified_folds
 
 
@@ -72,6 +79,23 @@ class CalibratedEnsemble:
         mean = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / len(parts)
         return df.withColumn(name, mean).drop(*parts)
 
+    def save(self, path: str) -> None:
+        for i, (model, sigmoid) in enumerate(self.members):
+            save_model(model, f"{path}/member={i}/model")
+            sigmoid.write().overwrite().save(f"{path}/member={i}/sigmoid")
+
+    @classmethod
+    def load(cls, path: str, spec: ModelSpec, features: list[str], k: int = 5) -> "CalibratedEnsemble":
+        return cls(
+            [
+                (
+                    load_model(spec, features, f"{path}/member={i}/model"),
+                    PipelineModel.load(f"{path}/member={i}/sigmoid"),
+                )
+                for i in range(k)
+            ]
+        )
+
 
 def calibrate_cv(
     df: DataFrame,

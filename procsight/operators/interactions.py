@@ -161,16 +161,20 @@ def strongest_pairs(interactions: DataFrame, k: int) -> DataFrame:
     return best.select("feature_1", "feature_2", "pair_index", "interaction_strength")
 
 
-def conditional_regions(
-    df: DataFrame,
-    features: list[str],
-    label: str = LABEL,
-    high: float = HIGH_RISK,
-    low: float = LOW_RISK,
-    top: int = TOP_CONDITIONAL,
-) -> DataFrame:
+def ranked_density(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+    """The density map of all pairs of the 15 lowest-p features."""
+    return defect_density_map(df, pair_list(ranked_features(df, features, label, TOP_FEATURES)), label)
+
+
+def conditional_regions(df: DataFrame, features: list[str], label: str = LABEL, **cuts) -> DataFrame:
     """High- and low-risk cells of the strongest pairs; pairs with neither are left out."""
-    density = defect_density_map(df, pair_list(ranked_features(df, features, label, TOP_FEATURES)), label)
+    return conditional_cells(ranked_density(df, features, label), **cuts)
+
+
+def conditional_cells(
+    density: DataFrame, high: float = HIGH_RISK, low: float = LOW_RISK, top: int = TOP_CONDITIONAL
+) -> DataFrame:
+    """`conditional_regions` from a density map."""
     best = strongest_pairs(interaction_strength(density), top)
     cell = F.concat(
         F.lit("("), F.col("bin1").cast("string"), F.lit(","), F.col("bin2").cast("string"), F.lit(")")
@@ -231,16 +235,25 @@ def exclusive_regions(
     quantiles and compares the displayed intervals, so nearly every defect cell
     counts as exclusive.
     """
-    density = defect_density_map(df, pair_list(ranked_features(df, features, label, TOP_FEATURES)), label)
-    best = strongest_pairs(interaction_strength(density), top)
+    density = ranked_density(df, features, label)
     if edges == "shared":
-        alone = density.filter(F.col("n_defect") == F.col("n")).join(
-            F.broadcast(best), ["feature_1", "feature_2", "pair_index"]
-        )
-    elif edges == "per_class":
-        alone = _exclusive_intervals(df, best, label)
-    else:
-        raise ValueError(f"unknown edges: {edges}")
+        return exclusive_cells(density, top)
+    if edges == "per_class":
+        best = strongest_pairs(interaction_strength(density), top)
+        return _count_exclusive(_exclusive_intervals(df, best, label))
+    raise ValueError(f"unknown edges: {edges}")
+
+
+def exclusive_cells(density: DataFrame, top: int = TOP_EXCLUSIVE) -> DataFrame:
+    """`exclusive_regions` on shared edges from a density map."""
+    best = strongest_pairs(interaction_strength(density), top)
+    alone = density.filter(F.col("n_defect") == F.col("n")).join(
+        F.broadcast(best), ["feature_1", "feature_2", "pair_index"]
+    )
+    return _count_exclusive(alone)
+
+
+def _count_exclusive(alone: DataFrame) -> DataFrame:
     return (
         alone.groupBy("feature_1", "feature_2", "pair_index", "interaction_strength")
         .agg(F.count("*").alias("unstable_regions_found"))

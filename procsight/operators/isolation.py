@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from procsight import KEY, LABEL
 from procsight.operators.latent import standardize
 from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
-from procsight.operators.sampling import SEED, hash_sample
+from procsight.operators.sampling import SEED, hash_sample, hashed, unit
 
 TREES = 100
 SAMPLE = 256
+# Candidates per drawn row in a large table.
+SPARE = 3
 
 
 def expected_path(n: float) -> float:
@@ -53,6 +55,27 @@ def _grow(sample: pd.DataFrame, features: list[str], seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "length"])
 
 
+def _tree_samples(
+    rows: DataFrame, key: str, n: int, trees: int, sample: int, seed: int
+) -> DataFrame:
+    """`sample` rows per tree (all rows of a smaller table), without replacement in a tree.
+
+    In a large table a row rarely serves two trees, so a thin candidate set is
+    dealt out to the trees first; the exact draw then sees only the candidates.
+    """
+    sizes = rows.sparkSession.createDataFrame([(t, sample) for t in range(trees)], "tree int, size int")
+    rate = SPARE * sample * trees / n
+    if rate < 1:
+        thin = rows.filter(unit(hashed([key], seed + 1)) < rate).withColumn(
+            "tree", F.pmod(hashed([key], seed + 2), F.lit(trees)).cast("int")
+        )
+        least = thin.groupBy("tree").count().agg(F.count("*").alias("trees"), F.min("count").alias("n")).first()
+        if least["trees"] == trees and least["n"] >= sample:
+            return hash_sample(thin, ["tree"], [key, "tree"], sizes, seed)
+    every = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return hash_sample(every, ["tree"], [key, "tree"], sizes, seed)
+
+
 def isolation_scores(
     df: DataFrame,
     features: list[str],
@@ -65,15 +88,11 @@ def isolation_scores(
     """(key, label, score): 2^(-mean path / expected path), higher is more anomalous."""
     spark = df.sparkSession
     scaled = standardize(df.select(key, label, *features), features)
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    sizes = spark.createDataFrame([(t, sample) for t in range(trees)], "tree int, size int")
-    # The draw needs keys only; the chosen rows' measurements are joined afterwards.
-    drawn = hash_sample(
-        df.select(key, F.explode(numbers).alias("tree")), ["tree"], [key, "tree"], sizes, seed
-    )
-    members = scaled.join(F.broadcast(drawn), key).withColumn("__order", F.xxhash64(key, "tree"))
+    n = df.count()
+    members = _tree_samples(scaled.select(key, *features), key, n, trees, sample, seed)
     forest = (
-        members.select("tree", "__order", *features)
+        members.withColumn("__order", F.xxhash64(key, "tree"))
+        .select("tree", "__order", *features)
         .groupBy("tree")
         .applyInPandas(
             lambda rows: _grow(rows, features, seed),
@@ -81,7 +100,7 @@ def isolation_scores(
         )
         .toPandas()
     )
-    size = min(sample, df.count())
+    size = min(sample, n)
     shared = spark.sparkContext.broadcast(
         [part.sort_values("node") for _, part in forest.groupby("tree")]
     )

@@ -1,13 +1,17 @@
 """Scaling, clusters, principal components and operating regimes."""
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
+from procsight.functions.columns import long_form, total
+from procsight.operators.correlation import correlation_pairs
 from procsight.operators.quantiles import exact_quantiles
 from procsight.operators.sampling import SEED
 
@@ -41,13 +45,6 @@ def scale(df: DataFrame, features: list[str], method: str = "standard") -> DataF
     )
 
 
-def _scaled_stages(features: list[str]) -> list:
-    return [
-        VectorAssembler(inputCols=features, outputCol="__raw"),
-        StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
-    ]
-
-
 def defect_clusters(
     df: DataFrame,
     features: list[str],
@@ -60,23 +57,68 @@ def defect_clusters(
     n = defects.count()
     if n <= LEAST_DEFECTS:
         return df.sparkSession.createDataFrame([], "cluster int, n bigint, pct double")
-    means = KMeans(k=min(k, n), seed=seed, featuresCol="__scaled", predictionCol="cluster")
-    model = Pipeline(stages=[*_scaled_stages(features), means]).fit(defects)
-    sizes = model.transform(defects).groupBy("cluster").agg(F.count("*").alias("n"))
+    scaled = standardize(defects, features)
+    means = KMeans(k=min(k, n), seed=seed, featuresCol="__point", predictionCol="cluster")
+    points = VectorAssembler(inputCols=features, outputCol="__point")
+    model = Pipeline(stages=[points, means]).fit(scaled)
+    sizes = model.transform(scaled).groupBy("cluster").agg(F.count("*").alias("n"))
     return sizes.withColumn("pct", F.col("n") / n * 100).orderBy("cluster")
 
 
-def fit_pca(df: DataFrame, features: list[str], k: int | None = None):
-    """Scaling and principal components of the scaled features."""
-    components = PCA(k=k or len(features), inputCol="__scaled", outputCol="components")
-    return Pipeline(stages=[*_scaled_stages(features), components]).fit(df.select(*features))
+@dataclass
+class Components:
+    """Principal components of the scaled features; `loadings[i]` belongs to component i."""
+
+    features: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    ratios: np.ndarray
+    loadings: np.ndarray
+
+    def project(self, k: int) -> dict[str, Column]:
+        """pc1..pck as plain projections: a weighted sum of the features and a constant."""
+        weights = self.loadings[:k] / self.spread
+        columns = {}
+        for i, row in enumerate(weights):
+            terms = [f"{c} * ({float(w)!r}D)" for c, w in zip(self.features, row)]
+            columns[f"pc{i + 1}"] = total([*terms, f"({float(-(row @ self.mean))!r}D)"])
+        return columns
+
+
+def fit_pca(df: DataFrame, features: list[str]) -> Components:
+    """Components of the scaled features: the eigenvectors of their correlation matrix.
+
+    The matrix (p x p) is one distributed aggregation; only its decomposition
+    happens on the driver. A component's sign is chosen so that its largest
+    loading is positive. Constant features do not take part.
+    """
+    size = len(features)
+    marks = {
+        row["feature"]: row
+        for row in long_form(df, features, [])
+        .groupBy("feature")
+        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+        .collect()
+    }
+    mean = np.array([marks[c]["mean"] for c in features])
+    spread = np.array([marks[c]["spread"] for c in features])
+    matrix = np.diag((spread > 0).astype(float))
+    for row in correlation_pairs(df, features).filter(F.col("r").isNotNull()).collect():
+        matrix[row["position_1"], row["position_2"]] = row["r"]
+        matrix[row["position_2"], row["position_1"]] = row["r"]
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(values)[::-1]
+    values, loadings = np.clip(values[order], 0, None), vectors[:, order].T
+    largest = np.abs(loadings).argmax(axis=1)
+    loadings = loadings * np.sign(loadings[np.arange(size), largest])[:, None]
+    return Components(features, mean, np.where(spread > 0, spread, 1.0), values / values.sum(), loadings)
 
 
 def pca_profile(df: DataFrame, features: list[str]) -> DataFrame:
     """(component, variance_ratio, cumulative), one row per component, 1-based."""
-    ratios = fit_pca(df, features).stages[-1].explainedVariance.toArray()
-    rows = [(i + 1, float(r)) for i, r in enumerate(ratios)]
+    rows = [(i + 1, float(r)) for i, r in enumerate(fit_pca(df, features).ratios)]
     table = df.sparkSession.createDataFrame(rows, "component int, variance_ratio double")
+    # One row per feature.
     running = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
     return table.withColumn("cumulative", F.sum("variance_ratio").over(running))
 
@@ -96,16 +138,13 @@ def pca_project(
     df: DataFrame, features: list[str], k: int = 3, keep: tuple = (KEY, LABEL)
 ) -> DataFrame:
     """The kept columns and pc1..pck of every row."""
-    model = fit_pca(df, features, k)
-    values = vector_to_array("components")
-    return model.transform(df).select(*keep, *[values[i].alias(f"pc{i + 1}") for i in range(k)])
+    columns = fit_pca(df, features).project(k)
+    return df.select(*keep, *[column.alias(name) for name, column in columns.items()])
 
 
 def pca_features(df: DataFrame, features: list[str], k: int = 18) -> DataFrame:
     """The table with k component columns added."""
-    projected = fit_pca(df, features, k).transform(df)
-    values = vector_to_array("components")
-    return projected.select(*df.columns, *[values[i].alias(f"pc{i + 1}") for i in range(k)])
+    return df.withColumns(fit_pca(df, features).project(k))
 
 
 def assign_regimes(

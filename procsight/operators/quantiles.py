@@ -2,11 +2,11 @@
 
 `percentile` keeps one value->count map per group, which is right up to a few
 million rows. Beyond that the exact answer is found in narrowing passes: a
-mergeable sketch (`percentile_approx`) brackets each wanted rank, an exact count
-confirms the bracket, and only the rows inside it are looked at again. No pass
-shuffles more than the partial aggregates and the rows of the last, small
+sample brackets each wanted rank, an exact count over all rows confirms the
+bracket (or discards it), and only the rows inside it are looked at again. No
+pass shuffles more than the partial aggregates and the rows of the last, small
 bracket, and a value that holds a large part of the table resolves to a bracket
-of one value at once.
+of one value at once. The sample only decides how fast this ends, not the result.
 
 Results are bounded by features x groups x probabilities, so they are returned
 to the driver and used as literals in later plans.
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from procsight.functions.columns import long_form
 
 ROWS_FOR_DIRECT = 2_000_000
+SAMPLE_ROWS = 1_000_000
 GRID = 1000
-ACCURACY = 20_000
+# Five standard errors of a sample quantile, in grid steps, and one more for rounding.
+MARGIN = 4
+SEED = 42
 
 
 def exact_quantiles(
@@ -137,25 +140,31 @@ def _select_directly(values, groups, wanted):
 
 
 def _bracket(values, groups, sizes, wanted):
-    """Two sketch values around each wanted rank."""
+    """Two sample values around each wanted rank; None where a side stays open."""
+    types = dict(values.dtypes)
+    schema = ", ".join(f"{g} {types[g]}" for g in groups) + ", share double"
+    rows = [(*group, min(1.0, SAMPLE_ROWS / sizes[group])) for group in wanted]
+    shares = values.sparkSession.createDataFrame(rows, schema)
     grid = [i / GRID for i in range(GRID + 1)]
-    sketches = values.groupBy(*groups).agg(
-        F.percentile_approx("value", grid, ACCURACY).alias("marks"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-    )
-    # Two grid steps on either side exceed the sketch's rank error (1 / ACCURACY) many times.
-    brackets = {}
-    for row in sketches.collect():
+    sampled = values.join(F.broadcast(shares), groups).filter(F.rand(SEED) < F.col("share"))
+    marks = sampled.groupBy(*groups).agg(F.percentile_approx("value", grid, 10 * GRID).alias("marks"))
+    brackets = {(group, rank): (None, None) for group, ranks in wanted.items() for rank in ranks}
+    for row in marks.collect():
         group = tuple(row[g] for g in groups)
-        for rank in wanted.get(group, []):
+        for rank in wanted[group]:
             step = int(rank / sizes[group] * GRID)
-            low = row["marks"][step - 2] if step >= 2 else row["least"]
-            high = row["marks"][step + 3] if step + 3 <= GRID else row["most"]
+            low = row["marks"][step - MARGIN] if step >= MARGIN else None
+            high = row["marks"][step + 1 + MARGIN] if step + 1 + MARGIN <= GRID else None
             brackets[group, rank] = (low, high)
     return brackets
 
 
+def _reaches(span):
+    """Value at or above the span's lower end, and at or below its upper end."""
+    above = span["low"].isNull() | (F.col("value") >= span["low"])
+    return above, span["high"].isNull() | (F.col("value") <= span["high"])
+
+
 def _bracket_frame(values, groups, brackets):
     types = dict(values.dtypes)
     kind = types["value"]
@@ -178,9 +187,9 @@ def _count_brackets(values, groups, brackets):
     joined = values.join(F.broadcast(spans), groups)
     sums = []
     for i in range(widest):
-        span = F.try_element_at("spans", F.lit(i + 1))
-        sums.append(F.count_if(F.col("value") < span["low"]).alias(f"below_{i}"))
-        sums.append(F.count_if(F.col("value").between(span["low"], span["high"])).alias(f"inside_{i}"))
+        above, under = _reaches(F.try_element_at("spans", F.lit(i + 1)))
+        sums.append(F.count_if(~above).alias(f"below_{i}"))
+        sums.append(F.count_if(above & under).alias(f"inside_{i}"))
     counts = joined.groupBy(*groups, "spans").agg(*sums)
     result = {}
     for row in counts.collect():
@@ -193,11 +202,7 @@ def _count_brackets(values, groups, brackets):
 def _in_brackets(values, groups, brackets):
     """The rows inside each bracket, tagged with the rank the bracket belongs to."""
     spans = _bracket_frame(values, groups, brackets)
-    inside = F.filter(
-        "spans",
-        lambda s: (s["low"].isNull() | (F.col("value") >= s["low"]))
-        & (s["high"].isNull() | (F.col("value") <= s["high"])),
-    )
+    inside = F.filter("spans", lambda span: _reaches(span)[0] & _reaches(span)[1])
     return (
         values.join(F.broadcast(spans), groups)
         .select(*groups, "value", F.explode(inside).alias("span"))
