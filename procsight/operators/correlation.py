@@ -156,17 +156,22 @@ def feature_blocks(
         (row["feature_1"], row["feature_2"])
         for row in high_correlation_pairs(df, features, cut).collect()
     ]
+    rows = list(assign_blocks(pairs, merge=mode == "components").items())
+    return df.sparkSession.createDataFrame(rows, "feature string, block int")
+
+
+def assign_blocks(pairs: list[tuple[str, str]], merge: bool = False) -> dict[str, int]:
+    """Block number per feature from ordered pairs; with `merge`, meeting blocks become one."""
     block: dict[str, int] = {}
     for one, other in pairs:
         home = block.get(one, block.get(other, len(block)))
-        if mode == "components":
+        if merge:
             left = block.get(other, home)
             block = {f: home if b == left else b for f, b in block.items()}
         block[one] = block[other] = home
-    # Blocks are numbered in the order in which they were opened.
+    # Blocks are numbered in the order in which their features came up.
     number = {home: place for place, home in enumerate(dict.fromkeys(block.values()))}
-    rows = [(feature, number[home]) for feature, home in block.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, block int")
+    return {feature: number[home] for feature, home in block.items()}
 
 
 def process_stages(df: DataFrame, features: list[str]) -> DataFrame:

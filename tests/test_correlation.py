@@ -66,23 +66,16 @@ def test_blocks(spark):
     df = chain(spark)
     greedy = {r["feature"]: r["block"] for r in correlation.feature_blocks(df, FEATURES).collect()}
     assert "X5" not in greedy and set(greedy) == {"X1", "X2", "X3", "X4"}
-    # Later, weaker pairs pull single features over instead of merging the blocks.
-    blocks = {}
-    pairs = correlation.high_correlation_pairs(df, FEATURES).collect()
-    for row in pairs:
-        a, b = row["feature_1"], row["feature_2"]
-        if a in blocks:
-            blocks[b] = blocks[a]
-        elif b in blocks:
-            blocks[a] = blocks[b]
-        else:
-            blocks[a] = blocks[b] = f"{a}{b}"
-    same = lambda d: {(x, y) for x in d for y in d if d[x] == d[y]}
-    assert same(greedy) == same(blocks)
     joined = {r["feature"]: r["block"] for r in correlation.feature_blocks(df, FEATURES, mode="components").collect()}
     assert len(set(joined.values())) == 1
 
 
+def test_greedy_blocks_do_not_merge():
+    pairs = [("A", "B"), ("C", "D"), ("B", "C"), ("E", "D")]
+    assert correlation.assign_blocks(pairs) == {"A": 0, "B": 0, "C": 0, "D": 1, "E": 1}
+    assert set(correlation.assign_blocks(pairs, merge=True).values()) == {0}
+
+
 def test_redundancy(spark):
     report = {r["feature"]: r for r in correlation.redundancy(chain(spark), FEATURES).collect()}
     assert report["X1"]["highly_correlated_pairs"] == 3 and report["X1"]["redundancy_risk"] == "MEDIUM"
