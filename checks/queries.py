@@ -3,7 +3,6 @@
 Doubles are rounded and integers widened so that two engines can be compared.
 """
 
-import tempfile
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +26,7 @@ from procsight.operators.explain import (
     tree_attributions,
 )
 from procsight.operators.smote import hybrid_resample, nearest_neighbours, smote
+from procsight.session import shared_folder
 from procsight.sources import stand_ins as given
 from procsight.sources import tables
 from procsight.streaming.scoring import stream_monitor, stream_score
@@ -57,13 +57,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared folder; a local one only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/procsight-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="procsight-")
+    """A new folder inside the shared one."""
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def embeddings(spark, sf):

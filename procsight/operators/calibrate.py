@@ -17,6 +17,7 @@ from procsight.operators.models import (
     save_model,
 )
 from procsight.operators.sampling import SEED, numbered, stratified_folds
+from procsight.session import stored
 
 
 def platt_calibrate(scored: DataFrame, score: str, label: str = LABEL) -> PipelineModel:
@@ -107,13 +108,12 @@ def calibrate_cv(
     seed: int = SEED,
 ) -> CalibratedEnsemble:
     """Refit the base model on k-1 parts, fit the sigmoid on the remaining one, k times."""
-    folded = stratified_folds(df.select(key, *features, label), label, key, k, seed).persist()
+    folded = stored(stratified_folds(df.select(key, *features, label), label, key, k, seed))
     members = []
     for fold in range(k):
         model = fit(spec, folded.filter(F.col("fold") != fold), features, label, key)
         held = model.score(folded.filter(F.col("fold") == fold), "__base")
         members.append((model, platt_calibrate(held, "__base", label)))
-    folded.unpersist()
     return CalibratedEnsemble(members)
 
 
@@ -128,7 +128,7 @@ def calibrated_oof(
 ) -> DataFrame:
     """(key, label, fold, probability, probability_calibrated): each fold's scores are calibrated
     by the sigmoid fitted on the other folds' out-of-fold scores."""
-    scored = oof_predictions(df, features, spec, label, key, k, seed).persist()
+    scored = stored(oof_predictions(df, features, spec, label, key, k, seed))
     parts = []
     for fold in range(k):
         sigmoid = platt_calibrate(scored.filter(F.col("fold") != fold), "probability", label)
@@ -158,9 +158,11 @@ def calibrated_oof_mixed(
     plain = ModelSpec(**{**spec.__dict__, "resample": None})
 
     def mix(model: Fitted, train: DataFrame, scored: DataFrame) -> DataFrame:
-        scored = scored.persist()
+        scored = stored(scored)
         half = scored.count() // 2
-        placed = numbered(scored.withColumn("__all", F.lit(0)), ["__all"], [key], "__place", seed).drop("__all")
+        placed = stored(
+            numbered(scored.withColumn("__all", F.lit(0)), ["__all"], [key], "__place", seed).drop("__all")
+        )
         first = placed.filter(F.col("__place") < half).drop("__place")
         second = placed.filter(F.col("__place") >= half).drop("__place")
         ensemble = calibrate_cv(first, features, plain, label, key, inner, seed)

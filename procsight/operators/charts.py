@@ -246,20 +246,21 @@ def fingerprints(
 
 def threshold_chart(sweep: DataFrame) -> DataFrame:
     """The sweep with markers at the F1 and industrial optimum."""
-    best = sweep.agg(
-        F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("best_f1"),
-        F.max_by("threshold", F.struct("industrial_score", -F.col("threshold"))).alias("best_industrial"),
-    )
-    # One row.
-    marked = sweep.withColumn("one", F.lit(1)).join(F.broadcast(best.withColumn("one", F.lit(1))), "one")
-    return marked.select(
+    # The window runs over the rows of one sweep.
+    whole = Window.partitionBy()
+
+    def at_best(metric: str):
+        best = F.max_by("threshold", F.struct(F.col(metric), -F.col("threshold"))).over(whole)
+        return F.col("threshold") == best
+
+    return sweep.select(
         "threshold",
         "precision",
         "recall",
         "f1",
         "industrial_score",
-        (F.col("threshold") == F.col("best_f1")).alias("f1_optimum"),
-        (F.col("threshold") == F.col("best_industrial")).alias("industrial_optimum"),
+        at_best("f1").alias("f1_optimum"),
+        at_best("industrial_score").alias("industrial_optimum"),
     )
 
 

@@ -157,14 +157,12 @@ def dataset_profile(df: DataFrame, features: list[str], quantile: float = 0.10)
         F.max("variance").alias("max_variance"),
         F.percentile("variance", F.lit(quantile)).alias("low_variance_cut"),
     )
-    # Each side is a one-row aggregate; the join key is a constant.
-    one = F.lit(1).alias("one")
-    return (
-        shape.select("*", one)
-        .join(duplicate_count(df).select("*", one), "one")
-        .join(variances.select("*", one), "one")
-        .drop("one")
+    # Three one-row aggregates with different columns, folded into one row.
+    rows = shape.unionByName(duplicate_count(df), allowMissingColumns=True).unionByName(
+        variances, allowMissingColumns=True
     )
+    names = shape.columns + ["duplicates"] + variances.columns
+    return rows.agg(*[F.max(c).alias(c) for c in names])
 
 
 def class_filter(df: DataFrame, value: int, label: str = LABEL) -> DataFrame:

@@ -15,6 +15,7 @@ from procsight import KEY, LABEL
 from procsight.operators.latent import standardize
 from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
 from procsight.operators.sampling import SEED, hash_sample, hashed, unit
+from procsight.session import stored
 
 TREES = 100
 SAMPLE = 256
@@ -137,7 +138,7 @@ def isolation_forest(
     direct_rows: int = ROWS_FOR_DIRECT,
 ) -> DataFrame:
     """(key, label, score, anomaly): anomaly is -1 for scores above the cut, else 1."""
-    scored = isolation_scores(df, features, key, label, trees, sample, seed).persist()
+    scored = stored(isolation_scores(df, features, key, label, trees, sample, seed))
     cut = exact_quantiles(scored, ["score"], [1 - contamination], direct_rows=direct_rows)[("score",)][0]
     return scored.withColumn("anomaly", F.when(F.col("score") > cut, F.lit(-1)).otherwise(F.lit(1)))
 

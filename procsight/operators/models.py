@@ -20,6 +20,7 @@ from procsight.operators.sampling import (
     stratified_folds,
 )
 from procsight.operators.smote import smote
+from procsight.session import stored
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ def fit(
 ) -> Fitted:
     """Fit one spec: resample, weight, then train."""
     if spec.resample == "smote":
-        train = smote(train, features, label, key, seed=spec.seed)
+        train = stored(smote(train, features, label, key, seed=spec.seed))
     if spec.kind == "bagging":
         return fit_balanced_bagging(spec, train, features, label, key)
     if spec.weight is not None:
@@ -151,10 +152,9 @@ def fit_balanced_bagging(
 ) -> Fitted:
     """One forest per balanced bag; their probabilities are averaged."""
     # Every bag is a pass over the same drawn rows, which are small against the table.
-    drawn = balanced_bags(train.select(key, *features, label), label, key, spec.bags, spec.seed).persist()
+    drawn = stored(balanced_bags(train.select(key, *features, label), label, key, spec.bags, spec.seed))
     pipeline = _estimator(replace(spec, kind="forest"), features, label, False)
     models = [pipeline.fit(drawn.filter(F.col("bag") == bag)) for bag in range(spec.bags)]
-    drawn.unpersist()
     return Fitted(spec, features, models)
 
 
@@ -174,7 +174,7 @@ def oof_predictions(
     Resampling happens inside the fold, on its training rows only. `then` may
     rework the scored rows of a fold given the model and its training rows.
     """
-    folded = stratified_folds(df.select(key, *features, label), label, key, k, seed).persist()
+    folded = stored(stratified_folds(df.select(key, *features, label), label, key, k, seed))
     scored = []
     for fold in range(k):
         train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
@@ -199,9 +199,8 @@ def leaky_rows(
     Reproduces the published, inflated scores; do not use it to judge a model.
     """
     made = F.concat_ws("~", F.col("source").cast("string"), F.col("copy").cast("string"))
-    return smote(df, features, label, key, seed=seed).select(
-        F.coalesce(F.col(key).cast("string"), made).alias(key), *features, label
-    )
+    rows = stored(smote(df, features, label, key, seed=seed))
+    return rows.select(F.coalesce(F.col(key).cast("string"), made).alias(key), *features, label)
 
 
 def cross_validate(
@@ -221,7 +220,8 @@ def cross_validate(
         spec = replace(spec, resample=None)
     elif resample not in ("inside", "before"):
         raise ValueError(f"unknown resample mode: {resample}")
-    scored = oof_predictions(df, features, spec, label, key, k, spec.seed, train_scores)
+    # The metrics take several passes over the scores.
+    scored = stored(oof_predictions(df, features, spec, label, key, k, spec.seed, train_scores))
     measured = fold_metrics(scored, "probability", label, ["fold", "part"], threshold)
     return measured.select(F.lit(spec.name).alias("model"), "fold", "part", "metric", "value")
 
@@ -275,7 +275,8 @@ def permutation_importance(
     hash order; both orders are numbered without a global sort.
     """
     rows = df.select(key, *fitted.features, label).withColumn("__all", F.lit(0))
-    placed = numbered(rows, ["__all"], [key], "__place", seed).persist()
+    placed = numbered(rows, ["__all"], [key], "__place", seed)
+    placed = stored(placed)
     scored = None
     for feature in fitted.features:
         for repeat in range(repeats):

@@ -41,21 +41,16 @@ def range_borders(
 
 def with_ranges(df: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
     """Add an int column `<name>__range` per column: how many borders are at or below the value."""
-    split = {c: marks for c, marks in borders.items() if marks}
-    if split:
-        columns = list(split)
-        df = Bucketizer(
-            inputCols=columns,
-            outputCols=[f"{c}__range" for c in columns],
-            splitsArray=[[float("-inf"), *split[c], float("inf")] for c in columns],
-            handleInvalid="keep",
-        ).transform(df)
-    return df.withColumns(
-        {
-            f"{c}__range": F.col(f"{c}__range").cast("int") if c in split else F.lit(0)
-            for c in borders
-        }
-    )
+    columns = list(borders)
+    # Without borders the values fall on both sides of 0.
+    splits = [[float("-inf"), *(borders[c] or [0.0]), float("inf")] for c in columns]
+    placed = Bucketizer(
+        inputCols=columns,
+        outputCols=[f"{c}__range" for c in columns],
+        splitsArray=splits,
+        handleInvalid="keep",
+    ).transform(df)
+    return placed.withColumns({f"{c}__range": F.col(f"{c}__range").cast("int") for c in columns})
 
 
 def ranged_long_form(
@@ -96,29 +91,24 @@ def class_counts(values: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def range_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of each class in all lower ranges: at most MOST_RANGES rows per group."""
+    """Rows of each class in all lower ranges, and in the group: MOST_RANGES rows per group at most."""
     lower = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     totals = counts.groupBy(*by, "range").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     return totals.select(
         *by,
         "range",
         F.coalesce(F.sum("n0").over(lower), F.lit(0)).alias("offset0"),
         F.coalesce(F.sum("n1").over(lower), F.lit(0)).alias("offset1"),
+        F.sum("n0").over(whole).alias("total0"),
+        F.sum("n1").over(whole).alias("total1"),
     )
 
 
 def cumulative_counts(values: DataFrame, by: list[str], label: str) -> DataFrame:
     """`class_counts` with `below0`/`below1` over the whole group, and the group totals."""
     counts = class_counts(values, by, label)
-    offsets = range_offsets(counts, by)
-    sums = counts.groupBy(*by).agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"))
-    placed = counts.join(F.broadcast(offsets), [*by, "range"])
-    if by:
-        placed = placed.join(F.broadcast(sums), by)
-    else:
-        placed = placed.withColumn("one", F.lit(1)).join(
-            F.broadcast(sums.withColumn("one", F.lit(1))), "one"
-        )
+    placed = counts.join(F.broadcast(range_offsets(counts, by)), [*by, "range"])
     return placed.select(
         *by,
         "value",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
 from procsight.operators.sampling import SEED, class_weights, hashed, numbered, unit
-from procsight.session import checkpointed
+from procsight.session import stored
 
 MOST_PIVOTS = 256
 ROWS_PER_CHUNK = 4096
@@ -49,7 +49,7 @@ def nearest_neighbours(
         return pd.Series([np.sqrt(((pivots - row) ** 2).sum(axis=1)) for row in x])
 
     # The cells are used by every later step, so they are written once.
-    placed = checkpointed(
+    placed = stored(
         points.withColumn("to_pivots", pivot_distances("point"))
         .withColumn("cell", (F.array_position("to_pivots", F.array_min("to_pivots")) - 1).cast("int"))
         .withColumn("out", F.array_min("to_pivots"))

@@ -8,6 +8,7 @@ from procsight import KEY, LABEL
 from procsight.functions.columns import feature_columns
 from procsight.operators import charts, cleaning, correlation, interactions, isolation, latent
 from procsight.operators import univariate, windows
+from procsight.session import stored
 from procsight.sources.tables import write_cleaned, write_reports
 
 
@@ -38,7 +39,8 @@ def eda_reports(
     is read once (15 names).
     """
     ranked = univariate.ranked_features(train, features, label, interactions.TOP_FEATURES)
-    density = interactions.defect_density_map(train, interactions.pair_list(ranked), label).persist()
+    density = interactions.defect_density_map(train, interactions.pair_list(ranked), label)
+    density = stored(density)
     pairs = interactions.risk_score(interactions.interaction_strength(density))
     sliding = windows.operating_windows(train, ranked[: windows.TOP_FEATURES], label, key, top=None)
     return {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from procsight import KEY
 from procsight.operators import features as engineered, models, scoring
 from procsight.operators.calibrate import CalibratedEnsemble
+from procsight.session import stored
 from procsight.sources.tables import write_predictions
 
 
@@ -36,7 +37,7 @@ def run_scoring(
     rows: DataFrame, scorer: Scorer, folder: str, key: str = KEY, threshold: float = scoring.THRESHOLD
 ) -> dict[str, DataFrame]:
     """Predictions, detailed predictions and the summary, written and returned."""
-    scored = scorer(rows).persist()
+    scored = stored(scorer(rows))
     new = list(engineered.set2_registry())
     predictions = scoring.predictions_table(scored, key=key, threshold=threshold)
     tables = {
@@ -49,5 +50,4 @@ def run_scoring(
         ),
     }
     write_predictions(*tables.values(), folder)
-    scored.unpersist()
     return tables

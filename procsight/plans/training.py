@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from procsight import KEY, LABEL
 from procsight.operators import evaluate, features as engineered, models
 from procsight.operators.calibrate import CalibratedEnsemble, calibrate_cv, calibrated_oof
+from procsight.session import stored
 from procsight.sources.tables import write_reports
 
 
@@ -29,7 +30,7 @@ def run_baselines(
     specs = resized(models.BASELINES, trees)
     results = models.compare_models(train, features, specs, label, key, k=k, train_scores=True)
     fitted = [models.fit(spec, train, features, label, key) for spec in specs]
-    scored = models.oof_predictions(train, features, specs[0], label, key, k)
+    scored = stored(models.oof_predictions(train, features, specs[0], label, key, k))
     sweep = evaluate.threshold_sweep(scored, "probability", label, evaluate.threshold_grid(100))
     reports = {
         "model_comparison": evaluate.model_comparison(results.filter("part = 'test'")),
@@ -55,7 +56,8 @@ def run_strategies(
 ) -> dict[str, DataFrame]:
     """Feature set 1, the five imbalance strategies, and threshold curves of three of them."""
     stats = engineered.fit_statistics(train, features, label)
-    wide = engineered.features_set1(train, stats, features)
+    # Every fit below reads the engineered rows many times.
+    wide = stored(engineered.features_set1(train, stats, features))
     names = [*features, *engineered.set1_registry(features)]
     specs = resized(models.STRATEGIES, trees)
     results = models.compare_models(wide, names, specs, label, key, k=k, resample=resample)
@@ -88,10 +90,10 @@ def run_final(
     trees: int | None = None,
 ) -> Final:
     """Feature set 2, the hybrid model, its calibrated ensemble, and the out-of-fold threshold curve."""
-    wide = engineered.features_set2(train, features)
+    wide = stored(engineered.features_set2(train, features))
     names = [*features, *engineered.set2_registry()]
     spec = resized(["hybrid"], trees)[0]
-    scored = calibrated_oof(wide, names, spec, label, key, k)
+    scored = stored(calibrated_oof(wide, names, spec, label, key, k))
     sweep = evaluate.threshold_sweep(scored, "probability_calibrated", label)
     model = models.fit(spec, wide, names, label, key)
     calibrator = calibrate_cv(wide, names, replace(spec, resample=None), label, key, k)

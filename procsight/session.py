@@ -1,6 +1,7 @@
-"""Session helpers: a local session for tests, and the reliable checkpoint folder."""
+"""Session helpers: a local session for tests, and tables in the cluster's shared folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +22,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
-    local master, where driver and executors are one process, may fall back to
-    a folder of its own; anywhere else a missing setting is an error.
+    Only a local master, where driver and executors are one process, may fall
+    back to a folder of its own; anywhere else a missing setting is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="procsight-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = tempfile.mkdtemp(prefix="procsight-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    For rows that many later jobs use: the lineage ends here, a lost executor
+    costs a scan, and later jobs read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/procsight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
