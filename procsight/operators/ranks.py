@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 200_000
-MOST_RANGES = 4096
+MOST_RANGES = 8192
 SAMPLED_PER_RANGE = 1000
 SEED = 42
 

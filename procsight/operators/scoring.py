@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from procsight import KEY
 from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
 from procsight.operators.ranks import range_borders, with_ranges
+from procsight.operators.sampling import numbered
 
 # The production threshold and the triage bands.
 THRESHOLD = 0.25
@@ -43,10 +44,13 @@ def predictions_table(
 
 
 def with_sample_id(predictions: DataFrame, key: str = KEY) -> DataFrame:
-    """Add `sample_id` 0..n-1 in key order.
+    """Add `sample_id` 0..n-1 in key order (in hash order for keys that are not numbers).
 
-    Numeric keys are split into ranges first, so the numbering is not one task's work.
+    Keys are split into ranges first, so the numbering is not one task's work.
     """
+    if dict(predictions.dtypes)[key] == "string":
+        alike = predictions.withColumn("__all", F.lit(0))
+        return numbered(alike, ["__all"], [key], "sample_id").select("sample_id", *predictions.columns)
     placed = with_ranges(
         predictions.withColumn("__key", F.col(key).cast("double")),
         range_borders(predictions.select(F.col(key).cast("double").alias("__key")), ["__key"]),

@@ -21,7 +21,8 @@ from procsight.session import stored
 
 MOST_PIVOTS = 256
 ROWS_PER_CHUNK = 4096
-SLACK = 1e-9
+# Relative allowance for rounding in distances.
+SLACK = 1e-6
 
 
 def nearest_neighbours(
@@ -32,7 +33,11 @@ def nearest_neighbours(
     seed: int = SEED,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """(key, neighbour, place, distance): the k nearest other rows of each row, ties by key."""
+    """(key, neighbour, place, distance): the k nearest other rows of each row, ties by key.
+
+    A row with k copies in its own chunk takes those; which of many copies it gets
+    makes no difference, and looking further would compare all copies with each other.
+    """
     kind = dict(df.dtypes)[key]
     points = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("point"))
     n = points.count()
@@ -96,7 +101,10 @@ def nearest_neighbours(
     near = F.filter(
         reach,
         lambda c: F.col("bound").isNull()
-        | (F.element_at("to_pivots", c["cell"] + 1) - c["radius"] <= F.col("bound") * (1 + SLACK) + SLACK),
+        | (
+            (F.col("bound") > 0)
+            & (F.element_at("to_pivots", c["cell"] + 1) - c["radius"] <= F.col("bound") * (1 + SLACK))
+        ),
     )
     queries = (
         chunked.join(bounds, key, "left")

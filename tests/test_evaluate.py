@@ -158,6 +158,12 @@ def test_sample_ids_are_gapless(spark, sample, monkeypatch):
     assert [r["sample_id"] for r in found] == list(range(400))
 
 
+def test_sample_ids_of_text_keys(spark, sample):
+    predictions = scoring.predictions_table(sample[2], "p", "p").withColumn("CoilID", F.concat(F.lit("c"), "CoilID"))
+    found = scoring.with_sample_id(predictions).toPandas()
+    assert sorted(found.sample_id) == list(range(400))
+
+
 def test_summary_text(spark, sample):
     p = sample[0]
     rows = scoring.prediction_summary(scoring.predictions_table(sample[2], "p", "p")).collect()
