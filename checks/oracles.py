@@ -512,6 +512,20 @@ def statements() -> dict[str, str]:
     )
     risk = "SELECT *, 100 * max_defect_rate + 50 * interaction_strength AS risk_score FROM sc"
     sql["risk_score"] = out(scan_parts(EMBEDDINGS, WIDE), risk, ["risk_score"], [], ["feature_pair"])
+    sql["select_interaction_pairs"] = out(
+        [*scan_parts(EMBEDDINGS, WIDE), f"rk AS ({risk})",
+         """ch AS (SELECT feature_1, feature_2, row_number() OVER (ORDER BY risk_score DESC, p1, p2) AS place
+            FROM rk QUALIFY place <= 5)"""],
+        """SELECT a.CoilID, place, a.value * z.value AS product FROM ch
+           JOIN l a ON a.feature = feature_1 JOIN l z ON z.feature = feature_2 AND z.CoilID = a.CoilID""",
+        ["product"], ["CoilID", "place"],
+    )
+    sql["write_reports"] = out(
+        scan_parts(EMBEDDINGS, WIDE),
+        """SELECT unnest(['univariate', 'instability', 'redundancy']) AS report,
+           (SELECT count(DISTINCT feature) FROM l) AS n UNION ALL SELECT 'interactions', count(*) FROM sc""",
+        [], ["n"], ["report"],
+    )
     sql["interaction_chart"] = out(
         scan_parts(EMBEDDINGS, WIDE), f"SELECT * FROM sc {STRONG} LIMIT 10",
         ["interaction_strength"], [], ["feature_pair"],

@@ -231,9 +231,11 @@ def feature_registry(spark, sf):
 def select_interaction_pairs(spark, sf):
     scan = interactions.interaction_scan(embeddings(spark, sf), WIDE)
     pairs = interactions.select_interaction_pairs(scan, 5)
-    products = features.interaction_product(pairs)
+    products = features.interaction_product(pairs).values()
     df = embeddings(spark, sf)
-    return tidy(df.select(KEY, *[column.alias(name) for name, column in products.items()]))
+    # One row per pair, numbered from the highest risk down, as the chosen names depend on the data.
+    cells = [F.struct(F.lit(i + 1).alias("place"), v.alias("product")) for i, v in enumerate(products)]
+    return tidy(df.select(KEY, F.inline(F.array(*cells))))
 
 
 # --- folds and resampling --------------------------------------------------------------------
