@@ -2,14 +2,29 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procsight.llm import packing, simhash
-from procsight.llm.queries import tokenizer_path
+from procsight.llm import decontaminate, langid, packing, simhash, toxicity
+from procsight.llm.queries import table, tokenizer_path
 from procsight.llm.tables import kept
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labels, predicts toxic go."""
+    return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in none of the learned languages with some probability, go."""
+    return langid.with_language(docs, langid.learn(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id."""
-    return simhash.without_near_duplicates(docs).select(docs.columns)
+    return simhash.without_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +32,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), size=1024)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("packing", pack),
+]
 
-#: Models, compression of fingerprints and token ids have no SQL.
+#: Fitted models, fingerprints and token ids have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

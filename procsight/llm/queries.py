@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procsight.llm import counts, packing, simhash
+from procsight.llm import counts, decontaminate, html, langid, licenses, neighbours, packing, simhash, toxicity, urls
 from procsight.session import shared_folder
 
 #: File of the tokenizer that counts and packing use; it lies in the package of public tokenizers.
@@ -33,18 +33,118 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), cache, tokenizer_path(), limit=1024)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its significant passages."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.learn(pages))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document that gives a license."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+#: (host, path, verdict) of the URL query.
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the rules on every page's URL."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every 20th vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens, every window with the sources' shares of the corpus."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose passage it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_simhash_near_dedup,
     op2_token_counts,
+    op3_toxicity,
+    op4_html_extraction,
+    op5_license_scan,
+    op6_url_filters,
+    op7_nearest_neighbours,
     op8_packing,
+    op9_decontamination,
+    op10_language_id,
 ]
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_url_filters": """
+        WITH after AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM after),
+        places AS (
+            SELECT page_id,
+                translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+            FROM hosts
+        ),
+        rules(rule_host, rule_path, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ),
+        urls AS (SELECT DISTINCT host, path FROM places),
+        best AS (
+            SELECT host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                max_by(verdict, length(rule_host || rule_path)) AS verdict
+            FROM urls JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY host, path
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM places LEFT JOIN best USING (host, path)
+    """,
+    "op7_nearest_neighbours": """
+        WITH vectors AS (
+            SELECT vec_id, min(embedding) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                AND len([x FOR x IN embedding IF x <> 0]) > 0
+            GROUP BY vec_id
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 20 = 0
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

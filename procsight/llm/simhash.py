@@ -166,8 +166,17 @@ def near_duplicates(docs: DataFrame, budget: int = 2, key: str = "doc_id", text:
 
 
 def without_near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """`docs` with one row of each component: the one with the least doc_id."""
-    found = near_duplicates(docs, budget)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    rows = docs.join(keep, docs.doc_id.eqNullSafe(keep.keep_id), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """`docs` with one row of each component: the one with the least doc_id; rows with a null doc_id all stay.
+
+    Only the ids of rows that go, and of ids that come up repeatedly, are
+    joined with the documents; Spark broadcasts them if they are few.
+    """
+    found = near_duplicates(docs, budget).where("doc_id is not null")
+    per_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    odd = kept(
+        per_id.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("odd_id"), (F.col("doc_id") == F.col("component_id")).alias("stays")),
+        "odd",
+    )
+    rest = docs.join(odd.select("odd_id"), docs.doc_id == F.col("odd_id"), "left_anti")
+    again = docs.join(odd.where("stays").select("odd_id"), docs.doc_id == F.col("odd_id"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.union(again)

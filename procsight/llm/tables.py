@@ -1,7 +1,11 @@
 """Intermediate tables in the cluster's shared folder, and the columns that operators read."""
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,17 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(F.lit("bounded"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of `docs` whose texts `keep` marks, with all their columns: no join, nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def filtered(batches):
+        for batch in batches:
+            # Pieces of some hundred rows, as texts can be long.
+            for k in range(0, len(batch), 500):
+                some = batch.slice(k, 500)
+                yield some.filter(pa.array(keep(pc.fill_null(some.column(at), "").cast(pa.binary()))))
+
+    return docs.mapInArrow(filtered, docs.schema)
