@@ -15,8 +15,8 @@ EMBEDDINGS = (
     + ", CAST(label = 0 AS INTEGER) AS Y FROM embeddings)"
 )
 LINE_KEY = (
-    "(((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 4096"
-    " + date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)))"
+    "(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'"
+    " || strftime(CAST(l_shipdate AS DATE), '%Y%m%d'))"
 )
 LINES = f"""m AS (
   SELECT {LINE_KEY} AS CoilID, l_quantity AS X1, l_extendedprice AS X2, l_discount AS X3, l_tax AS X4,
@@ -28,6 +28,7 @@ DOCUMENTS = """m AS (
   SELECT doc_id AS CoilID, CAST(n_chars AS DOUBLE) AS X1, CAST(length(text) AS DOUBLE) AS X2,
          CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS X3, toxic AS Y
   FROM documents JOIN labels USING (doc_id))"""
+LENGTHS = DOCUMENTS.replace(", toxic AS Y", "").replace(" JOIN labels USING (doc_id)", "")
 LOST = {c: f"CASE WHEN abs({c}) <= 0.25 THEN {c} END" for c in ("X8", "X10", "X15", "X16")}
 LOST["X42"] = "CASE WHEN X42 >= -0.2 THEN X42 END"
 GAPS = (
@@ -163,6 +164,8 @@ def scan_parts(source, names, k=15):
     return [source, long(names), RANKS, top(k), bins(), DENSITY, STRENGTH]
 
 
+# The order of text keys.
+TEXT_ORDER = "CAST('0x' || substr(md5(CoilID), 1, 15) AS BIGINT)"
 WINDOWS = """rn AS (SELECT feature, value, Y, row_number() OVER (PARTITION BY feature ORDER BY value, CoilID) - 1 AS r
     FROM l JOIN top USING (feature)),
 sz AS (SELECT feature, count(*) AS n, greatest(30, count(*) // 10) AS size FROM rn GROUP BY feature),
@@ -204,7 +207,7 @@ PREDICTIONS = """pt AS (SELECT CoilID, p * p AS probability_raw, p AS probabilit
     0.25 AS threshold FROM s)"""
 FOLD_RESULTS = """fr AS (SELECT l_returnflag AS model, l_linenumber AS fold, avg(l_quantity / 50) AS roc_auc,
     avg(l_discount * 10) AS f1, avg(l_tax * 10) AS precision, avg(CAST(l_linestatus = 'O' AS DOUBLE)) AS recall,
-    avg(l_extendedprice / 110000) AS accuracy FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL)"""
+    avg(l_extendedprice / 110000) AS accuracy FROM lineitem GROUP BY ALL)"""
 METRICS = ["roc_auc", "f1", "precision", "recall", "accuracy"]
 
 
@@ -343,7 +346,7 @@ def statements() -> dict[str, str]:
     sql["duplicate_count"] = out(
         [],
         """SELECT coalesce(sum(k - 1), 0) AS duplicates
-           FROM (SELECT count(*) AS k FROM documents GROUP BY lang, source, n_chars)""",
+           FROM (SELECT count(*) AS k FROM documents GROUP BY doc_id, text, lang, source, n_chars)""",
         [], ["duplicates"],
     )
     sql["low_variance_features"] = out(
@@ -445,25 +448,22 @@ def statements() -> dict[str, str]:
             f"SELECT '{c}', '{c}', 1.0" for c in names
         ) + ")"
 
+    def class_matrix(names, pairs="pairs"):
+        return (
+            f"cm AS (SELECT Y, feature_1, feature_2, r FROM {pairs} UNION ALL SELECT Y, feature_2, feature_1, r FROM {pairs}"
+            + "".join(f" UNION ALL SELECT DISTINCT Y, '{c}', '{c}', 1.0 FROM m" for c in names) + ")"
+        )
+
     for name, source in (("correlation_matrix", EMBEDDINGS), ("correlation_matrix_gaps", GAPS)):
         sql[name] = out(
             [source, pearson(WIDE), whole_matrix(WIDE)], "SELECT * FROM mx", ["r"], [], ["feature_1", "feature_2"]
         )
     sql["correlation_by_class"] = out(
-        [LINES, pearson(SCALE, True)], "SELECT * FROM pairs", ["r"], ["Y"], ["feature_1", "feature_2"]
+        [LINES, pearson(SCALE, True), class_matrix(SCALE)], "SELECT * FROM cm", ["r"], ["Y"], ["feature_1", "feature_2"]
     )
     docs = ["X1", "X2", "X3"]
     sql["high_correlation_pairs"] = out(
-        [DOCUMENTS, pearson(docs)], "SELECT * FROM pairs WHERE abs(r) > 0.8", ["r"], [], ["feature_1", "feature_2"]
-    )
-    stage = f"""CASE WHEN {POSITION} <= 12 THEN 'Furnace' WHEN {POSITION} <= 24 THEN 'Rolling'
-      WHEN {POSITION} <= 36 THEN 'Cooling' WHEN {POSITION} <= 42 THEN 'Control' ELSE 'Other' END AS stage"""
-    features = f"(SELECT DISTINCT feature FROM l)"
-    sql["process_stages"] = out(
-        [EMBEDDINGS, emb_long], f"SELECT feature, {stage} FROM {features}", [], [], ["feature", "stage"]
-    )
-    sql["stage_sizes"] = out(
-        [EMBEDDINGS, emb_long], f"SELECT {stage}, count(*) AS n FROM {features} GROUP BY 1", [], ["n"], ["stage"]
+        [LENGTHS, pearson(docs)], "SELECT * FROM pairs WHERE abs(r) > 0.8", ["r"], [], ["feature_1", "feature_2"]
     )
     sql["redundancy"] = out(
         [LINES, pearson(SCALE), BOTH, REDUNDANCY], "SELECT * FROM risk",
@@ -474,27 +474,29 @@ def statements() -> dict[str, str]:
         "SELECT redundancy_risk, count(*) AS n FROM risk GROUP BY 1", [], ["n"], ["redundancy_risk"],
     )
     sql["correlation_breakdowns"] = out(
-        [EMBEDDINGS, pearson(WIDE, True)],
+        [EMBEDDINGS, emb_long,
+         f"""nu AS (SELECT *, {POSITION} AS place FROM l),
+         pairs AS (SELECT a.Y, a.feature AS feature_1, z.feature AS feature_2, a.place AS i, z.place AS j,
+             corr(a.value, z.value) AS r
+           FROM nu a JOIN nu z ON a.CoilID = z.CoilID AND a.place < z.place GROUP BY ALL)"""],
         """SELECT a.feature_1, a.feature_2, a.r AS normal_correlation, d.r AS defect_correlation,
            abs(a.r - d.r) AS correlation_change FROM pairs a JOIN pairs d
            ON a.i = d.i AND a.j = d.j AND a.Y = 0 AND d.Y = 1 WHERE abs(a.r - d.r) > 0.3""",
         ["normal_correlation", "defect_correlation", "correlation_change"], [], ["feature_1", "feature_2"],
     )
     sql["heatmap_long"] = out(
-        [LINES, pearson(SCALE), whole_matrix(SCALE), pearson(SCALE, True).replace("pairs AS", "cpairs AS", 1)],
+        [LINES, pearson(SCALE), whole_matrix(SCALE), pearson(SCALE, True).replace("pairs AS", "cpairs AS", 1),
+         class_matrix(SCALE, "cpairs")],
         """SELECT 'overall' AS scope, feature_1, feature_2, r FROM mx UNION ALL
-           SELECT CASE WHEN Y = 0 THEN 'normal' ELSE 'defect' END, feature_1, feature_2, r FROM cpairs""",
+           SELECT CASE WHEN Y = 0 THEN 'normal' ELSE 'defect' END, feature_1, feature_2, r FROM cm""",
         ["r"], [], ["scope", "feature_1", "feature_2"],
     )
 
     # interactions and windows
     sql["quantile_bins"] = out(
-        [LINES, long(["X1", "X2", "X3"]), bins(),
-         "pv AS (SELECT CoilID, max(bin) FILTER (feature = 'X1') AS X1_bin, "
-         "max(bin) FILTER (feature = 'X2') AS X2_bin, max(bin) FILTER (feature = 'X3') AS X3_bin "
-         "FROM b GROUP BY CoilID)"],
-        "SELECT X1_bin, X2_bin, X3_bin, count(*) AS n FROM pv GROUP BY ALL",
-        [], ["X1_bin", "X2_bin", "X3_bin", "n"],
+        [LINES, lin_long, bins()],
+        "SELECT feature, bin, count(*) AS n FROM b GROUP BY ALL",
+        [], ["bin", "n"], ["feature"],
     )
     every = f"top AS (SELECT DISTINCT feature, {POSITION} AS place FROM l)"
     sql["defect_density_map"] = out(
@@ -537,16 +539,29 @@ def statements() -> dict[str, str]:
 
     sql["conditional_regions"] = out(
         [*scan_parts(EMBEDDINGS, WIDE), f"best AS (SELECT * FROM sc {STRONG} LIMIT 20)"],
-        f"""SELECT feature_pair, substr('[' || hi || ']', 1, 50) AS high_risk_regions,
-            substr('[' || lo || ']', 1, 50) AS low_risk_regions,
+        f"""SELECT feature_pair, '[' || hi || ']' AS high_risk_regions,
+            '[' || lo || ']' AS low_risk_regions,
             CASE WHEN hi <> '' AND lo <> '' THEN 'YES' ELSE 'PARTIAL' END AS conditional_behavior
             FROM (SELECT feature_pair, {cells('rate > 0.15')} AS hi, {cells('rate < 0.03')} AS lo
                   FROM den JOIN best USING (feature_1, feature_2) GROUP BY feature_pair)
             WHERE hi <> '' OR lo <> ''""",
         [], [], ["feature_pair", "high_risk_regions", "low_risk_regions", "conditional_behavior"],
     )
+    taxed = LINES.replace("l_returnflag = 'R' AND l_discount >= 0.09", "l_discount >= 0.08 AND l_tax >= 0.06")
+    own_bins = f"""ec AS (SELECT feature, Y, quantile_cont(value, [0, 1/3, 2/3, 1]) AS e FROM l GROUP BY feature, Y),
+      eb AS (SELECT CoilID, feature, Y, {bin_number(3)} AS bin, list_sort(list_distinct(e)) AS d FROM l JOIN ec USING (feature, Y)),
+      es AS (SELECT CoilID, feature, Y, round(d[bin + 1], 3) AS low, round(d[bin + 2], 3) AS high FROM eb),
+      cl AS (SELECT DISTINCT feature_pair, a.Y, a.low AS l1, a.high AS h1, z.low AS l2, z.high AS h2
+        FROM best JOIN es a ON a.feature = feature_1 JOIN es z ON z.feature = feature_2 AND z.CoilID = a.CoilID)"""
+    sql["exclusive_regions_per_class"] = out(
+        [*scan_parts(EMBEDDINGS, WIDE), f"best AS (SELECT * FROM sc {STRONG} LIMIT 10)", own_bins],
+        """SELECT feature_pair, count(*) AS unstable_regions_found, 'DEFECT_EXCLUSIVE' AS instability_type
+           FROM cl d WHERE Y = 1 AND NOT EXISTS (SELECT 1 FROM cl c WHERE c.Y = 0 AND c.feature_pair = d.feature_pair
+             AND c.l1 = d.l1 AND c.h1 = d.h1 AND c.l2 = d.l2 AND c.h2 = d.h2) GROUP BY feature_pair""",
+        [], ["unstable_regions_found"], ["feature_pair", "instability_type"],
+    )
     sql["exclusive_regions"] = out(
-        [*scan_parts(EMBEDDINGS, WIDE), f"best AS (SELECT * FROM sc {STRONG} LIMIT 10)"],
+        [*scan_parts(taxed, ["X1", "X2", "X3", "X4"]), f"best AS (SELECT * FROM sc {STRONG} LIMIT 10)"],
         """SELECT feature_pair, count(*) AS unstable_regions_found, 'DEFECT_EXCLUSIVE' AS instability_type
            FROM den JOIN best USING (feature_1, feature_2) WHERE n = n_defect GROUP BY feature_pair""",
         [], ["unstable_regions_found"], ["feature_pair", "instability_type"],
@@ -556,7 +571,8 @@ def statements() -> dict[str, str]:
         ("operating_windows", EMBEDDINGS, WIDE), ("operating_windows_lineitem", LINES, SCALE)
     ):
         sql[name] = out(
-            [source, long(names), RANKS, top(5), WINDOWS], "SELECT * FROM ow",
+            [source, long(names), RANKS, top(5), WINDOWS if source is EMBEDDINGS else WINDOWS.replace("CoilID", TEXT_ORDER)],
+            "SELECT * FROM ow",
             ["defect_rate", "boundary"], window_ints, ["feature"],
         )
     critical = [EMBEDDINGS, emb_long, RANKS, top(5), WINDOWS, CRITICAL]
@@ -577,10 +593,10 @@ def statements() -> dict[str, str]:
         picks = ", ".join(f"({c} - c_{c}) / w_{c} AS {c}" for c in names)
         return out([EMBEDDINGS, marks], f"SELECT CoilID, {picks} FROM m, ts", names, ["CoilID"])
 
-    sql["standardize"] = scaled(docs, "avg({0})", "stddev_pop({0})")
-    sql["scale_minmax"] = scaled(["X1", "X2"], "min({0})", "max({0}) - min({0})")
+    sql["standardize"] = scaled(WIDE, "avg({0})", "stddev_pop({0})")
+    sql["scale_minmax"] = scaled(WIDE, "min({0})", "max({0}) - min({0})")
     sql["scale_robust"] = scaled(
-        ["X1", "X2"], "median({0})", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"
+        WIDE, "median({0})", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"
     )
 
     # engineered features
@@ -676,12 +692,6 @@ def statements() -> dict[str, str]:
         "SELECT Y, r % 5 AS fold, count(*) AS n, count(*) AS keys FROM nu GROUP BY 1, 2",
         [], ["Y", "fold", "n", "keys"],
     )
-    kinds = list(fe.set1_registry(WIDE).values())
-    sql["feature_registry"] = out(
-        [],
-        " UNION ALL ".join(f"SELECT '{k}' AS type, {kinds.count(k)} AS n" for k in dict.fromkeys(kinds)),
-        [], ["n"], ["type"],
-    )
 
     # evaluation
     sql["model_comparison"] = summary("stddev_pop")
@@ -788,9 +798,9 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
         ["probability_calibrated", "confidence"], ["n"],
     )
     sql["predictions_table"] = out(
-        [SCORES, PREDICTIONS], "SELECT *, row_number() OVER (ORDER BY CoilID) - 1 AS sample_id FROM pt",
+        [SCORES, PREDICTIONS], "SELECT *, row_number() OVER (ORDER BY " + TEXT_ORDER + ", CoilID) - 1 AS sample_id FROM pt",
         ["probability_raw", "probability_calibrated", "confidence", "threshold"],
-        ["sample_id", "CoilID", "prediction"],
+        ["sample_id", "prediction"], ["CoilID"],
     )
     four = "printf('%.4f', round({0}, 4))"
     share = "printf('%.2f%%', round(100.0 * {0} / n, 2))"
@@ -822,7 +832,7 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
         [], ["n"], ["band"],
     )
     sql["defects_only"] = out(
-        [SCORES, PREDICTIONS], "SELECT * FROM pt WHERE prediction = 1", ["probability_calibrated"], ["CoilID"]
+        [SCORES, PREDICTIONS], "SELECT * FROM pt WHERE prediction = 1", ["probability_calibrated"], [], ["CoilID"]
     )
 
     # charts
@@ -843,8 +853,7 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
     )
     sql["fingerprints"] = out(
         [EMBEDDINGS,
-         "fr AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY Y ORDER BY CoilID) <= 20)",
-         long(WIDE, "fr"),
+         long(WIDE),
          "fs AS (SELECT Y, feature, avg(value) AS mean, stddev_samp(value) AS std FROM l GROUP BY Y, feature)"],
         "SELECT *, mean - std AS band_low, mean + std AS band_high FROM fs",
         ["mean", "std", "band_low", "band_high"], ["Y"], ["feature"],
@@ -870,7 +879,7 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
         [],
         f"""SELECT {LINE_KEY} AS CoilID, stddev_samp(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY {LINE_KEY}
             ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS "X1_rolling_std" FROM lineitem""",
-        ["X1_rolling_std"], ["CoilID"],
+        ["X1_rolling_std"], [], ["CoilID"],
     )
     deciles = "[" + ", ".join(f"{i}/10" for i in range(11)) + "]"
     sql["drift_report"] = out(

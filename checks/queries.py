@@ -35,7 +35,7 @@ WIDE, SCALE = given.WIDE, given.SCALE
 DOCS = ["X1", "X2", "X3"]
 # Small ensembles: these queries check the flow, not the published tree counts.
 TREES = {"trees": 5}
-FOLDS = 3
+FOLDS = 5
 
 
 # Columns too large for six decimals in a double.
@@ -148,7 +148,7 @@ def class_filter(spark, sf):
 
 
 def duplicate_count(spark, sf):
-    return cleaning.duplicate_count(given.table(spark, sf, "documents").select("lang", "source", "n_chars"))
+    return cleaning.duplicate_count(given.table(spark, sf, "documents"))
 
 
 def impute_mean(spark, sf):
@@ -174,8 +174,9 @@ def drop_sparse_columns(spark, sf):
 
 
 def quantile_bins(spark, sf):
-    binned = interactions.quantile_bins(lines(spark, sf), ["X1", "X2", "X3"])
-    return tidy(binned.groupBy("X1_bin", "X2_bin", "X3_bin").agg(F.count("*").alias("n")))
+    binned = interactions.quantile_bins(lines(spark, sf), SCALE)
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_bin").alias("bin")) for c in SCALE]
+    return tidy(binned.select(F.inline(F.array(*cells))).groupBy("feature", "bin").agg(F.count("*").alias("n")))
 
 
 def defect_density_map(df):
@@ -220,14 +221,6 @@ def set2(names):
     return run
 
 
-def feature_registry(spark, sf):
-    out = features.features_set1(
-        embeddings(spark, sf), features.fit_statistics(embeddings(spark, sf), WIDE), WIDE
-    )
-    registry = {c: k for c, k in features.set1_registry(WIDE).items() if c in out.columns}
-    return tidy(features.feature_type_counts(features.feature_registry(out, registry)))
-
-
 def select_interaction_pairs(spark, sf):
     scan = interactions.interaction_scan(embeddings(spark, sf), WIDE)
     pairs = interactions.select_interaction_pairs(scan, 5)
@@ -270,7 +263,7 @@ def neighbours(spark, sf):
 
 
 def balanced_bags(spark, sf):
-    bags = sampling.balanced_bags(lines(spark, sf), bags=3)
+    bags = sampling.balanced_bags(lines(spark, sf), bags=10)
     return tidy(bags.groupBy("bag", LABEL).agg(F.count("*").alias("n")))
 
 
@@ -287,6 +280,16 @@ def scored_by(name, **changes):
     return run
 
 
+def published(name):
+    """Scores of a model with the published settings."""
+
+    def run(spark, sf):
+        df = embeddings(spark, sf)
+        return tidy(models.fit(models.preset(name), df, WIDE).score(df).select(KEY, LABEL, "probability_raw"))
+
+    return run
+
+
 def cross_validate(spark, sf):
     return tidy(
         models.cross_validate(
@@ -368,7 +371,7 @@ def oof_mixed(spark, sf):
 def permutation(spark, sf):
     df = given.measurements_documents(spark, sf)
     fitted = models.fit(models.preset("forest", trees=5, depth=5), df, DOCS)
-    return tidy(models.permutation_importance(fitted, df, repeats=2))
+    return tidy(models.permutation_importance(fitted, df, repeats=10))
 
 
 def soft_vote(spark, sf):
@@ -454,7 +457,7 @@ def regimes(spark, sf):
 
 
 def flagged(spark, sf):
-    return isolation.isolation_forest(lines(spark, sf), SCALE, trees=25)
+    return isolation.isolation_forest(lines(spark, sf), SCALE)
 
 
 # --- drift, streaming ------------------------------------------------------------------------
@@ -481,36 +484,45 @@ def stream_events(spark, sf, as_stream=True):
 
 
 def monitor(spark, sf):
-    """The monitor over `events` read as a stream, every window emitted in complete mode."""
-    name = f"monitor_{uuid.uuid4().hex}"
+    """The monitor over `events` read as a stream: each batch appends the windows that changed to a table of files.
+
+    Of a window the last batch counts. The watermark drops windows that are past.
+    """
+    folder = scratch(spark)
+
+    def append(changed, batch):
+        changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/windows")
+
     query = (
         stream_monitor(stream_events(spark, sf), "ts", "flag", "value", "1 hour")
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
+        .writeStream.foreachBatch(append)
+        .option("checkpointLocation", f"{folder}/state")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    counted = spark.table(name)
+    written = spark.read.parquet(f"{folder}/windows")
+    last = written.groupBy("window_start").agg(F.max("batch").alias("batch"))
+    counted = written.join(last, ["window_start", "batch"])
     epoch = F.unix_timestamp("window_start").alias("window_start")
     return tidy(counted.select(epoch, "n", "n_positive", "positive_rate", "mean_value"))
 
 
 def streamed_scores(spark, sf):
     """Decisions on `events` read as a stream."""
-    name = f"scores_{uuid.uuid4().hex}"
+    folder = scratch(spark)
     highest = given.table(spark, sf, "events").agg(F.max("value").alias("v")).first()["v"]
     rows = stream_events(spark, sf).select("event_id", "value")
     query = (
         stream_score(rows, lambda df: df.withColumn("probability_calibrated", F.col("value") / highest))
-        .writeStream.format("memory")
-        .queryName(name)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
-        .start()
+        .start(f"{folder}/scores")
     )
     query.awaitTermination()
-    return tidy(spark.table(name))
+    return tidy(spark.read.parquet(f"{folder}/scores"))
 
 
 def registered() -> dict:
@@ -554,13 +566,11 @@ def registered() -> dict:
         ),
         "correlation_by_class": _on(lines, lambda df: correlation.correlation_by_class(df, SCALE)),
         "high_correlation_pairs": _on(
-            given.measurements_documents, lambda df: correlation.high_correlation_pairs(df, DOCS)
+            given.document_lengths, lambda df: correlation.high_correlation_pairs(df, DOCS)
         ),
         "feature_blocks": _on(
-            given.measurements_documents, lambda df: correlation.feature_blocks(df, DOCS)
+            given.document_lengths, lambda df: correlation.feature_blocks(df, DOCS)
         ),
-        "process_stages": _on(embeddings, lambda df: correlation.process_stages(df, WIDE)),
-        "stage_sizes": _on(embeddings, lambda df: correlation.stage_sizes(df, WIDE)),
         "redundancy": _on(lines, lambda df: correlation.redundancy(df, SCALE)),
         "redundancy_counts": _on(embeddings, lambda df: correlation.redundancy_counts(df, WIDE)),
         "correlation_breakdowns": _on(
@@ -578,7 +588,9 @@ def registered() -> dict:
         "interaction_scan_lineitem": _on(lines, lambda df: interaction_scan(df, SCALE)),
         "risk_score": _on(embeddings, risk_score),
         "conditional_regions": _on(embeddings, lambda df: interactions.conditional_regions(df, WIDE)),
-        "exclusive_regions": _on(embeddings, lambda df: interactions.exclusive_regions(df, WIDE)),
+        "exclusive_regions": _on(
+            given.measurements_taxed, lambda df: interactions.exclusive_regions(df, ["X1", "X2", "X3", "X4"])
+        ),
         "exclusive_regions_per_class": _on(
             embeddings, lambda df: interactions.exclusive_regions(df, WIDE, edges="per_class")
         ),
@@ -590,13 +602,13 @@ def registered() -> dict:
         "operating_windows_lineitem": _on(lines, lambda df: windows.operating_windows(df, SCALE)),
         "critical_threshold": _on(embeddings, lambda df: critical_threshold(df, WIDE)),
         "standardize": _on(
-            embeddings, lambda df: latent.standardize(df, ["X1", "X2", "X3"]).select(KEY, "X1", "X2", "X3")
+            embeddings, lambda df: latent.standardize(df, WIDE).select(KEY, *WIDE)
         ),
         "scale_minmax": _on(
-            embeddings, lambda df: latent.scale(df, ["X1", "X2"], "minmax").select(KEY, "X1", "X2")
+            embeddings, lambda df: latent.scale(df, WIDE, "minmax").select(KEY, *WIDE)
         ),
         "scale_robust": _on(
-            embeddings, lambda df: latent.scale(df, ["X1", "X2"], "robust").select(KEY, "X1", "X2")
+            embeddings, lambda df: latent.scale(df, WIDE, "robust").select(KEY, *WIDE)
         ),
         "defect_clusters": _on(lines, lambda df: latent.defect_clusters(df, SCALE)),
         "isolation_forest": lambda spark, sf: tidy(flagged(spark, sf)),
@@ -627,7 +639,6 @@ def registered() -> dict:
         "block_divergence": set1([f"{b}_divergence" for b in features.BLOCKS]),
         "safe_ratio_eps": set2(["X36/X35", "X36/X34", "X35/X34"]),
         "secondary_mean": set2(["X36xX41", "X35xX41", "X34-X36", "instability", "rolling_mean"]),
-        "feature_registry": feature_registry,
         "select_interaction_pairs": select_interaction_pairs,
         "stratified_folds": stratified_folds,
         "class_weights": class_weights(19.5),
@@ -639,8 +650,8 @@ def registered() -> dict:
         "balanced_bags": balanced_bags,
         "fit_gbt": scored_by("boosted"),
         "fit_gbt_unbalanced": scored_by("unbalanced"),
-        "fit_random_forest": scored_by("forest", depth=5),
-        "fit_balanced_bagging": scored_by("bagging", bags=2, depth=5),
+        "fit_random_forest": published("forest"),
+        "fit_balanced_bagging": published("bagging"),
         "cross_validate": cross_validate,
         "oof_predictions": oof_predictions,
         "feature_importance": feature_importance,

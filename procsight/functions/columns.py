@@ -49,3 +49,8 @@ def with_position(report: DataFrame, features: list[str]) -> DataFrame:
     """Add the schema position of `feature` to a report, to break ties the way a stable sort does."""
     names = F.array(*[F.lit(name) for name in features])
     return report.withColumn("position", F.array_position(names, F.col("feature")).cast("int") - 1)
+
+
+def text_order(key: str):
+    """A 60-bit number by which rows with text keys are ordered; any engine that has MD5 gives the same."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")

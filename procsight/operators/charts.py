@@ -8,7 +8,6 @@ from procsight.functions.columns import long_form, with_position
 from procsight.operators.cleaning import class_distribution
 from procsight.operators.correlation import correlation_by_class, correlation_matrix
 from procsight.operators.quantiles import ROWS_FOR_DIRECT
-from procsight.operators.sampling import SEED, hash_sample
 from procsight.operators.univariate import (
     ALPHA,
     class_quartiles,
@@ -23,7 +22,6 @@ BINS = 20
 CHART_FEATURES = 12
 SIGNIFICANCE_FEATURES = 15
 CHART_ROWS = 10
-FINGERPRINT_ROWS = 20
 ANOMALY_BINS = 30
 ANOMALY_CUT = -0.5
 
@@ -173,10 +171,7 @@ def interaction_chart(interactions: DataFrame) -> DataFrame:
 
 
 def heatmap_long(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
-    """(scope, feature_1, feature_2, r): overall, normal and defect correlation in one table.
-
-    The overall matrix is whole; the class matrices list each pair once.
-    """
+    """(scope, feature_1, feature_2, r): overall, normal and defect correlation, whole matrices in one table."""
     scope = F.when(F.col(label) == 0, "normal").otherwise("defect").alias("scope")
     overall = correlation_matrix(df, features).select(F.lit("overall").alias("scope"), "*")
     by_class = correlation_by_class(df, features, label).select(scope, "feature_1", "feature_2", "r")
@@ -220,23 +215,9 @@ def regime_chart(regimes: DataFrame) -> DataFrame:
     return regimes.withColumn("colour", colour)
 
 
-def fingerprint_rows(
-    df: DataFrame, features: list[str], label: str = LABEL, key: str = KEY, rows: int = FINGERPRINT_ROWS
-) -> DataFrame:
-    """The first rows of each class by key: one small top-k per class, no window over a class."""
-    parts = [
-        df.filter(F.col(label) == value).select(key, label, *features).orderBy(key).limit(rows)
-        for value in (0, 1)
-    ]
-    return parts[0].unionByName(parts[1])
-
-
-def fingerprints(
-    df: DataFrame, features: list[str], label: str = LABEL, key: str = KEY, rows: int = FINGERPRINT_ROWS
-) -> DataFrame:
-    """(label, feature, mean, std, band_low, band_high) over the first rows of each class."""
-    shown = long_form(fingerprint_rows(df, features, label, key, rows), features, [label])
-    stats = shown.groupBy(label, "feature").agg(
+def fingerprints(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+    """(label, feature, mean, std, band_low, band_high) over all rows of each class."""
+    stats = long_form(df, features, [label]).groupBy(label, "feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
     return stats.withColumns(
@@ -267,11 +248,3 @@ def threshold_chart(sweep: DataFrame) -> DataFrame:
 def strategy_chart(comparison: DataFrame) -> DataFrame:
     """(strategy, roc_auc_mean, f1_mean)."""
     return comparison.select("strategy", "roc_auc_mean", "f1_mean")
-
-
-def scatter_sample(
-    projected: DataFrame, by: str = LABEL, key: str = KEY, rows: int = 2000, seed: int = SEED
-) -> DataFrame:
-    """An exact, repeatable sample of rows per group for scatter plots."""
-    groups = projected.select(by).distinct().withColumn("size", F.lit(rows))
-    return hash_sample(projected, [by], [key], groups, seed)

@@ -126,8 +126,14 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def correlation_by_class(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
-    """(label, feature_1, feature_2, r) for each class, upper triangle."""
-    return correlation_pairs(df, features, label).select(label, "feature_1", "feature_2", "r")
+    """(label, feature_1, feature_2, r): the whole matrix of each class in long form, diagonal included."""
+    pairs = correlation_pairs(df, features, label).select(label, "feature_1", "feature_2", "r")
+    mirrored = pairs.select(label, F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "r")
+    names = F.explode(F.array(*[F.lit(c) for c in features])).alias("feature_1")
+    # One row per class.
+    diagonal = df.groupBy(label).agg(F.lit(1.0).alias("r")).select(label, names, "r")
+    same = diagonal.select(label, "feature_1", F.col("feature_1").alias("feature_2"), "r")
+    return pairs.unionByName(mirrored).unionByName(same)
 
 
 def high_correlation_pairs(

@@ -1,7 +1,6 @@
 """Quantile-binned feature pairs: defect density, strength, risk and exclusive regions."""
 
 import itertools
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ HIGH_RISK = 0.15
 LOW_RISK = 0.03
 TOP_CONDITIONAL = 20
 TOP_EXCLUSIVE = 10
-REGION_TEXT = 50
-LABEL_DECIMALS = 3
+# Decimals to which the edges of the two classes' own bins are rounded before they are compared.
+EDGE_DECIMALS = 3
 
 
 def quantile_edges(df: DataFrame, features: list[str], q: int = 3) -> dict[str, list[float]]:
@@ -192,7 +191,7 @@ def conditional_cells(
     )
 
     def text(name: str) -> Column:
-        return F.substring(F.concat(F.lit("["), F.array_join(name, " "), F.lit("]")), 1, REGION_TEXT)
+        return F.concat(F.lit("["), F.array_join(name, " "), F.lit("]"))
 
     both = (F.size("highs") > 0) & (F.size("lows") > 0)
     return found.orderBy(F.desc("interaction_strength"), "pair_index").select(
@@ -203,25 +202,6 @@ def conditional_cells(
     )
 
 
-def displayed_edges(edges: list[float], decimals: int = LABEL_DECIMALS) -> list[float]:
-    """Bin edges as an interval label shows them: rounded to the fewest digits (three at
-    least) that keep them apart, the lowest one pushed down by one unit of that digit."""
-    for digits in range(decimals, 20):
-        shown = [_significant(edge, digits) for edge in edges]
-        if len(set(shown)) == len(shown):
-            return [shown[0] - 10.0**-digits, *shown[1:]]
-    return edges
-
-
-def _significant(value: float, digits: int) -> float:
-    fraction, whole = math.modf(value)
-    if value == 0 or math.isinf(value):
-        return value
-    if whole == 0:
-        digits += -int(math.floor(math.log10(abs(fraction)))) - 1
-    return round(value, digits)
-
-
 def exclusive_regions(
     df: DataFrame,
     features: list[str],
@@ -232,8 +212,8 @@ def exclusive_regions(
     """Cells of the strongest pairs that defect rows occupy and normal rows do not.
 
     'shared' bins all rows alike. 'per_class' bins each class by its own
-    quantiles and compares the displayed intervals, so nearly every defect cell
-    counts as exclusive.
+    quantiles and compares the cells by their edges, rounded to EDGE_DECIMALS, so
+    nearly every defect cell counts as exclusive.
     """
     density = ranked_density(df, features, label)
     if edges == "shared":
@@ -276,9 +256,9 @@ def _exclusive_intervals(df: DataFrame, best: DataFrame, label: str) -> DataFram
         rows = df.filter(F.col(label) == value)
         edges = quantile_edges(rows, sorted({f for pair in pairs for f in pair}))
         spans = [
-            (feature, number, low, high)
+            (feature, number, round(low, EDGE_DECIMALS), round(high, EDGE_DECIMALS))
             for feature, marks in edges.items()
-            for number, (low, high) in enumerate(itertools.pairwise(displayed_edges(marks)))
+            for number, (low, high) in enumerate(itertools.pairwise(marks))
         ]
         names = spark.createDataFrame(spans, "feature string, bin int, low double, high double")
         density = defect_density_map(rows, pairs, label, edges=edges)
@@ -289,6 +269,6 @@ def _exclusive_intervals(df: DataFrame, best: DataFrame, label: str) -> DataFram
                 F.struct("low", "high").alias(f"span{side}"),
             )
             density = density.join(F.broadcast(span), [f"feature_{side}", f"bin{side}"])
-        cells[value] = density.select("feature_1", "feature_2", "span1", "span2")
+        cells[value] = density.select("feature_1", "feature_2", "span1", "span2").distinct()
     alone = cells[1].join(cells[0], ["feature_1", "feature_2", "span1", "span2"], "left_anti")
     return alone.join(F.broadcast(best), ["feature_1", "feature_2"])

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from procsight import KEY, LABEL
 from procsight.operators.latent import standardize
 from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
-from procsight.operators.sampling import SEED, hash_sample, hashed, unit
+from procsight.operators.sampling import SEED, hash_sample, unit
 from procsight.session import stored
 
 TREES = 100
 SAMPLE = 256
-# Candidates per drawn row in a large table.
+# Candidates per drawn row.
 SPARE = 3
 
 
@@ -61,20 +61,18 @@ def _tree_samples(
 ) -> DataFrame:
     """`sample` rows per tree (all rows of a smaller table), without replacement in a tree.
 
-    In a large table a row rarely serves two trees, so a thin candidate set is
-    dealt out to the trees first; the exact draw then sees only the candidates.
+    Each tree draws from all rows: a row becomes a tree's candidate where a hash
+    of both falls under a rate that leaves SPARE candidates for each place, and
+    the exact draw sees only the candidates.
     """
     sizes = rows.sparkSession.createDataFrame([(t, sample) for t in range(trees)], "tree int, size int")
-    rate = SPARE * sample * trees / n
-    if rate < 1:
-        thin = rows.filter(unit(hashed([key], seed + 1)) < rate).withColumn(
-            "tree", F.pmod(hashed([key], seed + 2), F.lit(trees)).cast("int")
-        )
-        least = thin.groupBy("tree").count().agg(F.count("*").alias("trees"), F.min("count").alias("n")).first()
-        if least["trees"] == trees and least["n"] >= sample:
-            return hash_sample(thin, ["tree"], [key, "tree"], sizes, seed)
-    every = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return hash_sample(every, ["tree"], [key, "tree"], sizes, seed)
+    rate = min(1.0, SPARE * sample / max(n, 1))
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: unit(F.xxhash64(F.lit(seed + 1), F.col(key), t)) < rate,
+    )
+    candidates = rows.withColumn("tree", F.explode(drawn))
+    return hash_sample(candidates, ["tree"], [key, "tree"], sizes, seed)
 
 
 def isolation_scores(

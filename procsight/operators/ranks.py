@@ -108,7 +108,7 @@ def range_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
 def cumulative_counts(values: DataFrame, by: list[str], label: str) -> DataFrame:
     """`class_counts` with `below0`/`below1` over the whole group, and the group totals."""
     counts = class_counts(values, by, label)
-    placed = counts.join(F.broadcast(range_offsets(counts, by)), [*by, "range"])
+    placed = counts.join(range_offsets(counts, by), [*by, "range"])
     return placed.select(
         *by,
         "value",

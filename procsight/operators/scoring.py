@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY
+from procsight.functions.columns import text_order
 from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
 from procsight.operators.ranks import range_borders, with_ranges
-from procsight.operators.sampling import numbered
 
 # The production threshold and the triage bands.
 THRESHOLD = 0.25
@@ -44,16 +44,14 @@ def predictions_table(
 
 
 def with_sample_id(predictions: DataFrame, key: str = KEY) -> DataFrame:
-    """Add `sample_id` 0..n-1 in key order (in hash order for keys that are not numbers).
+    """Add `sample_id` 0..n-1 in key order (in the order of `text_order` for text keys).
 
     Keys are split into ranges first, so the numbering is not one task's work.
     """
-    if dict(predictions.dtypes)[key] == "string":
-        alike = predictions.withColumn("__all", F.lit(0))
-        return numbered(alike, ["__all"], [key], "sample_id").select("sample_id", *predictions.columns)
+    order = text_order(key) if dict(predictions.dtypes)[key] == "string" else F.col(key)
     placed = with_ranges(
-        predictions.withColumn("__key", F.col(key).cast("double")),
-        range_borders(predictions.select(F.col(key).cast("double").alias("__key")), ["__key"]),
+        predictions.withColumns({"__order": order, "__key": order.cast("double")}),
+        range_borders(predictions.select(order.cast("double").alias("__key")), ["__key"]),
     )
     earlier = Window.orderBy("__key__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("__key__range").agg(F.count("*").alias("__n"))
@@ -61,7 +59,7 @@ def with_sample_id(predictions: DataFrame, key: str = KEY) -> DataFrame:
     offsets = sizes.select(
         "__key__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
     )
-    inside = Window.partitionBy("__key__range").orderBy(key)
+    inside = Window.partitionBy("__key__range").orderBy("__order", key)
     numbered_rows = placed.join(F.broadcast(offsets), "__key__range").withColumn(
         "sample_id", F.col("__offset") + F.row_number().over(inside) - 1
     )

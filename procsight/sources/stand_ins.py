@@ -63,7 +63,7 @@ def measurements_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measurements_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine measurements per order line, about 5 % positives.
 
-    The key packs (order, line, part, ship day), which is unique in these tables.
+    The key is the text of (order, line, part, supplier, ship day), unique at any size.
     """
     line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -95,10 +95,8 @@ def measurements_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_key():
-    days = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01")).cast("bigint")
-    return (
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(2**20) + F.col("l_partkey")
-    ) * F.lit(2**12) + days
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return F.concat_ws("-", *parts, F.date_format("l_shipdate", "yyyyMMdd"))
 
 
 def measurements_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +114,24 @@ def measurements_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length measurements of all documents, without a label."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias(KEY),
+        F.col("n_chars").cast("double").alias("X1"),
+        F.length("text").cast("double").alias("X2"),
+        (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
+        .cast("double")
+        .alias("X3"),
+    )
+
+
+def measurements_taxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`measurements_lineitem` with a label that fills a corner of (discount, tax): cells with defects only."""
+    corner = (F.col("X3") >= 0.08) & (F.col("X4") >= 0.06)
+    return measurements_lineitem(spark, sf_dir).withColumn(LABEL, corner.cast("int"))
+
+
 def scores_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, p, y): a score with at most 50 distinct values, so with many ties."""
     return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
@@ -137,9 +153,9 @@ def scores_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold result table (model, fold, metric, value) derived from order lines.
 
-    Each return flag plays a model, each line number 1..5 a fold and each mean a metric.
+    Each return flag plays a model, each line number a fold and each mean a metric.
     """
-    line = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= 5)
+    line = table(spark, sf_dir, "lineitem")
     means = line.groupBy(
         F.col("l_returnflag").alias("model"), F.col("l_linenumber").cast("int").alias("fold")
     ).agg(

@@ -26,11 +26,6 @@ def test_component_and_regime_tables(spark, small):
     assert [r["colour"] for r in charts.regime_chart(regimes).collect()] == ["green", "orange", "red"]
 
 
-def test_scatter_sample(small):
-    sampled = charts.scatter_sample(small, rows=20).toPandas()
-    assert sampled.groupby("Y").size().tolist() == [20, 20] and sampled.CoilID.is_unique
-
-
 def test_permuting_the_informative_feature_costs_most(small):
     fitted = models.fit(models.preset("forest", trees=6, depth=4), small, FEATURES)
     drops = models.permutation_importance(fitted, small, repeats=2).toPandas().set_index("feature").drop_mean

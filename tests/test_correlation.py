@@ -37,6 +37,7 @@ def test_by_class_and_breakdowns(small, table):
     found = correlation.correlation_by_class(small, ["X1", "X2", "X3"]).toPandas()
     for y in (0, 1):
         expected = table[table.Y == y][FEATURES].corr()
+        assert (found.Y == y).sum() == 9
         for row in found[found.Y == y].itertuples():
             assert np.isclose(row.r, expected.loc[row.feature_1, row.feature_2])
     assert correlation.correlation_breakdowns(small, FEATURES, change=2.0).count() == 0
