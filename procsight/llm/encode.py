@@ -9,8 +9,8 @@ import regex
 #: The split of byte-level BPE, and the same in the faster standard engine.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-#: Split words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Split words whose ids a worker remembers; as many of the time before are at hand.
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -45,6 +45,11 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))).search if added else None
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # Byte-level models read bytes as characters: printable ones as themselves, the others from U+0100 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = (b for b in range(256) if b not in set(own))
+        self.shown = {b: 256 + i for i, b in enumerate(other)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,13 +67,14 @@ class Encoder:
         known = self.known
         new = {w for words in split if words for w in words if w not in known}
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
+            self.before, self.known = known, {}
+            known = self.known
             new = {w for words in split if words for w in words}
-        new = list(new)
-        for k in range(0, len(new), 8192):
-            some = new[k : k + 8192]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
+        before, merge = self.before, self.tokenizer.model.tokenize
+        for w in new:
+            known[w] = before.get(w) or array(
+                "I", [t.id for t in merge(w.encode().decode("latin-1").translate(self.shown))]
+            ).tobytes()
         get = known.__getitem__
         return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 

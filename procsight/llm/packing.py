@@ -164,7 +164,8 @@ def pack(
     tokens = kept(tokenized(docs, tokenizer, key, text, source), "tokens")
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("first"))
+    # A stored table has a known size, by which Spark chooses the join: tokens are not shuffled if it is small.
+    first = kept(sums.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("first")), "first")
     found = sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
@@ -173,7 +174,7 @@ def pack(
     if mixture:
         least = min(mixture.values())
         share = {("" if k is None else f"={k}"): v for k, v in mixture.items()}
-        weights = [max(1, round(share.get(x.queue, least) * 1e9 / max(share.values()))) for x in found]
+        weights = [max(1, round(share.get(x.queue, least) * 1e9)) for x in found]
     number = {x.queue: i for i, x in enumerate(found)}
 
     def place(batches):
