@@ -13,12 +13,35 @@ FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s
 REMEMBERED = 400_000
 
 
+class Words(dict):
+    """Split words' ids: looked up among those of the time before, or merged by the library, when first asked for."""
+
+    def __init__(self, merge, before: dict[str, bytes]):
+        self.merge, self.before = merge, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+        self[word] = ids
+        return ids
+
+
+def _shown() -> dict[int, int]:
+    """Byte-level models read bytes as characters: printable ones as themselves, the others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+SHOWN = _shown()
+
+
 class Encoder:
     """`ids(text)`: little-endian 32-bit ids, without begin, end or added special tokens.
 
     Where the tokenizer splits a text into words before it merges bytes, a
-    word's ids are always the same, so each worker remembers them and hands the
-    library only new words. Texts that hold a special token's string or
+    word's ids are always the same, so each worker remembers them and has the
+    library's model merge only new words. Texts that hold a special token's string or
     characters that the two regular-expression engines class differently, and
     tokenizers of another build, go to the library whole.
     """
@@ -44,12 +67,7 @@ class Encoder:
         self.odd = _differing() if self.by_word else None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))).search if added else None
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        # Byte-level models read bytes as characters: printable ones as themselves, the others from U+0100 on.
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = (b for b in range(256) if b not in set(own))
-        self.shown = {b: 256 + i for i, b in enumerate(other)}
+        self.known = Words(self.tokenizer.model.tokenize, {})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,20 +81,11 @@ class Encoder:
         return not self.odd[codes].any()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) if self._plain(t) else None for t in texts]
-        known = self.known
-        new = {w for words in split if words for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            self.before, self.known = known, {}
-            known = self.known
-            new = {w for words in split if words for w in words}
-        before, merge = self.before, self.tokenizer.model.tokenize
-        for w in new:
-            known[w] = before.get(w) or array(
-                "I", [t.id for t in merge(w.encode().decode("latin-1").translate(self.shown))]
-            ).tobytes()
-        get = known.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known.before = {}
+            self.known = Words(self.known.merge, dict(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.split(t))) if self._plain(t) else self.whole(t) for t in texts]
 
 
 _differ: list[np.ndarray] = []
