@@ -23,8 +23,8 @@ from procsight.llm.words import NOT_SPACE, raw, spans
 SHINGLE, SEED, BITS, STEP = 3, 42, 64, 4
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
-#: Levels between two stored frontiers.
-STORED = 4
+#: Pairs of nodes (of some 30 bytes) that are broadcast to the trie's nodes; more are joined by shuffles.
+FEW = 50_000
 
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -123,21 +123,20 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     spark = distinct.sparkSession
     nodes_path = new_path(spark, "trie")
     nodes = written(trie(distinct).sortWithinPartitions("level", "node"), nodes_path)
-    front = spark.range(1).select(
-        F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("d")
-    )
-    path = None
+    front = spark.createDataFrame([(0, 0, 0)], "a bigint, b bigint, d int")
+    path, pairs = None, 1
     for level in range(0, BITS, STEP):
         here = nodes.where(F.col("level") == level)
         left = here.select(F.col("node").alias("a"), F.col("children").alias("ca"), (F.col("below") == 1).alias("single"))
         right = here.select(F.col("node").alias("b"), F.col("children").alias("cb"))
-        both = front.join(left, "a").join(right, "b").select("a", "b", "d", "ca", "cb", "single")
-        front = both.mapInArrow(_descend(budget, level + STEP == BITS), "a bigint, b bigint, d int")
-        if (level // STEP + 1) % STORED == 0:
-            old, path = path, new_path(spark, "front")
-            front = written(front, path)
-            if old:
-                drop(spark, old)
+        # Each pair finds one node on either side, so the joins have as many rows as there are pairs.
+        sized = F.broadcast if pairs <= FEW else lambda df: df
+        both = sized(sized(front).join(left, "a")).join(right, "b").select("a", "b", "d", "ca", "cb", "single")
+        old, path = path, new_path(spark, "front")
+        front = written(both.mapInArrow(_descend(budget, level + STEP == BITS), "a bigint, b bigint, d int"), path)
+        pairs = front.count()
+        if old:
+            drop(spark, old)
     drop(spark, nodes_path)
     return front
 
