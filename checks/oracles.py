@@ -909,4 +909,29 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
            greatest(least(abs(value / v - 0.25) / 0.75, 1.0), 0.0) AS confidence FROM events, hi""",
         ["value", "probability_calibrated", "confidence"], ["event_id", "prediction"],
     )
+
+    # invariants
+    sql["pca_squares"] = out(
+        [EMBEDDINGS, emb_long,
+         f"""nu AS (SELECT *, {POSITION} AS place FROM l),
+         pr AS (SELECT a.feature AS f, z.feature AS g, corr(a.value, z.value) AS r
+           FROM nu a JOIN nu z ON a.CoilID = z.CoilID AND a.place < z.place GROUP BY ALL)"""],
+        "SELECT (SELECT count(DISTINCT feature) FROM l) AS n, (SELECT count(DISTINCT feature) FROM l) + 2 * sum(r * r) AS squares FROM pr",
+        ["squares"], ["n"], digits=4,
+    )
+    sql["pca_norms"] = out(
+        [LINES, lin_long,
+         "ms AS (SELECT feature, avg(value) AS a, stddev_pop(value) AS s FROM l GROUP BY feature)",
+         "zs AS (SELECT CoilID, Y, sum(((value - a) / s) ^ 2) AS norm FROM l JOIN ms USING (feature) GROUP BY CoilID, Y)"],
+        "SELECT Y, count(*) AS n, avg(norm) AS norm FROM zs GROUP BY Y", ["norm"], ["Y", "n"], digits=4,
+    )
+    sql["bag_balance"] = out([], "SELECT i AS bag, 1 AS balanced FROM range(10) t(i)", [], ["bag", "balanced"])
+    sql["oof_folds"] = out(
+        [LINES, "nu AS (SELECT Y, row_number() OVER (PARTITION BY Y ORDER BY CoilID) - 1 AS r FROM m)"],
+        "SELECT Y, r % 5 AS fold, count(*) AS n, count(*) AS keys FROM nu GROUP BY 1, 2",
+        [], ["Y", "fold", "n", "keys"],
+    )
+    sql["regime_totals"] = out(emb, "SELECT count(*) AS n, sum(Y) AS defects FROM m", ["defects"], ["n"])
+    sql["cluster_totals"] = out(lin, "SELECT count(*) FILTER (Y = 1) AS n, 100.0 AS pct FROM m", ["pct"], ["n"])
+    sql["attribution_gap"] = out(emb, "SELECT count(*) AS n, 0.0 AS gap FROM m", ["gap"], ["n"])
     return sql

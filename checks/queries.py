@@ -525,6 +525,62 @@ def streamed_scores(spark, sf):
     return tidy(spark.read.parquet(f"{folder}/scores"))
 
 
+# --- what must hold of results that SQL cannot repeat -----------------------------------------------
+
+
+def pca_squares(spark, sf):
+    """The squared eigenvalues of a correlation matrix add up to its squared entries."""
+    profile = latent.pca_profile(embeddings(spark, sf), WIDE)
+    value = F.col("variance_ratio") * len(WIDE)
+    return tidy(profile.agg(F.count("*").alias("n"), F.sum(value * value).alias("squares")), 4)
+
+
+def pca_norms(spark, sf):
+    """Over all components a row keeps its squared length."""
+    names = [f"pc{i + 1}" for i in range(len(SCALE))]
+    rows = latent.pca_project(lines(spark, sf), SCALE, len(SCALE))
+    norm = sum(F.col(c) * F.col(c) for c in names)
+    return tidy(rows.groupBy(LABEL).agg(F.count("*").alias("n"), F.avg(norm).alias("norm")), 4)
+
+
+def bag_balance(spark, sf):
+    """Every bag has as many rows of either class."""
+    sizes = sampling.balanced_bags(lines(spark, sf), bags=10).groupBy("bag").agg(
+        F.count_if(F.col(LABEL) == 0).alias("n0"), F.count_if(F.col(LABEL) == 1).alias("n1")
+    )
+    return tidy(sizes.select("bag", ((F.col("n0") == F.col("n1")) & (F.col("n0") > 0)).alias("balanced")))
+
+
+def oof_folds(spark, sf):
+    """Every row is scored once, by the model of its fold."""
+    spec = models.preset("forest", trees=5, depth=5)
+    scored = models.oof_predictions(lines(spark, sf), SCALE, spec, k=FOLDS)
+    return tidy(scored.groupBy(LABEL, "fold").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("keys")))
+
+
+def regime_totals(spark, sf):
+    return tidy(
+        regimes(spark, sf).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("defect_rate_pct") / 100).alias("defects"))
+    )
+
+
+def cluster_totals(spark, sf):
+    clusters = latent.defect_clusters(lines(spark, sf), SCALE)
+    return tidy(clusters.agg(F.sum("n").alias("n"), F.sum("pct").alias("pct")))
+
+
+def attribution_gap(spark, sf):
+    """Base and attributions add up to the model's margin, row by row."""
+    df = embeddings(spark, sf)
+    fitted = models.fit(models.preset("boosted", trees=5, depth=4), df, WIDE)
+    path = f"{scratch(spark)}/explained"
+    fitted.models[0].stages[-1].write().overwrite().save(path)
+    margin = fitted.models[0].transform(df).select(KEY, vector_to_array("__margin")[1].alias("margin"))
+    added = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda a, b: a + b)
+    gaps = tree_attributions(df, WIDE, path).join(margin, KEY).select(F.abs(added - F.col("margin")).alias("gap"))
+    return tidy(gaps.agg(F.count("*").alias("n"), F.max("gap").alias("gap")))
+
+
 def registered() -> dict:
     """Query name -> callable(spark, sf_dir)."""
     return {
@@ -733,4 +789,11 @@ def registered() -> dict:
         "drift_report": drift_report,
         "stream_monitor": monitor,
         "stream_score": streamed_scores,
+        "pca_squares": pca_squares,
+        "pca_norms": pca_norms,
+        "bag_balance": bag_balance,
+        "oof_folds": oof_folds,
+        "regime_totals": regime_totals,
+        "cluster_totals": cluster_totals,
+        "attribution_gap": attribution_gap,
     }
