@@ -10,6 +10,8 @@ rest of the rule's path confirm a match, and the longest rule wins.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procsight.llm.tables import kept
+
 
 def host_and_path(url):
     """The two columns of a URL column: both empty for null and for URLs without `://`."""
@@ -84,8 +86,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     )
     known = rule_table(rules)
     fits = wanted.join(known, "short").where("digest = full").where(F.startswith("path", "rule_path"))
-    best = fits.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best")
+    # A stored side has one row for each place, so Spark can split a place that very many rows share.
+    best = kept(
+        fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best")),
+        "verdicts",
     )
     return rows.join(best, ["host", "path"], "left").select(
         key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
