@@ -881,6 +881,12 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
             ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS "X1_rolling_std" FROM lineitem""",
         ["X1_rolling_std"], [], ["CoilID"],
     )
+    sql["rolling_std_whole"] = out(
+        [f"k AS (SELECT {LINE_KEY} AS CoilID, l_quantity FROM lineitem)"],
+        f"""SELECT CoilID, stddev_samp(l_quantity) OVER (ORDER BY {TEXT_ORDER}, CoilID
+            ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS "X1_rolling_std" FROM k""",
+        ["X1_rolling_std"], [], ["CoilID"],
+    )
     deciles = "[" + ", ".join(f"{i}/10" for i in range(11)) + "]"
     sql["drift_report"] = out(
         [LINES, lin_long,

@@ -476,6 +476,11 @@ def rolling_std(spark, sf):
     return tidy(drift.rolling_std(line, ["X1"], KEY, ["l_suppkey"]).select(KEY, "X1_rolling_std"))
 
 
+def rolling_std_whole(spark, sf):
+    line = given.table(spark, sf, "lineitem").select(given.line_key().alias(KEY), F.col("l_quantity").alias("X1"))
+    return tidy(drift.rolling_std(line, ["X1"], KEY, rows_per_part=5000).select(KEY, "X1_rolling_std"))
+
+
 def stream_events(spark, sf, as_stream=True):
     schema = given.table(spark, sf, "events").schema
     reader = spark.readStream.schema(schema) if as_stream else spark.read.schema(schema)
@@ -783,6 +788,7 @@ def registered() -> dict:
         "impute_drop": impute_drop,
         "drop_sparse_columns": drop_sparse_columns,
         "rolling_std": rolling_std,
+        "rolling_std_whole": rolling_std_whole,
         "permutation_importance": permutation,
         "soft_vote": soft_vote,
         "stack": stacked,

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from procsight.functions.columns import long_form
 from procsight.operators.interactions import bin_number, quantile_edges
+from procsight.operators.scoring import with_sample_id
 
 FLOOR = 1e-6
+# Rows that one task of a whole-table window sees.
+ROWS_PER_PART = 200_000
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
@@ -57,7 +60,28 @@ def drift_report(reference: DataFrame, current: DataFrame, features: list[str],
     )
 
 
-def rolling_std(df: DataFrame, features: list[str], key: str, by: list[str], window: int = 5) -> DataFrame:
-    """Sample deviation over each row and the `window - 1` rows before it, within each group."""
-    recent = Window.partitionBy(*by).orderBy(key).rowsBetween(1 - window, 0)
-    return df.withColumns({f"{c}_rolling_std": F.stddev_samp(c).over(recent) for c in features})
+def rolling_std(
+    df: DataFrame,
+    features: list[str],
+    key: str,
+    by: list[str] | None = None,
+    window: int = 5,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """Sample deviation over each row and the `window - 1` rows before it, in key order.
+
+    With `by`, within each group. Without, over the whole table: rows are
+    numbered in key order and cut into parts of equal size, and each part gets
+    the last rows of the one before it.
+    """
+    if by:
+        recent = Window.partitionBy(*by).orderBy(key).rowsBetween(1 - window, 0)
+        return df.withColumns({f"{c}_rolling_std": F.stddev_samp(c).over(recent) for c in features})
+    placed = with_sample_id(df, key)
+    part = F.floor(F.col("sample_id") / rows_per_part)
+    own = placed.withColumns({"__part": part, "__own": F.lit(True)})
+    last = F.pmod("sample_id", F.lit(rows_per_part)) >= rows_per_part - (window - 1)
+    before = placed.where(last).withColumns({"__part": part + 1, "__own": F.lit(False)})
+    recent = Window.partitionBy("__part").orderBy("sample_id").rowsBetween(1 - window, 0)
+    rolled = own.unionByName(before).withColumns({f"{c}_rolling_std": F.stddev_samp(c).over(recent) for c in features})
+    return rolled.where("__own").drop("__part", "__own", "sample_id")

@@ -271,21 +271,26 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, drop_mean, drop_std): loss of ROC-AUC when one feature is shuffled.
 
-    A shuffle joins each row with the value of the row at its place in another
-    hash order; both orders are numbered without a global sort.
+    Each repeat joins every row once with the row at its place in another hash
+    order; a row's variants take one feature each from that partner. Both orders
+    are numbered without a global sort.
     """
-    rows = df.select(key, *fitted.features, label).withColumn("__all", F.lit(0))
-    placed = numbered(rows, ["__all"], [key], "__place", seed)
-    placed = stored(placed)
-    scored = None
-    for feature in fitted.features:
-        for repeat in range(repeats):
-            other = numbered(rows.select(key, feature, "__all"), ["__all"], [key], "__place", seed + 1 + repeat)
-            swapped = placed.drop(feature).join(other.select("__place", feature), "__place")
-            part = fitted.score(swapped, "probability").select(
-                F.lit(feature).alias("feature"), F.lit(repeat).alias("repeat"), label, "probability"
-            )
-            scored = part if scored is None else scored.unionByName(part)
+    names = fitted.features
+    rows = df.select(key, *names, label).withColumn("__all", F.lit(0))
+    placed = stored(numbered(rows, ["__all"], [key], "__place", seed))
+    variants = F.array(
+        *[
+            F.struct(F.lit(one).alias("feature"), *[F.col(f"__other_{c}" if c == one else c).alias(c) for c in names])
+            for one in names
+        ]
+    )
+    swapped = None
+    for repeat in range(repeats):
+        other = numbered(rows.drop(label), ["__all"], [key], "__place", seed + 1 + repeat)
+        partner = other.select("__place", *[F.col(c).alias(f"__other_{c}") for c in names])
+        part = placed.join(partner, "__place").select(key, label, F.lit(repeat).alias("repeat"), F.explode(variants).alias("__v"))
+        swapped = part if swapped is None else swapped.unionByName(part)
+    scored = fitted.score(swapped.select(key, label, "repeat", "__v.*"), "probability")
     whole = roc_auc(fitted.score(rows, "probability"), "probability", label).first()["roc_auc"]
     areas = roc_auc(scored, "probability", label, ["feature", "repeat"])
     return areas.groupBy("feature").agg(

@@ -1,5 +1,8 @@
 import datetime
 
+import numpy as np
+
+from procsight.operators.drift import rolling_std
 from procsight.sources.stand_ins import line_key
 
 
@@ -9,3 +12,10 @@ def test_line_keys_stay_apart_at_any_size(spark):
     df = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate date")
     keys = [r[0] for r in df.select(line_key()).collect()]
     assert len(set(keys)) == 4 and "7-1-1048581-3-19950102" in keys
+
+
+def test_rolling_deviation_of_a_whole_table(small, table):
+    want = table.sort_values("CoilID").X2.rolling(5, min_periods=2).std()
+    for size in (4, 7, 1000):
+        found = rolling_std(small, ["X2"], "CoilID", rows_per_part=size).orderBy("CoilID").toPandas()
+        assert len(found) == len(table) and np.allclose(found.X2_rolling_std.astype(float), want, equal_nan=True)
