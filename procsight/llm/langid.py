@@ -23,7 +23,7 @@ from procsight.llm.words import IN_WORD, LOWER, hashes, raw, slices, spans
 TRAIN_ROWS, TRAIN_PIECES = 4000, 6000
 PIECE, HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 16, 8, 256, 0.01, 7
 #: Pieces that a worker remembers before it starts anew, and pieces run at a time.
-REMEMBERED, RUN = 1_500_000, 4096
+REMEMBERED, RUN = 600_000, 4096
 
 LETTER = IN_WORD.copy()
 LETTER[48:58] = False

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from procsight.llm.components import components
 from procsight.llm.tables import drop, kept, new_path, utf8, written
-from procsight.llm.words import NOT_SPACE, raw, spans
+from procsight.llm.words import NOT_SPACE, raw, slices, spans
 
 SHINGLE, SEED, BITS, STEP = 3, 42, 64, 4
 #: Shingles hashed at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 #: Pairs of nodes (of some 30 bytes) that are broadcast to the trie's nodes; more are joined by shuffles.
 FEW = 50_000
 
@@ -51,14 +51,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def marks(batches):
         for batch in batches:
-            data, at = raw(batch.column(1))
-            begin, end, first = spans(data, at, NOT_SPACE)
-            out = []
-            for i in range(len(batch)):
-                low = int(at[i])
-                own = data[low : int(at[i + 1])].tobytes().translate(_LOW)
-                out.append(fingerprint(own, begin[first[i] : first[i + 1]] - low, end[first[i] : first[i + 1]] - low))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
+            for some in slices(batch, 1):
+                data, at = raw(some.column(1))
+                begin, end, first = spans(data, at, NOT_SPACE)
+                out = []
+                for i in range(len(some)):
+                    low = int(at[i])
+                    own = data[low : int(at[i + 1])].tobytes().translate(_LOW)
+                    out.append(fingerprint(own, begin[first[i] : first[i + 1]] - low, end[first[i] : first[i + 1]] - low))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInArrow(
         marks, "doc_id bigint, fp bigint"
@@ -173,9 +174,9 @@ def without_near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     found = near_duplicates(docs, budget).where("doc_id is not null")
     per_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     odd = kept(
-        per_id.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("odd_id"), (F.col("doc_id") == F.col("component_id")).alias("stays")),
+        per_id.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("__odd_id"), (F.col("doc_id") == F.col("component_id")).alias("stays")),
         "odd",
     )
-    rest = docs.join(odd.select("odd_id"), docs.doc_id == F.col("odd_id"), "left_anti")
-    again = docs.join(odd.where("stays").select("odd_id"), docs.doc_id == F.col("odd_id"), "left_semi").dropDuplicates(["doc_id"])
+    rest = docs.join(odd.select("__odd_id"), docs.doc_id == F.col("__odd_id"), "left_anti")
+    again = docs.join(odd.where("stays").select("__odd_id"), docs.doc_id == F.col("__odd_id"), "left_semi").dropDuplicates(["doc_id"])
     return rest.union(again)

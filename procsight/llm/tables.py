@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procsight.llm.words import slices
 from procsight.session import shared_folder
 
 
@@ -62,9 +63,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str
 
     def filtered(batches):
         for batch in batches:
-            # Pieces of some hundred rows, as texts can be long.
-            for k in range(0, len(batch), 500):
-                some = batch.slice(k, 500)
+            for some in slices(batch, at):
                 yield some.filter(pa.array(keep(pc.fill_null(some.column(at), "").cast(pa.binary()))))
 
     return docs.mapInArrow(filtered, docs.schema)

@@ -80,7 +80,7 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of `column`; a longer row is a piece of its own."""
     _, at = raw(batch.column(column))
     k = 0
