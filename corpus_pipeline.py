@@ -18,7 +18,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id."""
+    """One document of each group of near copies stays, the one with the least doc_id.
+
+    Near copies are fingerprints within two bits and texts with a five-word Jaccard similarity of 0.8 or more.
+    """
     return simhash.without_near_duplicates(docs)
 
 

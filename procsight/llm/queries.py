@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose SimHash fingerprints differ in at most two bits."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=2, jaccard=None)
     return found.select("doc_id", "fingerprint", "component_id", "n_copies")
 
 

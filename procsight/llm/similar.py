@@ -1,0 +1,129 @@
+"""Pairs of texts whose word shingles have a Jaccard similarity of at least 0.8.
+
+Candidates share one of BANDS hashes of ROWS least hashes each (MinHash): a pair
+at the bound itself is missed with a probability of (1 - 0.8^6)^32, 1 in 17,000.
+Texts of few-membered buckets are paired with each other, those of larger ones
+with the bucket's least member, so that no group of copies is squared. Every
+pair is confirmed on the whole sets of shingles.
+"""
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from procsight.llm.tables import drop, new_path, written
+from procsight.llm.words import NOT_SPACE, hashes, raw, slices, spans
+
+SHINGLE, JACCARD = 5, 0.8
+BANDS, ROWS, SEED = 32, 6, 7
+#: Members of a bucket that are paired with each other.
+FEW = 8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes of every text's shingles, each text's first one (with the end), and a digest of each text's words.
+
+    A text of fewer words than a shingle has one shingle; one without words has none.
+    """
+    data, at = raw(column)
+    begin, end, first = spans(data, at, NOT_SPACE)
+    h = hashes(data, begin, end)
+    n = np.diff(first)
+    parts = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
+    edge = np.concatenate([[0], np.cumsum(parts)])
+    row = np.repeat(np.arange(len(n)), parts)
+    word = first[:-1][row] + np.arange(edge[-1]) - edge[:-1][row]
+    out = h[word]
+    for k in range(1, SHINGLE):
+        inside = word + k < first[1:][row]
+        out[inside] = out[inside] * _MIX + h[word[inside] + k]
+    digests = [xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    return _mixed(out), edge, digests
+
+
+def bands(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the least hashes of each text that has shingles."""
+    random = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64)
+    full = edge[:-1][edge[:-1] < edge[1:]]
+    out = np.zeros((len(full), BANDS), np.uint64)
+    for i, (flip, by) in enumerate(random):
+        least = np.minimum.reduceat((h ^ flip) * (by | np.uint64(1)), full)
+        out[:, i // ROWS] = _mixed(out[:, i // ROWS] * _MIX + least + np.uint64(i))
+    return out
+
+
+def signatures(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each text's digest, and its hashes of bands; null for texts without words."""
+    h, edge, digests = shingles(column)
+    full = edge[:-1] < edge[1:]
+    found = bands(h, edge).view(np.int64) if full.any() else np.zeros((0, BANDS), np.int64)
+    at = np.concatenate([[0], np.cumsum(full)]) * BANDS
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.ravel(), pa.int64()), mask=pa.array(~full))
+    return pa.array(np.array(digests, np.uint64).view(np.int64)), lists
+
+
+def _digested(batches):
+    for batch in batches:
+        for some in slices(batch, 0):
+            _, _, digests = shingles(some.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), some.column(0)], ["digest", "text"])
+
+
+def _confirm(least: float):
+    def confirm(batches):
+        for batch in batches:
+            for some in slices(batch, 2, 1 << 20):
+                out, last = [], (None, None)
+                for i, (a, b) in enumerate(zip(some.column(2), some.column(3), strict=True)):
+                    if last[0] != a:
+                        last = (a, np.unique(shingles(pa.array([a.as_py()], pa.binary()))[0]))
+                    one, two = last[1], np.unique(shingles(pa.array([b.as_py()], pa.binary()))[0])
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both >= least * (len(one) + len(two) - both):
+                        out.append(i)
+                yield pa.RecordBatch.from_arrays([some.column(k).take(pa.array(out, pa.int64())) for k in (0, 1)], ["a", "b"])
+
+    return confirm
+
+
+def similar(signed: DataFrame, rows: DataFrame, least: float = JACCARD) -> DataFrame:
+    """a, b: nodes of confirmed pairs, for signed(node, digest, bands) of rows(text binary); pairs of equal nodes are left out.
+
+    Texts of equal words are one; texts without words have no pairs; an empty table gives none.
+    """
+    spark = rows.sparkSession
+    paths = [new_path(spark, name) for name in ("signatures", "pairs", "similar")]
+    each = signed.where("bands is not null")
+    one = written(each.groupBy("digest").agg(F.min("node").alias("node"), F.first("bands").alias("bands")), paths[0])
+    members = one.select("digest", "node", F.posexplode("bands").alias("band", "hash"))
+    sizes = members.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("digest").alias("centre")).where("n > 1")
+    shared = members.join(sizes, ["band", "hash"])
+    stars = shared.where((F.col("n") > FEW) & (F.col("centre") != F.col("digest"))).select(F.col("centre").alias("a"), F.col("digest").alias("b"))
+    lists = shared.where(F.col("n") <= FEW).groupBy("band", "hash").agg(F.sort_array(F.collect_list("digest")).alias("all"))
+    left = lists.select("all", F.explode("all").alias("a"))
+    squares = left.select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
+    node = one.select("digest", "node")
+    pairs = stars.union(squares).distinct()
+    pairs = pairs.join(node.select(F.col("digest").alias("a"), F.col("node").alias("node_a")), "a")
+    pairs = pairs.join(node.select(F.col("digest").alias("b"), F.col("node").alias("node_b")), "b").where("node_a <> node_b")
+    pairs = written(pairs.select("a", "b", "node_a", "node_b"), paths[1])
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    texts = rows.select("text").mapInArrow(_digested, "digest bigint, text binary").join(wanted, "digest", "left_semi")
+    texts = written(texts.groupBy("digest").agg(F.first("text").alias("text")), paths[2])
+    both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    path = new_path(spark, "confirmed")
+    found = written(both.select("node_a", "node_b", "text_a", "text_b").mapInArrow(_confirm(least), "a bigint, b bigint").distinct(), path)
+    for old in paths:
+        drop(spark, old)
+    return found
+

@@ -1,0 +1,47 @@
+import random
+
+import corpus_pipeline
+from procsight.llm import simhash
+from tests.conftest import SF
+from tests.llm.frames import docs
+from tests.llm.test_decontaminate import passages
+
+
+def jaccard(a, b):
+    one, two = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a.lower(), b.lower()))
+    return len(one & two) / len(one | two)
+
+
+def near_copies():
+    """Texts with edited copies of similarities around 0.8, and a large group of copies of one text."""
+    rnd = random.Random(3)
+    rows = []
+    for i, text in enumerate(passages(21, 60, 150)):
+        words = text.split()
+        rows.append((10 * i, text))
+        edited = [f"new{k}" if k in set(rnd.sample(range(150), i % 6)) else w for k, w in enumerate(words)]
+        rows.append((10 * i + 1, " ".join(edited)))
+    base = passages(22, 1, 100)[0].split()
+    rows += [(1000 + i, " ".join([*base[: i + 5], f"x{i}", *base[i + 6 :]])) for i in range(40)]
+    return rows
+
+
+def test_edited_copies_against_all_pairs(spark):
+    rows = near_copies()
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and jaccard(a, b) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i, _ in rows}
+    assert 30 < sum(i != r for i, r in want.items()) < 100
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()} == want
+    stay = corpus_pipeline.near_dedup(spark, docs(spark, rows), SF)
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, r in want.items() if i == r)
