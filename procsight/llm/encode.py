@@ -6,6 +6,8 @@ from array import array
 import numpy as np
 import regex
 
+from procsight.llm.memory import once, remembered
+
 #: The split of byte-level BPE, and the same in the faster standard engine.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -88,12 +90,10 @@ class Encoder:
         return [b"".join(map(get, self.split(t))) if self._plain(t) else self.whole(t) for t in texts]
 
 
-_differ: list[np.ndarray] = []
-
-
 def _differing() -> np.ndarray:
     """By code point: is it in \\p{L}, \\p{N} or \\s for one engine only?"""
-    if not _differ:
+
+    def found() -> np.ndarray:
         import re
 
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -102,15 +102,14 @@ def _differing() -> np.ndarray:
             odd[[ord(c) for c in set(regex.findall(a, every)) ^ set(re.findall(b, every))]] = True
         # The separators U+001C to U+001F are white space for one engine only.
         odd[0x1C:0x20] = True
-        _differ.append(odd)
-    return _differ[0]
-
+        return odd
 
-_encoders: dict[str, Encoder] = {}
+    return once("differing", "", found)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    known = remembered("encoders")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procsight.llm.memory import once
 from procsight.llm.tables import bounded, held_out, kept_rows, utf8
 from procsight.llm.words import IN_WORD, LOWER, hashes, raw, slices, spans
 
@@ -250,16 +251,10 @@ class Reader:
         return self.value[at][back]
 
 
-_readers: dict[int, Reader] = {}
-
-
 def _reader(network: Network) -> Reader:
     """One reader for each worker and network."""
     mark = zlib.crc32(b"".join(x.tobytes() for x in network.parameters()))
-    if mark not in _readers:
-        _readers.clear()
-        _readers[mark] = Reader(network)
-    return _readers[mark]
+    return once("readers", mark, lambda: Reader(network))
 
 
 def _has_letter(text: bytes) -> bool:

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsight.llm.components import components
-from procsight.llm.similar import JACCARD, signatures, similar
 from procsight.llm.tables import drop, kept, new_path, utf8, written
 from procsight.llm.words import NOT_SPACE, raw, slices, spans
 
@@ -47,12 +46,8 @@ def fingerprint(text: bytes, begin: np.ndarray, end: np.ndarray) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", signed: bool = False) -> DataFrame:
-    """doc_id, fp for each row: whole texts; null, empty and wordless texts have fingerprint 0.
-
-    signed: also digest and bands, by which `similar` finds pairs.
-    """
-    kind = "doc_id bigint, fp bigint" + ", digest bigint, bands array<bigint>" * signed
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp for each row: whole texts; null, empty and wordless texts have fingerprint 0."""
 
     def marks(batches):
         for batch in batches:
@@ -64,10 +59,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", signe
                     low = int(at[i])
                     own = data[low : int(at[i + 1])].tobytes().translate(_LOW)
                     out.append(fingerprint(own, begin[first[i] : first[i + 1]] - low, end[first[i] : first[i + 1]] - low))
-                more = signatures(some.column(1)) if signed else ()
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.int64()), *more], ["doc_id", "fp", "digest", "bands"][: 2 + len(more)])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInArrow(marks, kind)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8(text).alias("text")).mapInArrow(marks, "doc_id bigint, fp bigint")
 
 
 def _prefix(level: int):
@@ -146,30 +140,29 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return front
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, key: str = "doc_id", text: str = "text", jaccard: float | None = JACCARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of `docs`: doc_id, fingerprint (16 hex digits), component_id, n_copies, fp.
 
     component_id is the least doc_id among all rows whose fingerprints are
-    connected by links: those that differ in at most `budget` bits and, unless
-    `jaccard` is None, those of texts whose five-word shingles have at least
-    that similarity. Texts are compared by fingerprint, so equal texts,
+    connected by links: those that differ in at most `budget` bits. Texts are compared by fingerprint, so equal texts,
     repeated rows and all texts without words (fingerprint 0) fall together.
     Rows with a null key keep their row and never name a component that has
     another key. An empty table gives no rows; other columns are not read.
     """
-    marks = kept(fingerprints(docs, key, text, jaccard is not None), "fingerprints")
-    groups = kept(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "groups")
+    spark = docs.sparkSession
+    marks = kept(fingerprints(docs, key, text), "fingerprints")
+    paths = [new_path(spark, name) for name in ("groups", "roots")]
+    groups = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), paths[0])
     found = links(groups.select("fp"), budget).select("a", "b")
-    if jaccard is not None:
-        signed = marks.select(F.col("fp").alias("node"), "digest", "bands")
-        found = found.union(similar(signed, docs.select(utf8(text).alias("text")), jaccard))
-    roots = kept(components(found), "roots")
+    roots = written(components(found), paths[1])
     # Roots are fingerprints; the component is named by the least key in it.
     member = groups.join(roots, groups.fp == roots.node, "left").select(
         "fp", "least", "n_copies", F.coalesce("root", "fp").alias("root")
     )
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = kept(member.join(names, "root").select("fp", "n_copies", "component_id"), "components")
+    for old in paths:
+        drop(spark, old)
     return marks.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "fp"
     )

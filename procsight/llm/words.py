@@ -5,6 +5,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from procsight.llm.memory import remembered
+
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -20,16 +22,15 @@ IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
-_tables: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
+    known = remembered("powers")
+    if not known or len(known["up"]) < n:
         size = max(n, BLOCK + 64)
-        up, down = np.full(size, _ODD), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _tables[:] = [np.cumprod(up), np.cumprod(down)]
-    return _tables[0], _tables[1]
+        for name, by in (("up", _ODD), ("down", _INVERSE)):
+            factors = np.full(size, by)
+            factors[0] = 1
+            known[name] = np.cumprod(factors)
+    return known["up"], known["down"]
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
