@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from procsight.llm import decontaminate, langid, packing, simhash, toxicity
 from procsight.llm.queries import table, tokenizer_path
-from procsight.llm.tables import kept
+from procsight.llm.tables import drop, new_path, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id.
-
-    Near copies are fingerprints within two bits and texts with a five-word Jaccard similarity of 0.8 or more.
-    """
-    return simhash.without_near_duplicates(docs)
+    """One document of each group of near copies stays, the one with the least doc_id: fingerprints within two bits."""
+    return simhash.without_near_duplicates(docs, budget=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if old:
+            drop(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
