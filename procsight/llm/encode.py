@@ -92,8 +92,8 @@ class Encoder:
 
 def _differing() -> np.ndarray:
     """By code point: is it in \\p{L}, \\p{N} or \\s for one engine only?"""
-
-    def found() -> np.ndarray:
+    known = remembered("differing")
+    if not known:
         import re
 
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -102,14 +102,10 @@ def _differing() -> np.ndarray:
             odd[[ord(c) for c in set(regex.findall(a, every)) ^ set(re.findall(b, every))]] = True
         # The separators U+001C to U+001F are white space for one engine only.
         odd[0x1C:0x20] = True
-        return odd
-
-    return once("differing", "", found)
+        known["points"] = odd
+    return known["points"]
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and path."""
-    known = remembered("encoders")
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    return once("encoder", path, lambda: Encoder(path))

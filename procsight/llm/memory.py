@@ -19,10 +19,9 @@ def remembered(name: str) -> dict:
 
 
 def once(name: str, key: Any, make: Callable[[], Any]) -> Any:
-    """What `make` gave for the name's latest key; only the latest is remembered."""
-    own = remembered(name)
-    if key not in own:
-        value = make()
-        own.clear()
-        own[key] = value
-    return own[key]
+    """What `make` gave for this name and key; only the latest of all is kept, so that one job's tables don't burden the next."""
+    latest = remembered("latest")
+    if (name, key) not in latest:
+        latest.clear()
+        latest[name, key] = make()
+    return latest[name, key]

@@ -3,8 +3,23 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from procsight.llm import counts, decontaminate, html, langid, licenses, neighbours, packing, simhash, toxicity, urls
+from pyspark.sql import functions as F
+
+from procsight.llm import (
+    counts,
+    decontaminate,
+    html,
+    langid,
+    licenses,
+    negatives,
+    neighbours,
+    packing,
+    simhash,
+    spotsigs,
+    toxicity,
+    urls,
+    whitening,
+)
 from procsight.session import shared_folder
 
 #: File of the tokenizer that counts and packing use; it lies in the package of public tokenizers.
@@ -86,6 +101,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot signature fingerprints of every document and its edited text, and how alike they and the next document are."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every 50th vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(rows, every=50, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_simhash_near_dedup,
     op2_token_counts,
@@ -97,6 +129,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_packing,
     op9_decontamination,
     op10_language_id,
+    op11_document_fingerprints,
+    op12_embedding_whitening,
+    op13_hard_negatives,
 ]
 
 SQL: dict[str, str] = {
@@ -144,6 +179,33 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op13_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+        ),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+                CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+            FROM vectors a JOIN vectors r ON a.vec_id <> r.vec_id AND len(a.x) = len(r.x)
+            WHERE a.vec_id % 50 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ),
+        ranked AS (
+            SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+            FROM positives JOIN scored USING (anchor_id)
+            WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 3
+    """,
 }
 
 
