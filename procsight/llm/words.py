@@ -83,6 +83,8 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of `column`; a longer row is a piece of its own."""
+    # Arrow keeps what earlier batches took; several workers share an executor's memory.
+    pa.default_memory_pool().release_unused()
     _, at = raw(batch.column(column))
     k = 0
     while k < len(batch):
