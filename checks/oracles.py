@@ -5,6 +5,7 @@ doubles and widens integers exactly as `checks.queries.tidy` does.
 """
 
 import itertools
+import math
 
 from procsight.operators import features as fe
 from procsight.sources.stand_ins import SCALE, TEXTS, WIDE
@@ -55,6 +56,16 @@ def out(parts, body, doubles=(), integers=(), texts=(), digits=6):
     return f"{head}SELECT {', '.join(columns)} FROM ({body}) final"
 
 
+def mark(*columns, seed=42):
+    """The 60-bit number of some columns and a seed."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(columns)}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+def share(number):
+    """A number as one in [0, 1)."""
+    return f"({number} % 4503599627370496) / 4503599627370496.0"
+
+
 def long(names, source="m"):
     """(CoilID, Y, feature, value) without nulls."""
     return f"l AS (SELECT * FROM (UNPIVOT {source} ON {', '.join(names)} INTO NAME feature VALUE value))"
@@ -675,22 +686,63 @@ def statements() -> dict[str, str]:
            FROM nd QUALIFY place <= 3""",
         ["distance"], ["CoilID", "neighbour", "place"],
     )
-    sql["smote"] = out(
+    few = f"few AS (SELECT *, row_number() OVER (ORDER BY {mark('CoilID')}, CoilID) - 1 AS nr FROM m WHERE Y = 1)"
+    sizes = "cs AS (SELECT count(*) FILTER (Y = 0) - count(*) FILTER (Y = 1) AS short, count(*) FILTER (Y = 1) AS n1 FROM m)"
+
+    def made(source, names):
+        square = "sqrt(" + total([f"(a.{c} - z.{c}) * (a.{c} - z.{c})" for c in names]) + ")"
+        near = (
+            f"nd AS (SELECT a.CoilID, min({{'d': {square}, 'n': z.CoilID}}, 3) AS near "
+            "FROM few a JOIN few z ON a.CoilID <> z.CoilID GROUP BY a.CoilID)"
+        )
+        dealt = "dl AS (SELECT few.*, unnest(range(1, short // n1 + CAST(nr < short % n1 AS INTEGER) + 1)) AS copy FROM few, cs)"
+        placed = (
+            f"pl AS (SELECT *, {mark('CoilID', 'copy', seed=45)} % 3 + 1 AS place, "
+            f"{share(mark('CoilID', 'copy', seed=46))} AS gap FROM dl)"
+        )
+        picked = "pi AS (SELECT pl.*, near[place].n AS neighbour FROM pl JOIN nd USING (CoilID))"
+        columns = ", ".join(f"p.{c} + gap * (z.{c} - p.{c}) AS {c}" for c in names)
+        rows = f"ma AS (SELECT p.CoilID AS source, p.copy, p.neighbour, p.gap, p.Y, {columns} FROM pi p JOIN few z ON z.CoilID = p.neighbour)"
+        return [source, few, sizes, near, dealt, placed, picked, rows]
+
+    sql["smote"] = out(made(LINES, SCALE), "SELECT * FROM ma", ["gap", *SCALE], ["copy", "Y"], ["source", "neighbour"])
+    sql["smote_sizes"] = out(
         lin,
         """SELECT Y, 0 AS synthetic, count(*) AS n FROM m GROUP BY Y UNION ALL
            SELECT 1, 1, count(*) FILTER (Y = 0) - count(*) FILTER (Y = 1) FROM m""",
         [], ["Y", "synthetic", "n"],
     )
     sql["hybrid_resample"] = out(
-        emb,
-        """SELECT 0 AS Y, 1.0 AS weight, count(*) FILTER (Y = 0) AS n FROM m UNION ALL
-           SELECT 1, 20.0, count(*) FILTER (Y = 0) FROM m""",
-        ["weight"], ["Y", "n"],
+        made(EMBEDDINGS, WIDE),
+        f"""SELECT Y, CASE WHEN Y = 1 THEN 20.0 ELSE 1.0 END AS weight, count(*) AS n,
+              {', '.join(f'avg({c}) AS mean_{c}' for c in WIDE)}
+            FROM (SELECT Y, {', '.join(WIDE)} FROM m UNION ALL SELECT Y, {', '.join(WIDE)} FROM ma) GROUP BY Y""",
+        ["weight", *[f"mean_{c}" for c in WIDE]], ["Y", "n"],
     )
     sql["stratified_folds"] = out(
-        [LINES, "nu AS (SELECT Y, row_number() OVER (PARTITION BY Y ORDER BY CoilID) - 1 AS r FROM m)"],
-        "SELECT Y, r % 5 AS fold, count(*) AS n, count(*) AS keys FROM nu GROUP BY 1, 2",
-        [], ["Y", "fold", "n", "keys"],
+        [LINES],
+        f"SELECT CoilID, Y, (row_number() OVER (PARTITION BY Y ORDER BY {mark('CoilID')}, CoilID) - 1) % 5 AS fold FROM m",
+        [], ["Y", "fold"], ["CoilID"],
+    )
+    steps, term, reached = [], math.exp(-1.0), 0.0
+    for copies in range(18):
+        reached += term
+        steps.append(f"WHEN u < {reached!r} THEN {copies}")
+        term /= copies + 1
+    sql["balanced_bags"] = out(
+        [LINES,
+         f"""dr AS (SELECT m.*, bag, {share(mark('CoilID', 'bag'))} AS u FROM m, (SELECT unnest(range(10)) AS bag)),
+         co AS (SELECT *, unnest(range(1, CASE {' '.join(steps)} ELSE 18 END + 1)) AS copy FROM dr),
+         le AS (SELECT bag, min(n) AS size FROM (SELECT bag, Y, count(*) AS n FROM co GROUP BY bag, Y) GROUP BY bag),
+         ke AS (SELECT co.*, size FROM co JOIN le USING (bag)
+           QUALIFY row_number() OVER (PARTITION BY bag, Y ORDER BY {mark('CoilID', 'bag', 'copy')}, CoilID, copy) <= size)"""],
+        "SELECT bag, Y, count(*) AS n, max(copy) AS copies, sum(X1) AS sum_X1, sum(X5) AS sum_X5 FROM ke GROUP BY bag, Y",
+        ["sum_X1", "sum_X5"], ["bag", "Y", "n", "copies"],
+    )
+    sql["isolation_samples"] = out(
+        [LINES],
+        "SELECT unnest(range(100)) AS tree, least(256, n) AS n, least(256, n) AS keys FROM (SELECT count(*) AS n FROM m)",
+        [], ["tree", "n", "keys"],
     )
 
     # evaluation
@@ -901,6 +953,37 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
         "SELECT feature, mean_shift, psi FROM sh JOIN ps USING (feature)",
         ["mean_shift", "psi"], [], ["feature"],
     )
+    sql["stream_drift"] = out(
+        ["""l AS (SELECT 'value' AS feature, value, event_type = 'error' AS known FROM events
+             UNION ALL SELECT 'hour', CAST(hour(ts) AS DOUBLE), event_type = 'error' FROM events)""",
+         f"""ed AS (SELECT feature, quantile_cont(value, {deciles}) AS e FROM l WHERE known GROUP BY feature),
+         bn AS (SELECT feature, known, {bin_number(10)} AS bin FROM l JOIN ed USING (feature)),
+         cb AS (SELECT feature, bin, count(*) FILTER (known) AS was, count(*) AS now FROM bn GROUP BY 1, 2),
+         sb AS (SELECT feature, now, greatest(was / sum(was) OVER (PARTITION BY feature), 1e-6) AS a,
+             greatest(now / sum(now) OVER (PARTITION BY feature), 1e-6) AS c FROM cb)"""],
+        "SELECT feature, sum(now) AS n, sum((c - a) * ln(c / a)) AS psi FROM sb GROUP BY feature",
+        ["psi"], ["n"], ["feature"],
+    )
+    sql["stream_score_model"] = out(
+        emb, "SELECT count(*) AS n, 0.0 AS gap, count(*) AS decided FROM m", ["gap"], ["n", "decided"]
+    )
+    cell = {c: f"least(CAST(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 40) AS INTEGER), 39)" for c in ("X1", "X2")}
+    sql["binned_points"] = out(
+        [LINES, "en AS (SELECT min(X1) AS lo_X1, max(X1) AS hi_X1, min(X2) AS lo_X2, max(X2) AS hi_X2 FROM m)",
+         f"pt AS (SELECT Y, {cell['X1']} AS bin_x, {cell['X2']} AS bin_y, en.* FROM m, en)"],
+        """SELECT Y, bin_x, bin_y, any_value(lo_X1) + bin_x * ((any_value(hi_X1) - any_value(lo_X1)) / 40) AS low_x,
+             any_value(lo_X1) + (bin_x + 1) * ((any_value(hi_X1) - any_value(lo_X1)) / 40) AS high_x,
+             any_value(lo_X2) + bin_y * ((any_value(hi_X2) - any_value(lo_X2)) / 40) AS low_y,
+             any_value(lo_X2) + (bin_y + 1) * ((any_value(hi_X2) - any_value(lo_X2)) / 40) AS high_y, count(*) AS n
+           FROM pt GROUP BY Y, bin_x, bin_y""",
+        ["low_x", "high_x", "low_y", "high_y"], ["Y", "bin_x", "bin_y", "n"],
+    )
+    sql["pca_point_totals"] = out(
+        lin,
+        "SELECT unnest(['pc1-pc2', 'pc1-pc3']) AS panel, Y, n FROM (SELECT Y, count(*) AS n FROM m GROUP BY Y)",
+        [], ["Y", "n"], ["panel"],
+    )
+    sql["regime_point_totals"] = out(lin, "SELECT Y, count(*) AS n FROM m GROUP BY Y", [], ["Y", "n"])
     sql["stream_monitor"] = out(
         [],
         """SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, count(*) AS n,

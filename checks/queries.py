@@ -26,10 +26,10 @@ from procsight.operators.explain import (
     tree_attributions,
 )
 from procsight.operators.smote import hybrid_resample, nearest_neighbours, smote
-from procsight.session import shared_folder
+from procsight.session import shared_folder, stored
 from procsight.sources import stand_ins as given
 from procsight.sources import tables
-from procsight.streaming.scoring import stream_monitor, stream_score
+from procsight.streaming.scoring import start_drift, stream_drift, stream_monitor, stream_score
 
 WIDE, SCALE = given.WIDE, given.SCALE
 DOCS = ["X1", "X2", "X3"]
@@ -69,6 +69,11 @@ def lines(spark, sf):
     return given.measurements_lineitem(spark, sf)
 
 
+def kept_lines(spark, sf):
+    """The same rows, joined and written once, for operators that read them several times."""
+    return stored(lines(spark, sf))
+
+
 def _on(source, operator, digits=6):
     """A query that applies `operator` to a stand-in table."""
     return lambda spark, sf: tidy(operator(source(spark, sf)), digits)
@@ -235,8 +240,7 @@ def select_interaction_pairs(spark, sf):
 
 
 def stratified_folds(spark, sf):
-    folded = sampling.stratified_folds(lines(spark, sf))
-    return tidy(folded.groupBy(LABEL, "fold").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("keys")))
+    return tidy(sampling.stratified_folds(lines(spark, sf)).select(KEY, LABEL, "fold"))
 
 
 def class_weights(mode):
@@ -248,13 +252,19 @@ def class_weights(mode):
 
 
 def smote_rows(spark, sf):
-    made = smote(lines(spark, sf), SCALE)
+    made = smote(kept_lines(spark, sf), SCALE).filter("synthetic")
+    return tidy(made.select("source", "copy", "neighbour", "gap", LABEL, *SCALE))
+
+
+def smote_sizes(spark, sf):
+    made = smote(kept_lines(spark, sf), SCALE)
     return tidy(made.groupBy(LABEL, "synthetic").agg(F.count("*").alias("n")))
 
 
 def hybrid_rows(spark, sf):
     made = hybrid_resample(embeddings(spark, sf), WIDE)
-    return tidy(made.groupBy(LABEL, "weight").agg(F.count("*").alias("n")))
+    means = [F.avg(c).alias(f"mean_{c}") for c in WIDE]
+    return tidy(made.groupBy(LABEL, "weight").agg(F.count("*").alias("n"), *means))
 
 
 def neighbours(spark, sf):
@@ -263,8 +273,10 @@ def neighbours(spark, sf):
 
 
 def balanced_bags(spark, sf):
-    bags = sampling.balanced_bags(lines(spark, sf), bags=10)
-    return tidy(bags.groupBy("bag", LABEL).agg(F.count("*").alias("n")))
+    """How many rows each bag has, and what they add up to."""
+    bags = sampling.balanced_bags(kept_lines(spark, sf), bags=10)
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("X1", "X5")]
+    return tidy(bags.groupBy("bag", LABEL).agg(F.count("*").alias("n"), F.max("copy").alias("copies"), *sums))
 
 
 # --- models ----------------------------------------------------------------------------------
@@ -457,7 +469,14 @@ def regimes(spark, sf):
 
 
 def flagged(spark, sf):
-    return isolation.isolation_forest(lines(spark, sf), SCALE)
+    return isolation.isolation_forest(kept_lines(spark, sf), SCALE)
+
+
+def isolation_samples(spark, sf):
+    """Every tree has its number of different rows."""
+    rows = lines(spark, sf).select(KEY)
+    drawn = isolation.tree_samples(rows, KEY, rows.count())
+    return tidy(drawn.groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("keys")))
 
 
 # --- drift, streaming ------------------------------------------------------------------------
@@ -514,6 +533,49 @@ def monitor(spark, sf):
     return tidy(counted.select(epoch, "n", "n_positive", "positive_rate", "mean_value"))
 
 
+def event_sizes(events):
+    """Two measurements of an event."""
+    return events.select("event_type", "value", F.hour("ts").cast("double").alias("hour"))
+
+
+def streamed_drift(spark, sf):
+    """All events as a stream, against the stored bins of the errors among them."""
+    folder = scratch(spark)
+    known = event_sizes(given.table(spark, sf, "events")).filter("event_type = 'error'")
+    edges = drift.open_edges(known, ["value", "hour"])
+    reference = stored(drift.bin_counts(known, edges))
+    start_drift(event_sizes(stream_events(spark, sf)), edges, folder).awaitTermination()
+    return tidy(stream_drift(spark, folder, reference))
+
+
+def streamed_model(spark, sf):
+    """A saved model on a stream: rows, and the largest difference from its scores in batch."""
+    folder = scratch(spark)
+    df = embeddings(spark, sf)
+    models.save_model(models.fit(models.preset("forest"), df, WIDE), f"{folder}/model")
+    model = models.load_model(models.preset("forest"), WIDE, f"{folder}/model")
+
+    def score(rows):
+        return model.score(rows, "probability_calibrated")
+
+    schema = given.table(spark, sf, "embeddings").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    query = (
+        stream_score(given.embedding_measurements(raw), score)
+        .select(KEY, "probability_calibrated", "prediction")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start(f"{folder}/scores")
+    )
+    query.awaitTermination()
+    streamed = spark.read.parquet(f"{folder}/scores")
+    batch = score(df).select(KEY, F.col("probability_calibrated").alias("p"))
+    gap = F.abs(F.col("probability_calibrated") - F.col("p"))
+    decided = F.count_if(F.col("prediction") == (F.col("p") >= scoring.THRESHOLD).cast("int"))
+    return tidy(streamed.join(batch, KEY).agg(F.count("*").alias("n"), F.max(gap).alias("gap"), decided.alias("decided")))
+
+
 def streamed_scores(spark, sf):
     """Decisions on `events` read as a stream."""
     folder = scratch(spark)
@@ -609,16 +671,16 @@ def registered() -> dict:
         "variance_range": _on(embeddings, lambda df: cleaning.variance_range(df, WIDE), 9),
         "univariate_stats": _on(embeddings, lambda df: univariate.univariate_stats(df, WIDE).drop("p_value")),
         "univariate_stats_lineitem": _on(
-            lines, lambda df: univariate.univariate_stats(df, SCALE).drop("p_value"), 4
+            kept_lines, lambda df: univariate.univariate_stats(df, SCALE).drop("p_value"), 4
         ),
         "mann_whitney": _on(embeddings, lambda df: univariate.mann_whitney(df, WIDE).drop("p_value")),
-        "mann_whitney_lineitem": _on(lines, lambda df: univariate.mann_whitney(df, SCALE).drop("p_value")),
+        "mann_whitney_lineitem": _on(kept_lines, lambda df: univariate.mann_whitney(df, SCALE).drop("p_value")),
         "significance": _on(embeddings, lambda df: univariate.significance(df, WIDE)),
         "top_significant": _on(embeddings, lambda df: univariate.top_significant(df, WIDE).drop("p_value")),
         "cv_instability": _on(embeddings, lambda df: univariate.cv_instability(df, WIDE), 4),
         "cv_instability_lineitem": _on(lines, lambda df: univariate.cv_instability(df, SCALE), 4),
         "iqr_outliers": _on(embeddings, lambda df: univariate.iqr_outliers(df, WIDE)),
-        "iqr_outliers_lineitem": _on(lines, lambda df: univariate.iqr_outliers(df, SCALE)),
+        "iqr_outliers_lineitem": _on(kept_lines, lambda df: univariate.iqr_outliers(df, SCALE)),
         "profile_diversity": _on(lines, lambda df: univariate.profile_diversity(df, SCALE), 2),
         "signature_entropy": _on(embeddings, lambda df: univariate.signature_entropy(df, WIDE)),
         "correlation_matrix": _on(embeddings, lambda df: correlation.correlation_matrix(df, WIDE)),
@@ -646,7 +708,7 @@ def registered() -> dict:
         "quantile_bins": quantile_bins,
         "defect_density_map": _on(lines, defect_density_map),
         "interaction_scan": _on(embeddings, interaction_scan),
-        "interaction_scan_lineitem": _on(lines, lambda df: interaction_scan(df, SCALE)),
+        "interaction_scan_lineitem": _on(kept_lines, lambda df: interaction_scan(df, SCALE)),
         "risk_score": _on(embeddings, risk_score),
         "conditional_regions": _on(embeddings, lambda df: interactions.conditional_regions(df, WIDE)),
         "exclusive_regions": _on(
@@ -660,7 +722,7 @@ def registered() -> dict:
             lambda df: interactions.interaction_scan_small(df, WIDE).drop("pair_index", "risk_range"),
         ),
         "operating_windows": _on(embeddings, lambda df: windows.operating_windows(df, WIDE)),
-        "operating_windows_lineitem": _on(lines, lambda df: windows.operating_windows(df, SCALE)),
+        "operating_windows_lineitem": _on(kept_lines, lambda df: windows.operating_windows(df, SCALE)),
         "critical_threshold": _on(embeddings, lambda df: critical_threshold(df, WIDE)),
         "standardize": _on(
             embeddings, lambda df: latent.standardize(df, WIDE).select(KEY, *WIDE)
@@ -672,6 +734,7 @@ def registered() -> dict:
             embeddings, lambda df: latent.scale(df, WIDE, "robust").select(KEY, *WIDE)
         ),
         "defect_clusters": _on(lines, lambda df: latent.defect_clusters(df, SCALE)),
+        "isolation_samples": isolation_samples,
         "isolation_forest": lambda spark, sf: tidy(flagged(spark, sf)),
         "anomaly_share": lambda spark, sf: tidy(isolation.anomaly_share(flagged(spark, sf))),
         "pca_profile": _on(embeddings, lambda df: latent.pca_profile(df, WIDE)),
@@ -706,6 +769,7 @@ def registered() -> dict:
         "class_weights_unbalance": class_weights("unbalance"),
         "class_weights_balanced": class_weights("balanced"),
         "smote": smote_rows,
+        "smote_sizes": smote_sizes,
         "nearest_neighbours": neighbours,
         "hybrid_resample": hybrid_rows,
         "balanced_bags": balanced_bags,
@@ -770,7 +834,7 @@ def registered() -> dict:
         "histogram_by_class_lineitem": _on(
             lines, lambda df: charts.histogram_by_class(df, SCALE, top=None), 4
         ),
-        "boxplot_by_class": _on(lines, lambda df: charts.boxplot_by_class(df, SCALE, top=None)),
+        "boxplot_by_class": _on(kept_lines, lambda df: charts.boxplot_by_class(df, SCALE, top=None)),
         "significance_chart": _on(embeddings, lambda df: charts.significance_chart(df, WIDE)),
         "class_share": _on(lines, charts.class_share),
         "instability_chart": _on(embeddings, lambda df: charts.instability_chart(df, WIDE), 4),
@@ -781,6 +845,16 @@ def registered() -> dict:
         "anomaly_chart": lambda spark, sf: tidy(charts.anomaly_chart(flagged(spark, sf))),
         "anomaly_histogram": lambda spark, sf: tidy(charts.anomaly_histogram(flagged(spark, sf))),
         "pca_chart": _on(embeddings, lambda df: charts.pca_chart(latent.pca_profile(df, WIDE))),
+        "binned_points": _on(lines, lambda df: charts.binned_points(df, "X1", "X2", [LABEL])),
+        "pca_points": _on(embeddings, lambda df: charts.pca_points(df, WIDE)),
+        "pca_point_totals": _on(
+            lines,
+            lambda df: charts.pca_points(df, SCALE).groupBy("panel", LABEL).agg(F.sum("n").alias("n")),
+        ),
+        "regime_points": _on(embeddings, lambda df: charts.regime_points(df, WIDE)),
+        "regime_point_totals": _on(
+            lines, lambda df: charts.regime_points(df, SCALE).groupBy(LABEL).agg(F.sum("n").alias("n"))
+        ),
         "regime_chart": lambda spark, sf: tidy(charts.regime_chart(regimes(spark, sf))),
         "fingerprints": _on(embeddings, lambda df: charts.fingerprints(df, WIDE)),
         "threshold_chart": lambda spark, sf: tidy(charts.threshold_chart(sweep(spark, sf))),
@@ -795,6 +869,8 @@ def registered() -> dict:
         "drift_report": drift_report,
         "stream_monitor": monitor,
         "stream_score": streamed_scores,
+        "stream_score_model": streamed_model,
+        "stream_drift": streamed_drift,
         "pca_squares": pca_squares,
         "pca_norms": pca_norms,
         "bag_balance": bag_balance,

@@ -53,4 +53,13 @@ def with_position(report: DataFrame, features: list[str]) -> DataFrame:
 
 def text_order(key: str):
     """A 60-bit number by which rows with text keys are ordered; any engine that has MD5 gives the same."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return _mark(F.col(key).cast("string"))
+
+
+def key_mark(keys: list, seed: int):
+    """A 60-bit number of some columns and a seed, joined by `|`; any engine that has MD5 gives the same."""
+    return _mark(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in keys], F.lit(str(seed))))
+
+
+def _mark(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")

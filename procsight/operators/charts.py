@@ -1,13 +1,14 @@
 """The tables behind the charts of the reports."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
 from procsight.functions.columns import long_form, with_position
 from procsight.operators.cleaning import class_distribution
 from procsight.operators.correlation import correlation_by_class, correlation_matrix
-from procsight.operators.quantiles import ROWS_FOR_DIRECT
+from procsight.operators.latent import assign_regimes, pca_project
+from procsight.operators.quantiles import SKETCH
 from procsight.operators.univariate import (
     ALPHA,
     class_quartiles,
@@ -24,6 +25,8 @@ SIGNIFICANCE_FEATURES = 15
 CHART_ROWS = 10
 ANOMALY_BINS = 30
 ANOMALY_CUT = -0.5
+# Cells of a scatter plot along each side.
+GRID = 40
 
 
 def class_share(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -104,11 +107,11 @@ def boxplot_by_class(
     features: list[str],
     label: str = LABEL,
     top: int | None = CHART_FEATURES,
-    direct_rows: int = ROWS_FOR_DIRECT,
+    size: int = SKETCH,
 ) -> DataFrame:
     """(feature, label, q1, median, q3, whisker_low, whisker_high, fliers)."""
     chosen = ranked_features(df, features, label, top) if top else features
-    boxes = class_quartiles(df, chosen, label, (0.25, 0.5, 0.75), direct_rows).select(
+    boxes = class_quartiles(df, chosen, label, (0.25, 0.5, 0.75), size).select(
         "feature",
         label,
         F.col("q")[0].alias("q1"),
@@ -208,6 +211,51 @@ def pca_chart(profile: DataFrame) -> DataFrame:
     return profile.filter(F.col("component") <= 20).select("component", single, "cumulative")
 
 
+def binned_points(df: DataFrame, x: str, y: str, by: list[str], bins: int = GRID) -> DataFrame:
+    """(by, bin_x, bin_y, low_x, high_x, low_y, high_y, n): all points of a scatter plot, counted in a grid.
+
+    The grid spans the values of both columns; points without a value of either are left out.
+    A column of one value has one bin. Two scans, and bins x bins rows for each group at most.
+    """
+    points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    marks = {"x": ends[:2], "y": ends[2:]}
+    if ends[0] is None:
+        marks = {"x": (0.0, 0.0), "y": (0.0, 0.0)}
+
+    def place(name: str) -> Column:
+        low, high = marks[name]
+        if low == high:
+            return F.lit(0).alias(f"bin_{name}")
+        step = F.floor((F.col(name) - low) / (high - low) * bins)
+        return F.least(step, F.lit(bins - 1)).cast("int").alias(f"bin_{name}")
+
+    def edge(name: str, side: str) -> Column:
+        low, high = marks[name]
+        step = F.col(f"bin_{name}") + (1 if side == "high" else 0)
+        width = (high - low) / bins
+        return (F.lit(low) + step * (width if width else 0.0)).alias(f"{side}_{name}")
+
+    counts = points.groupBy(*by, place("x"), place("y")).agg(F.count("*").alias("n"))
+    edges = [edge(name, side) for name in ("x", "y") for side in ("low", "high")]
+    return counts.select(*by, "bin_x", "bin_y", *edges, "n")
+
+
+def pca_points(df: DataFrame, features: list[str], label: str = LABEL, bins: int = GRID) -> DataFrame:
+    """(panel, label, grid cell, n): all rows on PC1-PC2 and PC1-PC3, by class."""
+    projected = pca_project(df, features, 3, (label,))
+    panels = [
+        binned_points(projected, "pc1", other, [label], bins).withColumn("panel", F.lit(f"pc1-{other}")) for other in ("pc2", "pc3")
+    ]
+    return panels[0].unionByName(panels[1])
+
+
+def regime_points(df: DataFrame, features: list[str], label: str = LABEL, bins: int = GRID) -> DataFrame:
+    """(regime, label, grid cell, n): all rows on PC1-PC2, by regime and class."""
+    return binned_points(assign_regimes(df, features, keep=(label,)), "pc1", "pc2", ["regime", label], bins)
+
+
 def regime_chart(regimes: DataFrame) -> DataFrame:
     """(regime, n, defect_rate_pct, colour): green below 10 %, orange below 20 %, red above."""
     rate = F.col("defect_rate_pct")

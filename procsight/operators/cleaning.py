@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import LABEL
-from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
+from procsight.operators.quantiles import SKETCH, exact_quantiles
 
 # The shape of a decimal number, and the label names of the class report.
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
@@ -38,13 +38,13 @@ def missing_profile(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_median(
-    df: DataFrame, features: list[str], direct_rows: int = ROWS_FOR_DIRECT
+    df: DataFrame, features: list[str], size: int = SKETCH
 ) -> dict[str, float]:
     """Exact medians of the features that have gaps in `df` (the training table)."""
     gaps = [row["feature"] for row in missing_profile(df, features).collect()]
     if not gaps:
         return {}
-    medians = exact_quantiles(df, gaps, [0.5], direct_rows=direct_rows)
+    medians = exact_quantiles(df, gaps, [0.5], size=size)
     return {feature: q[0] for (feature,), q in medians.items()}
 
 

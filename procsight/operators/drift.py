@@ -12,25 +12,23 @@ FLOOR = 1e-6
 ROWS_PER_PART = 200_000
 
 
-def drift_report(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
-    """(feature, mean_shift, psi): shift in reference deviations, and the stability index over the
-    reference's quantile bins (outer bins open)."""
+def open_edges(reference: DataFrame, features: list[str], bins: int = 10) -> dict[str, list[float]]:
+    """Edges of the reference's quantile bins, the outer bins open; features of one value have none."""
     edges = quantile_edges(reference, features, bins)
-    open_ended = {
-        c: [float("-inf"), *marks[1:-1], float("inf")] for c, marks in edges.items() if len(marks) > 1
-    }
-    sides = []
-    for side, df in (("reference", reference), ("current", current)):
-        cells = F.array(
-            *[
-                F.struct(F.lit(c).alias("feature"), bin_number(F.col(c), marks).alias("bin"))
-                for c, marks in open_ended.items()
-            ]
-        )
-        counted = df.select(F.inline(cells)).filter(F.col("bin").isNotNull())
-        sides.append(
-            counted.groupBy("feature", "bin").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
-        )
+    return {c: [float("-inf"), *marks[1:-1], float("inf")] for c, marks in edges.items() if len(marks) > 1}
+
+
+def bin_counts(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(feature, bin, n): features x bins rows at most. Works on streams too, where those rows are all of the state."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("feature"), bin_number(F.col(c), marks).alias("bin")) for c, marks in edges.items()]
+    )
+    return df.select(F.inline(cells)).filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+
+
+def stability_index(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(feature, psi) of two tables of `bin_counts`."""
+    sides = [df.withColumn("side", F.lit(side)) for side, df in (("reference", reference), ("current", current))]
     counts = (
         sides[0]
         .unionByName(sides[1])
@@ -43,9 +41,14 @@ def drift_report(reference: DataFrame, current: DataFrame, features: list[str],
     whole = Window.partitionBy("feature")
     was = F.greatest(F.col("was") / F.sum("was").over(whole), F.lit(FLOOR))
     now = F.greatest(F.col("now") / F.sum("now").over(whole), F.lit(FLOOR))
-    psi = counts.withColumn("part", (now - was) * F.log(now / was)).groupBy("feature").agg(
-        F.sum("part").alias("psi")
-    )
+    return counts.withColumn("part", (now - was) * F.log(now / was)).groupBy("feature").agg(F.sum("part").alias("psi"))
+
+
+def drift_report(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+    """(feature, mean_shift, psi): shift in reference deviations, and the stability index over the
+    reference's quantile bins (outer bins open)."""
+    edges = open_edges(reference, features, bins)
+    psi = stability_index(bin_counts(reference, edges), bin_counts(current, edges))
 
     def means(df: DataFrame, prefix: str) -> DataFrame:
         return long_form(df, features, []).groupBy("feature").agg(
@@ -70,18 +73,16 @@ def rolling_std(
 ) -> DataFrame:
     """Sample deviation over each row and the `window - 1` rows before it, in key order.
 
-    With `by`, within each group. Without, over the whole table: rows are
-    numbered in key order and cut into parts of equal size, and each part gets
-    the last rows of the one before it.
+    With `by`, within each group, else over the whole table. Rows are numbered in
+    key order and cut into parts of equal size, and each part gets the last rows
+    of the one before it; so no group, not even one of all rows, is one task's work.
     """
-    if by:
-        recent = Window.partitionBy(*by).orderBy(key).rowsBetween(1 - window, 0)
-        return df.withColumns({f"{c}_rolling_std": F.stddev_samp(c).over(recent) for c in features})
-    placed = with_sample_id(df, key)
+    by = by or []
+    placed = with_sample_id(df, key, by)
     part = F.floor(F.col("sample_id") / rows_per_part)
     own = placed.withColumns({"__part": part, "__own": F.lit(True)})
     last = F.pmod("sample_id", F.lit(rows_per_part)) >= rows_per_part - (window - 1)
     before = placed.where(last).withColumns({"__part": part + 1, "__own": F.lit(False)})
-    recent = Window.partitionBy("__part").orderBy("sample_id").rowsBetween(1 - window, 0)
+    recent = Window.partitionBy(*by, "__part").orderBy("sample_id").rowsBetween(1 - window, 0)
     rolled = own.unionByName(before).withColumns({f"{c}_rolling_std": F.stddev_samp(c).over(recent) for c in features})
     return rolled.where("__own").drop("__part", "__own", "sample_id")

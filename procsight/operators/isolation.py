@@ -1,20 +1,24 @@
 """Isolation forest: many random trees on small samples, scored over all rows.
 
 The samples are exact draws of `sample` rows per tree by hash, one group of that
-fixed size per tree. The forest is a table of at most trees x 2 x sample nodes.
+fixed size per tree. A row finds the trees that it is a candidate of by skipping
+ahead: one hash gives the next tree, so a row of a large table costs one hash
+whatever the number of trees. The forest is a table of at most trees x 2 x sample
+nodes.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
 from procsight.operators.latent import standardize
-from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
-from procsight.operators.sampling import SEED, hash_sample, unit
+from procsight.operators.quantiles import SKETCH, exact_quantiles
+from procsight.operators.sampling import SEED
 from procsight.session import stored
 
 TREES = 100
@@ -56,23 +60,56 @@ def _grow(sample: pd.DataFrame, features: list[str], seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "length"])
 
 
-def _tree_samples(
-    rows: DataFrame, key: str, n: int, trees: int, sample: int, seed: int
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 64-bit number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def trees_of(marks: np.ndarray, trees: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree): each row is in each tree with probability `rate`, independently; rows ascending.
+
+    Gaps between a row's trees are geometric, so every hash of a row gives its
+    next tree, and most rows of a large table are done after one.
+    """
+    step = math.log1p(-rate) if rate < 1 else -math.inf
+    row, at = np.arange(len(marks)), np.full(len(marks), -1.0)
+    x = marks.view(np.uint64)
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(row):
+        x = _mixed(x + np.uint64(0x9E3779B97F4A7C15))
+        u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        at = at + 1 + np.floor(np.log(u) / step)
+        alive = at < trees
+        row, at, x = row[alive], at[alive], x[alive]
+        rows.append(row)
+        found.append(at.astype(np.int64))
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], found[order]
+
+
+def tree_samples(
+    rows: DataFrame, key: str, n: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> DataFrame:
-    """`sample` rows per tree (all rows of a smaller table), without replacement in a tree.
+    """`sample` of the n rows per tree (all rows of a smaller table), without replacement in a tree, with `tree` and `__order`.
 
-    Each tree draws from all rows: a row becomes a tree's candidate where a hash
-    of both falls under a rate that leaves SPARE candidates for each place, and
-    the exact draw sees only the candidates.
+    A row is a tree's candidate at a rate that leaves SPARE candidates for each
+    place; of those the ones with the lowest hashes are the sample.
     """
-    sizes = rows.sparkSession.createDataFrame([(t, sample) for t in range(trees)], "tree int, size int")
     rate = min(1.0, SPARE * sample / max(n, 1))
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: unit(F.xxhash64(F.lit(seed + 1), F.col(key), t)) < rate,
-    )
-    candidates = rows.withColumn("tree", F.explode(drawn))
-    return hash_sample(candidates, ["tree"], [key, "tree"], sizes, seed)
+
+    @F.arrow_udf("array<int>")
+    def drawn(marks: pa.Array) -> pa.Array:
+        row, tree = trees_of(marks.to_numpy(zero_copy_only=False), trees, rate)
+        edge = np.searchsorted(row, np.arange(len(marks) + 1))
+        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(tree, pa.int32()))
+
+    candidates = rows.withColumn("tree", F.explode(drawn(F.xxhash64(F.lit(seed + 1), F.col(key)))))
+    lowest = Window.partitionBy("tree").orderBy("__order", key)
+    placed = candidates.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key), "tree"))
+    return placed.withColumn("__place", F.row_number().over(lowest)).filter(F.col("__place") <= sample).drop("__place")
 
 
 def isolation_scores(
@@ -88,9 +125,8 @@ def isolation_scores(
     spark = df.sparkSession
     scaled = standardize(df.select(key, label, *features), features)
     n = df.count()
-    members = _tree_samples(scaled.select(key, *features), key, n, trees, sample, seed)
     forest = (
-        members.withColumn("__order", F.xxhash64(key, "tree"))
+        tree_samples(scaled.select(key, *features), key, n, trees, sample, seed)
         .select("tree", "__order", *features)
         .groupBy("tree")
         .applyInPandas(
@@ -133,11 +169,11 @@ def isolation_forest(
     trees: int = TREES,
     sample: int = SAMPLE,
     seed: int = SEED,
-    direct_rows: int = ROWS_FOR_DIRECT,
+    size: int = SKETCH,
 ) -> DataFrame:
     """(key, label, score, anomaly): anomaly is -1 for scores above the cut, else 1."""
     scored = stored(isolation_scores(df, features, key, label, trees, sample, seed))
-    cut = exact_quantiles(scored, ["score"], [1 - contamination], direct_rows=direct_rows)[("score",)][0]
+    cut = exact_quantiles(scored, ["score"], [1 - contamination], size=size)[("score",)][0]
     return scored.withColumn("anomaly", F.when(F.col("score") > cut, F.lit(-1)).otherwise(F.lit(1)))
 
 

@@ -1,5 +1,6 @@
 """Tree ensembles: presets, fitting, cross-validation, out-of-fold scores, importance."""
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -261,6 +262,10 @@ def load_model(spec: ModelSpec, features: list[str], path: str, parts: int = 1)
     return Fitted(spec, features, models)
 
 
+# A split in the public description of a tree.
+_SPLIT = re.compile(r"If \(feature (\d+) ")
+
+
 def permutation_importance(
     fitted: Fitted,
     df: DataFrame,
@@ -273,30 +278,36 @@ def permutation_importance(
 
     Each repeat joins every row once with the row at its place in another hash
     order; a row's variants take one feature each from that partner. Both orders
-    are numbered without a global sort.
+    are numbered without a global sort. A feature that no tree splits on cannot
+    change a score: its loss is 0 and none of its variants is scored.
     """
     names = fitted.features
+    used = [names[i] for i in sorted({int(i) for m in fitted.models for i in _SPLIT.findall(m.stages[-1].toDebugString)})]
     rows = df.select(key, *names, label).withColumn("__all", F.lit(0))
     placed = stored(numbered(rows, ["__all"], [key], "__place", seed))
     variants = F.array(
         *[
             F.struct(F.lit(one).alias("feature"), *[F.col(f"__other_{c}" if c == one else c).alias(c) for c in names])
-            for one in names
+            for one in used
         ]
     )
+    unused = df.sparkSession.createDataFrame([(c, 0.0, 0.0) for c in names if c not in used], "feature string, drop_mean double, drop_std double")
+    if not used:
+        return unused
     swapped = None
     for repeat in range(repeats):
         other = numbered(rows.drop(label), ["__all"], [key], "__place", seed + 1 + repeat)
-        partner = other.select("__place", *[F.col(c).alias(f"__other_{c}") for c in names])
+        partner = other.select("__place", *[F.col(c).alias(f"__other_{c}") for c in used])
         part = placed.join(partner, "__place").select(key, label, F.lit(repeat).alias("repeat"), F.explode(variants).alias("__v"))
         swapped = part if swapped is None else swapped.unionByName(part)
     scored = fitted.score(swapped.select(key, label, "repeat", "__v.*"), "probability")
     whole = roc_auc(fitted.score(rows, "probability"), "probability", label).first()["roc_auc"]
     areas = roc_auc(scored, "probability", label, ["feature", "repeat"])
-    return areas.groupBy("feature").agg(
+    found = areas.groupBy("feature").agg(
         F.avg(F.lit(whole) - F.col("roc_auc")).alias("drop_mean"),
         F.stddev_pop("roc_auc").alias("drop_std"),
     )
+    return found.unionByName(unused)
 
 
 def soft_vote(fitted: list[Fitted], df: DataFrame, name: str = "probability") -> DataFrame:

@@ -1,7 +1,7 @@
 """Deterministic numbering, folds and exact samples, all driven by a hash of the row key.
 
-Rows are spread over the upper bits of the hash, which is even whatever the
-keys look like, so that neither a rare nor a dominating class is ever numbered
+The hash is the first 60 bits of an MD5, so any engine can repeat a draw. Rows are
+spread over its upper bits, which are even whatever the keys look like, so that neither a rare nor a dominating class is ever numbered
 in one task. Only the bucket totals, a bounded table, are ordered globally.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
+from procsight.functions.columns import key_mark
 
 # 16,384 buckets: the totals stay a small table, and a bucket of a table of 10^11 rows is still one
 # task's work.
@@ -18,8 +19,8 @@ BUCKET_BITS = 14
 SEED = 42
 
 
-def hashed(keys: list[str], seed: int):
-    return F.xxhash64(*keys, F.lit(seed))
+def hashed(keys: list, seed: int):
+    return key_mark(keys, seed)
 
 
 def unit(column):
@@ -30,7 +31,7 @@ def unit(column):
 def _bucketed(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     mark = hashed(keys, seed)
     return df.withColumn("__hash", mark).withColumn(
-        "__bucket", F.shiftright("__hash", 64 - BUCKET_BITS)
+        "__bucket", F.shiftright("__hash", 60 - BUCKET_BITS)
     )
 
 
@@ -48,7 +49,7 @@ def numbered(
     offsets = _bucket_offsets(bucketed, by).select(*by, "__bucket", "__offset")
     inside = Window.partitionBy(*by, "__bucket").orderBy("__hash", *keys)
     return (
-        bucketed.join(F.broadcast(offsets), [*by, "__bucket"])
+        bucketed.join(offsets, [*by, "__bucket"])
         .withColumn(name, F.col("__offset") + F.row_number().over(inside) - 1)
         .drop("__hash", "__bucket", "__offset")
     )
@@ -72,14 +73,14 @@ def hash_sample(
     bucket per group where the sample ends is ordered.
     """
     bucketed = _bucketed(df, keys, seed)
-    offsets = _bucket_offsets(bucketed, by).join(F.broadcast(sizes), by)
+    offsets = _bucket_offsets(bucketed, by).join(sizes, by)
     spans = offsets.filter(F.col("__offset") < F.col("size")).select(
         *by,
         "__bucket",
         (F.col("size") - F.col("__offset")).alias("__left"),
         (F.col("size") - F.col("__offset") < F.col("__count")).alias("__partial"),
     )
-    kept = bucketed.join(F.broadcast(spans), [*by, "__bucket"])
+    kept = bucketed.join(spans, [*by, "__bucket"])
     inside = Window.partitionBy(*by, "__bucket").orderBy("__hash", *keys)
     last = (
         kept.filter("__partial")
@@ -128,7 +129,7 @@ def balanced_bags(
     """
     drawn = (
         df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-        .withColumn("__copies", _poisson_one(unit(F.xxhash64(key, "bag", F.lit(seed)))))
+        .withColumn("__copies", _poisson_one(unit(hashed([key, "bag"], seed))))
         .filter(F.col("__copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .drop("__copies")

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from procsight import KEY
 from procsight.functions.columns import text_order
-from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
-from procsight.operators.ranks import range_borders, with_ranges
+from procsight.operators.quantiles import SKETCH, exact_quantiles
+from procsight.operators.ranks import range_borders, running_totals, with_ranges
 
 # The production threshold and the triage bands.
 THRESHOLD = 0.25
@@ -43,24 +43,25 @@ def predictions_table(
     )
 
 
-def with_sample_id(predictions: DataFrame, key: str = KEY) -> DataFrame:
-    """Add `sample_id` 0..n-1 in key order (in the order of `text_order` for text keys).
+def with_sample_id(predictions: DataFrame, key: str = KEY, by: list[str] | None = None) -> DataFrame:
+    """Add `sample_id` 0..n-1 in key order (in the order of `text_order` for text keys), in each group of `by`.
 
-    Keys are split into ranges first, so the numbering is not one task's work.
+    Keys are split into ranges first, so neither the numbering nor a group that has most rows is one task's work.
     """
+    by = by or []
     order = text_order(key) if dict(predictions.dtypes)[key] == "string" else F.col(key)
+    # A text, as rows with a null in `by` are a group too.
+    group = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by])
     placed = with_ranges(
-        predictions.withColumns({"__order": order, "__key": order.cast("double")}),
+        predictions.withColumns({"__order": order, "__key": order.cast("double"), "__by": group}),
         range_borders(predictions.select(order.cast("double").alias("__key")), ["__key"]),
     )
-    earlier = Window.orderBy("__key__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("__key__range").agg(F.count("*").alias("__n"))
-    # One row per range, so the ordered window sees a bounded table.
-    offsets = sizes.select(
-        "__key__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
+    sizes = placed.groupBy("__by", "__key__range").agg(F.count("*").alias("__n"))
+    offsets = running_totals(sizes, ["__by"], ["__n"], "__key__range").select(
+        "__by", "__key__range", F.col("__n_before").alias("__offset")
     )
-    inside = Window.partitionBy("__key__range").orderBy("__order", key)
-    numbered_rows = placed.join(F.broadcast(offsets), "__key__range").withColumn(
+    inside = Window.partitionBy("__by", "__key__range").orderBy("__order", key)
+    numbered_rows = placed.join(offsets, ["__by", "__key__range"]).withColumn(
         "sample_id", F.col("__offset") + F.row_number().over(inside) - 1
     )
     return numbered_rows.select("sample_id", *predictions.columns)
@@ -93,10 +94,10 @@ def prediction_summary(
     model: str = "gradient-boosted hybrid",
     original: int = 49,
     engineered: int = 15,
-    direct_rows: int = ROWS_FOR_DIRECT,
+    size: int = SKETCH,
 ) -> DataFrame:
     """(position, metric, value): counts, moments, quartiles and run facts, as text."""
-    quartiles = exact_quantiles(predictions, [probability], [0.25, 0.5, 0.75], direct_rows=direct_rows)
+    quartiles = exact_quantiles(predictions, [probability], [0.25, 0.5, 0.75], size=size)
     low, middle, high = quartiles.get((probability,), [None] * 3)
     p = F.col(probability)
     sums = predictions.agg(

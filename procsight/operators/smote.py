@@ -1,151 +1,70 @@
 """Synthetic minority rows between near neighbours.
 
-The neighbour search is exact. Rows are grouped into cells around pivot rows.
-A row's own cell chunk gives a first bound on its k-th neighbour distance; the
-triangle inequality then rules out every cell that cannot hold a closer row.
-Chunks and query groups have a bounded size, so neither a dense region nor a
-large minority ends up in one task, and a task emits at most k rows per query
-row, never all pairs.
+The neighbour search is exact (see `balltree`). It runs over distinct points, so a
+point that very many rows share is searched for once; only the first keys of
+its rows can be anyone's neighbours.
 """
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
+from procsight.operators.balltree import ROWS_PER_LEAF, nearest_points
 from procsight.operators.sampling import SEED, class_weights, hashed, numbered, unit
 from procsight.session import stored
 
-MOST_PIVOTS = 256
-ROWS_PER_CHUNK = 4096
-# Relative allowance for rounding in distances.
-SLACK = 1e-6
-
 
 def nearest_neighbours(
     df: DataFrame,
     features: list[str],
     key: str = KEY,
     k: int = 3,
-    seed: int = SEED,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_leaf: int = ROWS_PER_LEAF,
 ) -> DataFrame:
     """(key, neighbour, place, distance): the k nearest other rows of each row, ties by key.
 
-    A row with k copies in its own chunk takes those; which of many copies it gets
-    makes no difference, and looking further would compare all copies with each other.
+    Rows that lack a feature have no place and take no part.
     """
-    kind = dict(df.dtypes)[key]
-    points = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("point"))
-    n = points.count()
-    if n <= k:
-        raise ValueError(f"{n} rows have no {k} neighbours each")
-    wanted = min(MOST_PIVOTS, max(1, math.ceil(math.sqrt(n) / 2)))
-    pivots = np.array(
-        [row["point"] for row in points.orderBy(hashed([key], seed), key).limit(wanted).collect()]
-    )
+    return searched(df, features, key, k, rows_per_leaf)[0]
 
-    @F.pandas_udf("array<double>")
-    def pivot_distances(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy())
-        return pd.Series([np.sqrt(((pivots - row) ** 2).sum(axis=1)) for row in x])
 
-    # The cells are used by every later step, so they are written once.
-    placed = stored(
-        points.withColumn("to_pivots", pivot_distances("point"))
-        .withColumn("cell", (F.array_position("to_pivots", F.array_min("to_pivots")) - 1).cast("int"))
-        .withColumn("out", F.array_min("to_pivots"))
+def searched(
+    df: DataFrame, features: list[str], key: str = KEY, k: int = 3, rows_per_leaf: int = ROWS_PER_LEAF
+) -> tuple[DataFrame, float]:
+    """`nearest_neighbours`, and how many leaves of the tree a distinct point visited on average."""
+    point = F.array(*[F.col(c).cast("double") for c in features])
+    rows = df.select(key, point.alias("point")).filter(F.forall("point", lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = rows.count()
+    if n <= k:
+        raise ValueError(f"{n} rows have no {k} neighbours each")
+    # The first k + 1 keys of each point; the limit holds in each map task already.
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("point").orderBy(key))).filter(F.col("nth") <= k + 1)
+    points = stored(
+        first.groupBy("point")
+        .agg(F.sort_array(F.collect_list(key)).alias("keys"))
+        .withColumn("id", F.col("keys")[0])
     )
-    # One row per cell: at most MOST_PIVOTS rows.
-    cells = {
-        row["cell"]: (row["chunks"], row["radius"])
-        for row in placed.groupBy("cell")
-        .agg(
-            F.ceil(F.count("*") / rows_per_chunk).cast("int").alias("chunks"),
-            F.max("out").alias("radius"),
-        )
-        .collect()
-    }
-    chunks = F.element_at(F.create_map(*[F.lit(v) for c, (m, _) in cells.items() for v in (c, m)]), F.col("cell"))
-    chunked = placed.withColumn("chunk", F.pmod(hashed([key], seed + 1), chunks).cast("int"))
+    hits, visited = nearest_points(points.select("id", "point"), k, rows_per_leaf)
 
-    def closest(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        names = targets[key].to_numpy()
-        x, y = np.stack(queries["point"].to_numpy()), np.stack(targets["point"].to_numpy())
-        columns = {key: [], "neighbour": [], "distance": []}
-        for name, row in zip(queries[key].to_numpy(), x):
-            distance = np.sqrt(((y - row) ** 2).sum(axis=1))
-            distance[names == name] = np.inf
-            best = np.lexsort((names, distance))[:k]
-            best = best[np.isfinite(distance[best])]
-            columns[key].extend([name] * len(best))
-            columns["neighbour"].extend(names[best])
-            columns["distance"].extend(distance[best])
-        return pd.DataFrame(columns)
+    def named(keys, distance):
+        return F.transform(keys, lambda name: F.struct(distance.alias("distance"), name.alias("neighbour")))
 
-    found = f"{key} {kind}, neighbour {kind}, distance double"
-    first = chunked.groupBy("cell", "chunk").applyInPandas(lambda own: closest(own, own), found)
-    # A chunk holds fewer than k others only if it is tiny; such rows have no bound yet.
-    bounds = first.groupBy(key).agg(
-        F.when(F.count("*") >= k, F.max("distance")).alias("bound")
+    others = (
+        hits.join(points.select(F.col("id").alias("other"), "keys"), "other")
+        .select("id", F.explode(named(F.slice("keys", 1, k), F.col("distance"))).alias("x"))
+        .groupBy("id")
+        .agg(F.collect_list("x").alias("others"))
     )
-    reach = F.array(
-        *[
-            F.struct(F.lit(c).alias("cell"), F.lit(m).alias("chunks"), F.lit(radius).alias("radius"))
-            for c, (m, radius) in cells.items()
-        ]
+    # A point's own rows are at distance 0; one of the k + 1 may be the row itself.
+    near = points.join(others, "id", "left").select(
+        "point",
+        F.slice(
+            F.sort_array(F.concat(named(F.col("keys"), F.lit(0.0)), F.coalesce("others", F.array()))), 1, k + 1
+        ).alias("near"),
     )
-    near = F.filter(
-        reach,
-        lambda c: F.col("bound").isNull()
-        | (
-            (F.col("bound") > 0)
-            & (F.element_at("to_pivots", c["cell"] + 1) - c["radius"] <= F.col("bound") * (1 + SLACK))
-        ),
-    )
-    queries = (
-        chunked.join(bounds, key, "left")
-        .select(
-            key, "point", F.col("cell").alias("own_cell"), F.col("chunk").alias("own_chunk"),
-            F.explode(near).alias("near"),
-        )
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("near.chunks") - 1)))
-        .withColumn("cell", F.col("near.cell"))
-        .filter((F.col("cell") != F.col("own_cell")) | (F.col("chunk") != F.col("own_chunk")))
-        .select(key, "point", "cell", "chunk")
-    )
-    # Queries of one chunk are split into parts of bounded size; the chunk goes to each part.
-    asked = queries.groupBy("cell", "chunk").agg(F.count("*").alias("asked"))
-    parts = F.greatest(F.ceil(F.col("asked") / rows_per_chunk), F.lit(1)).cast("int")
-    sized = asked.select("cell", "chunk", parts.alias("parts"))
-    queries = queries.join(sized, ["cell", "chunk"]).withColumn(
-        "part", F.pmod(hashed([key], seed + 2), F.col("parts")).cast("int")
-    )
-    targets = chunked.select("cell", "chunk", key, "point").join(sized, ["cell", "chunk"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    group = ["cell", "chunk", "part"]
-    # Both sides come from the same rows; fresh names keep their columns apart.
-    asking = queries.select(*group, key, "point").toDF(*group, key, "point")
-    other = (
-        asking.groupBy(*group)
-        .cogroup(targets.select(*group, key, "point").toDF(*group, key, "point").groupBy(*group))
-        .applyInPandas(lambda q, t: closest(q, t) if len(q) and len(t) else empty(key), found)
-    )
-    order = Window.partitionBy(key).orderBy("distance", "neighbour")
-    return (
-        first.unionByName(other)
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k)
-        .select(key, "neighbour", "place", "distance")
-    )
-
-
-def empty(key: str) -> pd.DataFrame:
-    return pd.DataFrame({key: [], "neighbour": [], "distance": []})
+    own = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col(key)), 1, k)
+    found = rows.join(near, "point").select(key, F.posexplode(own).alias("place", "x"))
+    return found.select(key, "x.neighbour", (F.col("place") + 1).alias("place"), "x.distance"), visited
 
 
 def smote(
@@ -155,7 +74,7 @@ def smote(
     key: str = KEY,
     k: int = 3,
     seed: int = SEED,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_leaf: int = ROWS_PER_LEAF,
 ) -> DataFrame:
     """The table plus synthetic minority rows that bring the classes to 1:1.
 
@@ -180,15 +99,15 @@ def smote(
     if short == 0:
         return originals
     few = rows.filter(F.col(label) == minority)
-    near = nearest_neighbours(few, features, key, k, seed, rows_per_chunk).select(key, "neighbour", "place")
+    near = nearest_neighbours(few, features, key, k, rows_per_leaf).select(key, "neighbour", "place")
     share, extra = divmod(short, sizes[minority])
     dealt = (
         numbered(few, [label], [key], "__place", seed)
         .withColumn("__copies", F.lit(share) + (F.col("__place") < extra).cast("int"))
         .filter(F.col("__copies") > 0)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .withColumn("place", (F.pmod(F.xxhash64(key, "__copy", F.lit(seed + 3)), F.lit(k)) + 1).cast("int"))
-        .withColumn("gap", unit(F.xxhash64(key, "__copy", F.lit(seed + 4))))
+        .withColumn("place", (F.pmod(hashed([key, "__copy"], seed + 3), F.lit(k)) + 1).cast("int"))
+        .withColumn("gap", unit(hashed([key, "__copy"], seed + 4)))
     )
     ends = few.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"__to_{c}") for c in features])
     made = (

@@ -9,8 +9,9 @@ from pyspark.sql.types import DoubleType
 
 from procsight import LABEL
 from procsight.functions.columns import long_form, with_position
-from procsight.operators.quantiles import ROWS_FOR_DIRECT, exact_quantiles
+from procsight.operators.quantiles import SKETCH, RankScan, Span, exact_quantiles, interpolated, quantile_ranks
 from procsight.operators.ranks import ROWS_PER_RANGE, rank_sums, ranged_long_form
+from procsight.session import Scratch
 
 ALPHA = 0.05
 
@@ -41,6 +42,75 @@ def class_moments(df: DataFrame, features: list[str], label: str = LABEL) -> Dat
     )
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+class ClassProfile:
+    """What the class reports of a table have in common, in two scans for any number of features.
+
+    The first scan sketches every feature of every class. The second one counts the
+    rows around the quartiles and around the outlier fences, whose places
+    follow from the quartiles' brackets, and sums the moments; the exact quartiles and
+    the exact numbers of outliers come from those counts. All results are
+    bounded by features x classes.
+    """
+
+    def __init__(
+        self, df: DataFrame, features: list[str], label: str = LABEL, reach: float = 1.5, size: int = SKETCH
+    ):
+        self.spark, self.features, self.label = df.sparkSession, features, label
+        self.kind = dict(df.dtypes)[label]
+        with Scratch(self.spark) as scratch:
+            plain = df.select(label, *[F.col(c).cast("double").alias(c) for c in features]).filter(F.col(label).isNotNull())
+            scan = RankScan(plain, features, scratch, label, size, [F.count("*").alias("rows")])
+            self.sizes = {value: row["rows"] for value, row in scan.groups.items()}
+            spans = scan.spans(quantile_ranks(QUARTILES))
+            fences = {key: self._fences(own, scan.n[key], reach) for key, own in spans.items()}
+            counted = scan.count({key: [*own, *fences[key]] for key, own in spans.items()}, moments=True)
+            places = counted.places()
+            self.quartiles = {key: interpolated(found, scan.n[key], QUARTILES) for key, found in places.items()}
+            limits = {}
+            for key, (q1, _, q3) in self.quartiles.items():
+                at = len(spans[key])
+                limits[key] = [(at, q1 - reach * (q3 - q1), False), (at + 1, q3 + reach * (q3 - q1), True)]
+            self.outliers = {key: sum(n) for key, n in counted.beyond(limits).items()}
+            self.moments_of = {key: counted.moments(key) for key in places}
+
+    @staticmethod
+    def _fences(spans: list[Span], n: int, reach: float) -> list[Span]:
+        """Where the two fences can be, given where the quartiles can be."""
+
+        def bracket(p: float) -> tuple[float, float]:
+            low = int(p * (n - 1))
+            own = [s for s in spans if low in s.ranks or min(low + 1, n - 1) in s.ranks]
+            return min(s.low for s in own), max(s.high for s in own)
+
+        (a, b), (c, d) = bracket(0.25), bracket(0.75)
+        ends = [a - reach * (d - a), b - reach * (c - b), c + reach * (c - b), d + reach * (d - a)]
+        if not all(math.isfinite(x) for x in ends):
+            return [Span(-math.inf, math.inf)] * 2
+        # Room for the rounding of the fences themselves.
+        slack = 1e-9 * max(abs(x) for x in (a, b, c, d, *ends))
+        return [Span(min(ends[:2]) - slack, max(ends[:2]) + slack), Span(min(ends[2:]) - slack, max(ends[2:]) + slack)]
+
+    def moments(self) -> DataFrame:
+        """As `class_moments`."""
+        names = ["n", "mean", "std", "std_pop", "variance", "skew", "kurtosis", "low", "high"]
+        rows = [(feature, value, *[m[x] for x in names]) for (value, feature), m in self.moments_of.items()]
+        numbers = ", ".join(f"{x} {'bigint' if x == 'n' else 'double'}" for x in names)
+        return self.spark.createDataFrame(rows, f"feature string, {self.label} {self.kind}, {numbers}")
+
+    def outlier_counts(self) -> DataFrame:
+        """(feature, label, outliers, rows, min, max) by the class's own fences; rows with a gap count in the class size."""
+        rows = [
+            (feature, value, n, self.sizes[value], m["low"], m["high"])
+            for (value, feature), n in self.outliers.items()
+            for m in [self.moments_of[value, feature]]
+        ]
+        schema = f"feature string, {self.label} {self.kind}, outliers bigint, rows bigint, min double, max double"
+        return self.spark.createDataFrame(rows, schema)
+
+
 def side_by_side(per_class: DataFrame, names: list[str], label: str = LABEL) -> DataFrame:
     """(feature, label, ...) rows to one row per feature with normal_* and defect_* columns."""
     picks = [
@@ -77,17 +147,19 @@ def mann_whitney(
     )
 
 
+def _moments(df: DataFrame, features: list[str], label: str, profile: ClassProfile | None) -> DataFrame:
+    return profile.moments() if profile else class_moments(df, features, label)
+
+
 def significant(p_value: Column, alpha: float = ALPHA) -> Column:
     return F.when(p_value < alpha, "YES").otherwise("NO")
 
 
 def univariate_stats(
-    df: DataFrame, features: list[str], label: str = LABEL, alpha: float = ALPHA
+    df: DataFrame, features: list[str], label: str = LABEL, alpha: float = ALPHA, profile: ClassProfile | None = None
 ) -> DataFrame:
     """The univariate report, lowest p-value first."""
-    moments = side_by_side(
-        class_moments(df, features, label), ["mean", "std", "skew", "kurtosis"], label
-    )
+    moments = side_by_side(_moments(df, features, label, profile), ["mean", "std", "skew", "kurtosis"], label)
     tests = mann_whitney(df, features, label).select("feature", "z", "p_value")
     report = with_position(moments.join(F.broadcast(tests), "feature"), features)
     return (
@@ -137,9 +209,11 @@ def top_significant(
     ).limit(k)
 
 
-def cv_instability(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+def cv_instability(
+    df: DataFrame, features: list[str], label: str = LABEL, profile: ClassProfile | None = None
+) -> DataFrame:
     """Coefficient of variation per class, their ratio and the relative instability, highest first."""
-    sides = side_by_side(class_moments(df, features, label), ["mean", "std"], label)
+    sides = side_by_side(_moments(df, features, label, profile), ["mean", "std"], label)
 
     def variation(side: str) -> Column:
         return F.when(F.col(f"{side}_mean") == 0, F.lit(0.0)).otherwise(
@@ -167,10 +241,10 @@ def class_quartiles(
     features: list[str],
     label: str = LABEL,
     probabilities: tuple = (0.25, 0.75),
-    direct_rows: int = ROWS_FOR_DIRECT,
+    size: int = SKETCH,
 ) -> DataFrame:
     """(feature, label, q): quantiles of each class, as a table of features x classes rows."""
-    found = exact_quantiles(df, features, list(probabilities), by=label, direct_rows=direct_rows)
+    found = exact_quantiles(df, features, list(probabilities), by=label, size=size)
     kind = dict(df.dtypes)[label]
     rows = [(feature, value, q) for (value, feature), q in found.items() if value is not None]
     return df.sparkSession.createDataFrame(rows, f"feature string, {label} {kind}, q array<double>")
@@ -181,27 +255,11 @@ def iqr_outliers(
     features: list[str],
     label: str = LABEL,
     k: float = 1.5,
-    direct_rows: int = ROWS_FOR_DIRECT,
+    size: int = SKETCH,
+    profile: ClassProfile | None = None,
 ) -> DataFrame:
-    """Rows strictly outside their own class's quartile fences, most defect outliers first."""
-    fences = class_quartiles(df, features, label, direct_rows=direct_rows).select(
-        "feature",
-        label,
-        (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("fence_low"),
-        (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("fence_high"),
-    )
-    outside = (F.col("value") < F.col("fence_low")) | (F.col("value") > F.col("fence_high"))
-    per_class = (
-        long_form(df, features, [label])
-        .join(F.broadcast(fences), ["feature", label])
-        .groupBy("feature", label)
-        .agg(
-            F.count_if(outside).alias("outliers"),
-            F.count("*").alias("rows"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    """Rows strictly outside their own class's quartile fences, most defect outliers first. Two scans."""
+    per_class = (profile or ClassProfile(df, features, label, k, size)).outlier_counts()
     sides = side_by_side(per_class, ["outliers", "rows", "min", "max"], label)
     report = sides.select(
         "feature",
@@ -218,9 +276,11 @@ def iqr_outliers(
     )
 
 
-def profile_diversity(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+def profile_diversity(
+    df: DataFrame, features: list[str], label: str = LABEL, profile: ClassProfile | None = None
+) -> DataFrame:
     """Mean feature variance of each class and the verdict on which class varies more."""
-    moments = class_moments(df, features, label)
+    moments = _moments(df, features, label, profile)
     means = moments.agg(
         F.avg(F.when(F.col(label) == 0, F.col("variance"))).alias("normal_variance"),
         F.avg(F.when(F.col(label) == 1, F.col("variance"))).alias("defect_variance"),
@@ -231,9 +291,11 @@ def profile_diversity(df: DataFrame, features: list[str], label: str = LABEL) ->
     )
 
 
-def signature_entropy(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+def signature_entropy(
+    df: DataFrame, features: list[str], label: str = LABEL, profile: ClassProfile | None = None
+) -> DataFrame:
     """-sum(s ln(s + 1e-10)) over the population deviations s of each class, and the verdict."""
-    moments = class_moments(df, features, label)
+    moments = _moments(df, features, label, profile)
     spread = F.col("std_pop")
     term = -spread * F.log(spread + 1e-10)
     sums = moments.agg(

@@ -42,15 +42,16 @@ def eda_reports(
     density = interactions.defect_density_map(train, interactions.pair_list(ranked), label)
     density = stored(density)
     pairs = interactions.risk_score(interactions.interaction_strength(density))
+    profile = univariate.ClassProfile(train, features, label)
     sliding = windows.operating_windows(train, ranked[: windows.TOP_FEATURES], label, key, top=None)
     return {
         "dataset": cleaning.dataset_profile(train, features),
         "low_variance": cleaning.low_variance_features(train, features),
         "classes": cleaning.class_distribution(train, label),
         "imbalance": cleaning.imbalance_ratio(train, label),
-        "univariate": univariate.univariate_stats(train, features, label),
-        "instability": univariate.cv_instability(train, features, label),
-        "outliers": univariate.iqr_outliers(train, features, label),
+        "univariate": univariate.univariate_stats(train, features, label, profile=profile),
+        "instability": univariate.cv_instability(train, features, label, profile),
+        "outliers": univariate.iqr_outliers(train, features, label, profile=profile),
         "redundancy": correlation.redundancy(train, features),
         "breakdowns": correlation.correlation_breakdowns(train, features, label),
         "blocks": correlation.feature_blocks(train, features),
@@ -59,8 +60,8 @@ def eda_reports(
         "conditional": interactions.conditional_cells(density),
         "unstable_regions": interactions.exclusive_cells(density),
         "thresholds": windows.critical_threshold(sliding),
-        "diversity": univariate.profile_diversity(train, features, label),
-        "entropy": univariate.signature_entropy(train, features, label),
+        "diversity": univariate.profile_diversity(train, features, label, profile),
+        "entropy": univariate.signature_entropy(train, features, label, profile),
     }
 
 

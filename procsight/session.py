@@ -37,12 +37,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder that only the work inside a `with` block reads; they are deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/procsight-scratch-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        return _write(df, f"{self.folder}/{self.tables}")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     For rows that many later jobs use: the lineage ends here, a lost executor
     costs a scan, and later jobs read only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession)}/procsight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_folder(df.sparkSession)}/procsight-{uuid.uuid4().hex}")

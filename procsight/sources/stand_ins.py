@@ -28,7 +28,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def measurements_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """49 measurements per row, label = (class 0)."""
-    return table(spark, sf_dir, "embeddings").select(
+    return embedding_measurements(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_measurements(vectors: DataFrame) -> DataFrame:
+    """The same of any table, or stream, of vectors."""
+    return vectors.select(
         F.col("vec_id").alias(KEY),
         *[F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(WIDE)],
         (F.col("label") == 0).cast("int").alias(LABEL),

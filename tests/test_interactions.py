@@ -80,12 +80,12 @@ def brute_windows(frame, feature):
 
 
 @pytest.mark.parametrize("n", [20, 30, 31, 100, 300])
-@pytest.mark.parametrize("direct_rows", [10_000, 25])
-def test_windows_match_a_loop(spark, table, n, direct_rows):
+@pytest.mark.parametrize("size", [4096, 8])
+def test_windows_match_a_loop(spark, table, n, size):
     frame = table.head(n)
     df = as_spark(spark, frame)
     names = ["X1", "X2", "X3", "X5"]
-    found = windows.operating_windows(df, names, top=None, direct_rows=direct_rows).toPandas()
+    found = windows.operating_windows(df, names, top=None, size=size).toPandas()
     for c in names:
         part = found[found.feature == c].sort_values("start")
         expected = brute_windows(frame, c)

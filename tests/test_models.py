@@ -13,8 +13,10 @@ from procsight.operators.calibrate import (
 )
 from procsight.operators.explain import (
     attribution_rows,
+    cover,
     explain_first_defect,
     global_attributions,
+    parse_trees,
     read_leaves,
     tree_attributions,
 )
@@ -89,8 +91,9 @@ def test_attributions_are_shapley_values(spark, small, boosted):
     """Against the definition: mean marginal contribution over all orders of the features."""
     import itertools
 
-    _, path = boosted
-    leaves = read_leaves(spark, path)
+    fitted, path = boosted
+    trees = parse_trees(fitted.models[0].stages[-1].toDebugString)
+    leaves = read_leaves(trees, cover(small, FEATURES, trees))
     row = small.orderBy("CoilID").first()
     x = [row[c] for c in FEATURES]
 
@@ -111,6 +114,28 @@ def test_attributions_are_shapley_values(spark, small, boosted):
     assert np.allclose(found["attributions"], expected / len(orders)) and np.isclose(found["base"], worth(set()))
 
 
+def test_trees_are_read_from_their_description(small, boosted):
+    model = boosted[0].models[0].stages[-1]
+    trees = parse_trees(model.toDebugString)
+    assert [t.weight for t in trees] == model.treeWeights and [len(t.feature) for t in trees] == [t.numNodes for t in model.trees]
+    rows = boosted[0].models[0].transform(small.dropna()).select(*FEATURES, models.MODEL_COLUMNS["rawPredictionCol"]).collect()
+    x = np.array([[r[c] for c in FEATURES] for r in rows])
+    margin = 2 * sum(t.weight * t.value[t.leaf_of(x)] for t in trees) / 2
+    assert np.allclose(margin, [r[-1][1] for r in rows])
+    for t, own in zip(trees, cover(small, FEATURES, trees), strict=True):
+        inner = t.feature >= 0
+        assert own[0] == 300 and (own[inner] == own[t.low[inner]] + own[t.high[inner]]).all()
+    with pytest.raises(ValueError):
+        parse_trees("  Tree 0 (weight 1.0):\n    If (feature 0 in {1.0})\n")
+
+
+def test_unused_features_lose_nothing(small):
+    constant = small.withColumn("X9", F.lit(1.0))
+    fitted = models.fit(models.preset("forest", trees=3, depth=3), constant, [*FEATURES, "X9"])
+    found = {r.feature: r for r in models.permutation_importance(fitted, constant, repeats=2).collect()}
+    assert set(found) == {*FEATURES, "X9"} and found["X9"].drop_mean == 0 and found["X9"].drop_std == 0
+
+
 def test_attribution_tables(small, boosted):
     table = tree_attributions(small, FEATURES, boosted[1])
     assert attribution_rows(table, FEATURES).count() == 900
@@ -212,6 +237,21 @@ def test_isolation_forest(spark, small, trees, sample):
 
 def test_isolation_samples_are_exact(small):
     for n, trees, sample in ((300, 10, 64), (300, 2, 16)):
-        drawn = isolation._tree_samples(small.select("CoilID", "X1"), "CoilID", n, trees, sample, 1).toPandas()
+        drawn = isolation.tree_samples(small.select("CoilID", "X1"), "CoilID", n, trees, sample, 1).toPandas()
         assert (drawn.groupby("tree").size() == sample).all() and len(drawn) == trees * sample
         assert not drawn.duplicated(["tree", "CoilID"]).any()
+
+
+def test_skipping_ahead_draws_each_pair_alike():
+    """Every (row, tree) comes up at the same rate, and trees independently of each other."""
+    marks = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 40_000)
+    row, tree = isolation.trees_of(marks, 30, 0.07)
+    assert np.all(np.diff(row) >= 0) and len(np.unique(row * 30 + tree)) == len(row)
+    drawn = np.zeros((40_000, 30))
+    drawn[row, tree] = 1
+    rates = drawn.mean(axis=0)
+    assert abs(rates - 0.07).max() < 5 * np.sqrt(0.07 * 0.93 / 40_000)
+    together = (drawn.T @ drawn / 40_000)[~np.eye(30, dtype=bool)]
+    assert abs(together - 0.07**2).max() < 5 * np.sqrt(0.07**2 / 40_000)
+    row, tree = isolation.trees_of(marks[:5], 4, 1.0)
+    assert row.tolist() == np.repeat(np.arange(5), 4).tolist() and tree.tolist() == [0, 1, 2, 3] * 5

@@ -54,11 +54,11 @@ def test_bags_are_balanced(small, table):
     assert bags[bags.bag == 0].CoilID.tolist() != bags[bags.bag == 1].CoilID.tolist()
 
 
-@pytest.mark.parametrize("rows_per_chunk", [4096, 7])
+@pytest.mark.parametrize("rows_per_leaf", [4096, 7])
 @pytest.mark.parametrize("k", [1, 3])
-def test_neighbours_match_brute_force(small, table, rows_per_chunk, k):
+def test_neighbours_match_brute_force(small, table, rows_per_leaf, k):
     few = small.filter("Y = 1")
-    found = nearest_neighbours(few, FEATURES, k=k, rows_per_chunk=rows_per_chunk).toPandas()
+    found = nearest_neighbours(few, FEATURES, k=k, rows_per_leaf=rows_per_leaf).toPandas()
     rows = table[table.Y == 1]
     x, names = rows[FEATURES].to_numpy(), rows.CoilID.to_numpy()
     assert len(found) == k * len(rows)
@@ -74,7 +74,7 @@ def test_neighbours_match_brute_force(small, table, rows_per_chunk, k):
 def test_neighbours_of_equal_rows(spark):
     rows = [(i, 1.0, 2.0) for i in range(9)] + [(9, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "CoilID bigint, X1 double, X2 double")
-    found = nearest_neighbours(df, ["X1", "X2"], rows_per_chunk=3).toPandas()
+    found = nearest_neighbours(df, ["X1", "X2"], rows_per_leaf=3).toPandas()
     assert (found.groupby("CoilID").size() == 3).all()
     assert (found[found.CoilID < 9].distance == 0).all()
     assert found[found.CoilID == 9].neighbour.tolist() == [0, 1, 2]

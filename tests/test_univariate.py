@@ -63,9 +63,9 @@ def test_variation_with_zero_mean(spark):
     assert np.isclose(row["defect_cv"], np.std([2, 4], ddof=1) / 3)
 
 
-@pytest.mark.parametrize("direct_rows", [10_000, 20])
-def test_outliers(small, table, direct_rows):
-    found = {r["feature"]: r for r in univariate.iqr_outliers(small, FEATURES, direct_rows=direct_rows).collect()}
+@pytest.mark.parametrize("size", [4096, 8])
+def test_outliers(small, table, size):
+    found = {r["feature"]: r for r in univariate.iqr_outliers(small, FEATURES, size=size).collect()}
     for c in FEATURES:
         for y, side in ((0, "normal"), (1, "defect")):
             x = table.loc[table.Y == y, c]
