@@ -6,19 +6,69 @@ from tests.conftest import SF
 from tests.llm.frames import AWKWARD, docs
 
 
+def named(scanner, text):
+    return [x[1] for x in scanner.places(text)]
+
+
 def test_each_notice_gives_its_license_within_other_words():
     scanner = licenses.Scanner(licenses.NOTICES)
     for name, notice in licenses.NOTICES.items():
         for block in (notice, notice.upper(), f"Some words. {notice} And more words.", notice.replace(" ", "  ")):
-            assert scanner.scan(block)[0] == name
-    assert scanner.scan("The license of this text is unknown, ask for permission.") is None
-    assert scanner.scan("Licensed under the Apache License, Version 1.1.") is None
+            assert named(scanner, block) == [name]
+    assert named(scanner, "The license of this text is unknown, ask for permission.") == []
+    assert named(scanner, "Licensed under the Apache License, Version 1.1.") == []
 
 
 def test_ranking_puts_the_own_notice_first():
     scanner = licenses.Scanner(licenses.NOTICES)
     for name, notice in licenses.NOTICES.items():
-        assert scanner.ranked(notice)[0][1] == name
+        assert scanner.templates[scanner.ranked(tuple(licenses.words(notice)), False)[0][1]][0] == name
+
+
+def test_the_query_goes_by_the_ranking(monkeypatch):
+    """Every place that is found was ranked; without savings nothing is."""
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.TEXTS)
+    text = "Some page.\n" + licenses.TEXTS["MIT"][0] + "\nReleased under the MIT License.\nLicensed under CC BY 4.0."
+    seen = []
+    whole = scanner.ranked
+    scanner.ranked = lambda block, long: seen.append((long, whole(block, long))) or seen[-1][1]
+    assert named(scanner, text) == ["MIT", "MIT", "CC-BY-4.0"]
+    assert {long for long, _ in seen} == {False, True}
+    assert all([-x[0] for x in found] == sorted(-x[0] for x in found) for _, found in seen)
+    scanner.ranked = lambda block, long: []
+    assert named(scanner, text) == []
+
+
+def test_short_forms_lists_and_later_licenses():
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.TEXTS)
+    page = "Mit der Zeit und mit anderen Worten.\n{}\nAnd what follows on this page, with more of it."
+    for text, want in [
+        ("GNU General Public License v3", ["GPL-3.0"]), ("GNU General Public License v3.0", ["GPL-3.0"]),
+        ("This code is licensed under GPLv3", ["GPL-3.0"]), ("licensed under AGPLv3", ["AGPL-3.0"]), ("License: MIT", ["MIT"]),
+        ("# License: Apache-2.0", ["Apache-2.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+        ("it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0"]),
+        (" * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License"
+         " version 2 as\n * published by the Free Software Foundation.", ["GPL-2.0"]),
+        ("Eclipse Public License - v 2.0", ["EPL-2.0"]), ("Boost Software License - Version 1.0 - August 17th, 2003", ["BSL-1.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-only AND BSD-3-Clause OR MIT", ["BSD-3-Clause", "GPL-2.0", "MIT"]),
+        ("Das Auto fährt mit Licht, mit Lizenz.", []), ("the license of mit people", []),
+    ]:
+        assert sorted(named(scanner, page.format(text))) == want, text
+
+
+def test_blocks_hold_every_place_whole():
+    text = ["word"] * 3000
+    for p in (0, 700, 900, 1100, 1300, 2999):
+        text[p] = "license"
+    for sizes in (licenses.SHORT_BLOCK, licenses.LONG_BLOCK):
+        found = licenses.blocks(text, *sizes)
+        assert all(0 <= a < b <= 3000 and b - a <= sizes[2] for a, b in found)
+        for p in (0, 700, 900, 1100, 1300, 2999):
+            begin, end = max(0, p - sizes[0]), min(3000, p + sizes[1])
+            for k in range(begin, max(begin + 1, end - sizes[2] // 2 + 1)):
+                assert any(a <= k and min(k + sizes[2] // 2, end) <= b for a, b in found)
 
 
 def test_differences_are_exact():
