@@ -12,7 +12,7 @@ from procsight.llm.memory import once, remembered
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Split words whose ids a worker remembers; as many of the time before are at hand.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 
 
 class Words(dict):

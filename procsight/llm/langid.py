@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsight.llm.memory import once
-from procsight.llm.tables import bounded, held_out, kept_rows, utf8
+from procsight.llm.tables import bounded_by, held_out, kept_rows, utf8
 from procsight.llm.words import IN_WORD, LOWER, hashes, raw, slices, spans
 
-#: Rows, and pieces of each language, that the network learns from at most, about.
-TRAIN_ROWS, TRAIN_PIECES = 4000, 6000
+#: Rows and pieces of each language that the network learns from at most, about.
+TRAIN_ROWS, TRAIN_PIECES = 1000, 6000
 PIECE, HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 16, 8, 256, 0.01, 7
 #: Pieces that a worker remembers before it starts anew, and pieces run at a time.
 REMEMBERED, RUN = 600_000, 4096
@@ -182,10 +182,11 @@ class Network:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS, per_language: int = TRAIN_PIECES, key: str = "doc_id") -> Network | None:
     """The network fitted on pieces of a bounded sample of the rows that may be learned from; None without such rows.
 
-    Rows are chosen by a hash of their key, and about as many pieces of each language by a seeded draw.
+    Of each language about `rows` rows are chosen by a hash of their key, so that a
+    rare language stays a class at any size, and about as many pieces by a seeded draw.
     """
     allowed = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col("lang").isNotNull())
-    sample = bounded(allowed.select(key, "lang", utf8("text").alias("text")), key, rows)
+    sample = bounded_by(allowed.select(key, "lang", utf8("text").alias("text")), "lang", key, rows)
 
     def count(batches):
         for batch in batches:
@@ -276,7 +277,7 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id") -> D
     def label(batches):
         names = np.array([*network.languages, UNKNOWN])
         for batch in batches:
-            for some in slices(batch, 2, 2 << 20):
+            for some in slices(batch, 2):
                 best, score = _judged(network, some.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())],

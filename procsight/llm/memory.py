@@ -5,11 +5,14 @@ this package begins anew with each task and everything in it would be sent. What
 is kept here stays in the process and is never sent.
 """
 
+import ctypes
 import sys
 from collections.abc import Callable
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
+
 _NAME = "procsight_memory"
 
 
@@ -18,6 +21,14 @@ def remembered(name: str) -> dict:
     return vars(sys.modules.setdefault(_NAME, ModuleType(_NAME))).setdefault(name, {})
 
 
+def give_back() -> None:
+    """Return to the system what earlier batches took: Arrow and malloc keep it, but workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def once(name: str, key: Any, make: Callable[[], Any]) -> Any:
     """What `make` gave for this name and key; only the latest of all is kept, so that one job's tables don't burden the next."""
     latest = remembered("latest")

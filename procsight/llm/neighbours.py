@@ -24,15 +24,15 @@ QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS = 4096, 4096, 32
 #: Rows of a tile.
 TILE = 1024
 
-HITS = "query_id bigint, vec_id bigint, score double"
+HITS = "owner bigint, query_id bigint, vec_id bigint, score double"
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, v, dim: one vector for each key; null, empty, zero and non-finite ones are left out."""
+    """uid, key, v, dim of every row with a key; null, empty, zero and non-finite vectors are left out."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.where(F.col(key).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    return rows.groupBy(F.col(key).cast("bigint").alias("key")).agg(F.min(v).alias("v")).withColumn("dim", F.size("v"))
+    return rows.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("bigint").alias("key"), v.alias("v"), F.size(v).alias("dim"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -64,10 +64,11 @@ class Codes:
 
 def _cell(k: int):
     def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, scores, owners = [], [], []
+        ids, scores, owners, names = [], [], [], []
         if queries.num_rows and rows.num_rows:
             dim = queries.column("dim")[0].as_py()
             qid, rid = queries.column("key").to_numpy(), rows.column("row").to_numpy()
+            quid, ruid = queries.column("uid").to_numpy(), rows.column("uid2").to_numpy()
             q, r = _matrix(queries.column("v"), dim), _matrix(rows.column("w"), dim)
             heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
             coded = Codes(q)
@@ -75,7 +76,7 @@ def _cell(k: int):
             for at in range(0, len(r), TILE):
                 tile, tile_ids = r[at : at + TILE], rid[at : at + TILE]
                 product, slack = coded.bounds(Codes(tile))
-                own = qid[:, None] == tile_ids[None, :]
+                own = quid[:, None] == ruid[None, at : at + TILE]
                 low = np.where(own, -np.inf, product - slack)
                 if low.shape[1] > k:
                     floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
@@ -87,12 +88,18 @@ def _cell(k: int):
                     heaps[i] = heapq.nlargest(k, [*heaps[i], *zip(exact.tolist(), (-tile_ids[j]).tolist(), strict=True)])
                     if len(heaps[i]) == k:
                         floor[i] = max(floor[i], heaps[i][-1][0])
-            for owner, heap in zip(qid.tolist(), heaps, strict=True):
+            for owner, name, heap in zip(quid.tolist(), qid.tolist(), heaps, strict=True):
                 owners += [owner] * len(heap)
+                names += [name] * len(heap)
                 scores += [s for s, _ in heap]
                 ids += [-x for _, x in heap]
         return pa.table(
-            {"query_id": pa.array(owners, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())}
+            {
+                "owner": pa.array(owners, pa.int64()),
+                "query_id": pa.array(names, pa.int64()),
+                "vec_id": pa.array(ids, pa.int64()),
+                "score": pa.array(scores, pa.float64()),
+            }
         )
 
     return best
@@ -102,14 +109,14 @@ def _merge(k: int):
     """The k best of each query among sorted or unsorted hits of some queries."""
 
     def merge(hits: pa.Table) -> pa.Table:
-        heaps: dict[int, list] = {}
-        for q, v, s in zip(*(hits.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
-            heap = heaps.setdefault(q, [])
+        heaps: dict[tuple[int, int], list] = {}
+        for o, q, v, s in zip(*(hits.column(c).to_pylist() for c in ("owner", "query_id", "vec_id", "score")), strict=True):
+            heap = heaps.setdefault((o, q), [])
             if len(heap) < k:
                 heapq.heappush(heap, (s, -v))
             elif (s, -v) > heap[0]:
                 heapq.heapreplace(heap, (s, -v))
-        rows = [(q, rank, -v, s) for q, heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        rows = [(q, rank, -v, s) for (_, q), heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
         q, rank, v, s = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table(
             {
@@ -129,8 +136,9 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     A row is no candidate of its own; ties go to the smaller key; fewer than k
     candidates are all given. Null keys, null, empty and zero vectors and those
     with null or non-finite components take no part. Vectors of different
-    length are not compared. Of repeated keys one vector (the least) counts.
-    Other columns are not read; an empty table gives no rows.
+    length are not compared. Rows that repeat a key are candidates each, of each
+    other too, and queries each. Other columns are not read; an empty table gives
+    no rows.
     """
     vectors = kept(usable(rows, key, vector), "vectors")
     n = vectors.count()
@@ -139,18 +147,18 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     query_blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
 
     def blocks(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(count))).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64("uid"), F.lit(count))).withColumn(
             other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
         )
 
     left = blocks(queries, "qb", query_blocks, "rb", row_blocks)
     # The two sides of a cogroup need names of their own.
     right = blocks(vectors, "rb", row_blocks, "qb", query_blocks).select(
-        F.col("key").alias("row"), F.col("v").alias("w"), F.col("dim").alias("dim2"), F.col("qb").alias("qb2"), F.col("rb").alias("rb2")
+        F.col("uid").alias("uid2"), F.col("key").alias("row"), F.col("v").alias("w"), F.col("dim").alias("dim2"), F.col("qb").alias("qb2"), F.col("rb").alias("rb2")
     )
     hits = left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim2", "qb2", "rb2")).applyInArrow(_cell(k), HITS)
     # Whole queries in groups of some hundred, so that a group is small however many blocks there are.
-    group = F.pmod(F.xxhash64(F.lit("merge"), "query_id"), F.lit(max(1, query_blocks * 64)))
+    group = F.pmod(F.xxhash64(F.lit("merge"), "owner"), F.lit(max(1, query_blocks * 64)))
     return hits.groupBy(group.alias("part")).applyInArrow(
         _merge(k), "query_id bigint, rank int, vec_id bigint, score double"
     )

@@ -162,20 +162,19 @@ SQL: dict[str, str] = {
     """,
     "op7_nearest_neighbours": """
         WITH vectors AS (
-            SELECT vec_id, min(embedding) AS v FROM embeddings
+            SELECT row_number() OVER () AS uid, vec_id, embedding AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
                 AND len([x FOR x IN embedding IF x <> 0]) > 0
-            GROUP BY vec_id
         ),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.uid AS owner, q.vec_id AS query_id, c.vec_id,
                 list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS score
-            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            FROM vectors q JOIN vectors c ON q.uid <> c.uid AND len(q.v) = len(c.v)
             WHERE q.vec_id % 20 = 0
         ),
         ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+            SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, vec_id) AS rank FROM scored
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
     """,

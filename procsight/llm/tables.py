@@ -39,6 +39,11 @@ def drop(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand workers fewer rows at a time: texts are long, and a batch is held by Spark and by the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def utf8(column: str):
     """The column's bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -57,6 +62,19 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("bounded"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def bounded_by(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """About `most` rows of each value of a text column, chosen by a hash of `key`; all of a value that has no more.
+
+    The values' counts over all rows come to the driver, so they must be few.
+    """
+    counts = {r[group]: r["count"] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    if not counts:
+        return df.where(F.lit(False))
+    limits = {g: int((1 << 30) * min(1.0, most / n)) for g, n in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col(group))
+    return df.where(F.pmod(F.xxhash64(F.lit("bounded"), F.col(key)), F.lit(1 << 30)) < limit)
+
+
 def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of `docs` whose texts `keep` marks, with all their columns: no join, nothing is shuffled."""
     at = docs.columns.index(text)

@@ -5,10 +5,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from procsight.llm.memory import remembered
+from procsight.llm.memory import give_back, remembered
 
 #: Bytes hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -81,10 +81,9 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of `column`; a longer row is a piece of its own."""
-    # Arrow keeps what earlier batches took; several workers share an executor's memory.
-    pa.default_memory_pool().release_unused()
+    give_back()
     _, at = raw(batch.column(column))
     k = 0
     while k < len(batch):

@@ -1,6 +1,6 @@
 import numpy as np
 
-from procsight.llm import langid
+from procsight.llm import langid, tables
 from procsight.llm.queries import op10_language_id
 from tests.conftest import SF
 from tests.llm.frames import AWKWARD, docs
@@ -106,3 +106,13 @@ def test_whole_table(spark):
     held = [r for r in found if r.held_out]
     assert len(found) == len(lang)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_a_rare_language_stays_a_class(spark):
+    """The bound holds for each language: one row in a thousand is no less learned from."""
+    rows = [(i, f"common words of a text number {i}", "aa") for i in range(3000)] + [(5000 + i, "ÿÿÿ þþþ rare", "zz") for i in range(8)]
+    network = langid.learn(docs(spark, rows), rows=50)
+    assert network.languages == ["aa", "zz"]
+    drawn = tables.bounded_by(docs(spark, rows), "lang", "doc_id", 50).groupBy("lang").count().collect()
+    assert dict(map(tuple, drawn))["zz"] == 8 and 20 < dict(map(tuple, drawn))["aa"] < 90
+    assert tables.bounded_by(docs(spark, []), "lang", "doc_id", 50).count() == 0

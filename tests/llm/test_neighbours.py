@@ -16,16 +16,15 @@ def product(a, b):
 
 
 def plain(rows, every, k):
-    usable = {}
+    usable = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             continue
-        own = [float(np.float32(x)) for x in v]
-        usable[i] = min(usable.get(i, own), own)
+        usable.append((i, [float(np.float32(x)) for x in v]))
     out = []
-    for q, a in usable.items():
+    for n, (q, a) in enumerate(usable):
         if q % every == 0:
-            scores = [(-product(a, b), i) for i, b in usable.items() if i != q and len(a) == len(b)]
+            scores = [(-product(a, b), i) for m, (i, b) in enumerate(usable) if m != n and len(a) == len(b)]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
