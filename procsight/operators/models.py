@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
@@ -204,7 +204,7 @@ def leaky_rows(
     return rows.select(F.coalesce(F.col(key).cast("string"), made).alias(key), *features, label)
 
 
-def cross_validate(
+def fold_scores(
     df: DataFrame,
     features: list[str],
     spec: ModelSpec,
@@ -213,18 +213,35 @@ def cross_validate(
     k: int = 5,
     resample: str = "inside",
     train_scores: bool = False,
-    threshold: float = 0.5,
 ) -> DataFrame:
-    """(model, fold, part, metric, value), all folds measured by one grouped aggregation."""
+    """`oof_predictions`, written once, as metrics and curves take several passes over them."""
     if resample == "before" and spec.resample:
         df = leaky_rows(df, features, label, key, spec.seed)
         spec = replace(spec, resample=None)
     elif resample not in ("inside", "before"):
         raise ValueError(f"unknown resample mode: {resample}")
-    # The metrics take several passes over the scores.
-    scored = stored(oof_predictions(df, features, spec, label, key, k, spec.seed, train_scores))
-    measured = fold_metrics(scored, "probability", label, ["fold", "part"], threshold)
-    return measured.select(F.lit(spec.name).alias("model"), "fold", "part", "metric", "value")
+    return stored(oof_predictions(df, features, spec, label, key, k, spec.seed, train_scores))
+
+
+def measured(scored: DataFrame, name: str, label: str = LABEL, threshold: float = 0.5) -> DataFrame:
+    """(model, fold, part, metric, value), all folds measured by one grouped aggregation."""
+    metrics = fold_metrics(scored, "probability", label, ["fold", "part"], threshold)
+    return metrics.select(F.lit(name).alias("model"), "fold", "part", "metric", "value")
+
+
+def cross_validate(
+    df: DataFrame,
+    features: list[str],
+    spec: ModelSpec,
+    label: str = LABEL,
+    key: str = KEY,
+    k: int = 5,
+    resample: str = "inside",
+    train_scores: bool = False,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """(model, fold, part, metric, value) of one model."""
+    return measured(fold_scores(df, features, spec, label, key, k, resample, train_scores), spec.name, label, threshold)
 
 
 def compare_models(
@@ -251,6 +268,12 @@ def feature_importance(fitted: list[Fitted], spark) -> DataFrame:
     )
 
 
+def top_importance(importance: DataFrame, k: int = 20) -> DataFrame:
+    """The k leading features of each model, with their place."""
+    order = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
+    return importance.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
 def save_model(fitted: Fitted, path: str) -> None:
     """Write every pipeline in Spark's own format under `path`."""
     for i, model in enumerate(fitted.models):

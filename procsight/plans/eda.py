@@ -60,6 +60,10 @@ def eda_reports(
         "conditional": interactions.conditional_cells(density),
         "unstable_regions": interactions.exclusive_cells(density),
         "thresholds": windows.critical_threshold(sliding),
+        "histograms": charts.histogram_by_class(train, ranked[: charts.CHART_FEATURES], label, top=None),
+        "boxplots": charts.boxplot_by_class(train, ranked[: charts.CHART_FEATURES], label, top=None),
+        "significance_chart": charts.significance_chart(train, features, label),
+        "heatmap": charts.heatmap_long(train, features, label),
         "diversity": univariate.profile_diversity(train, features, label, profile),
         "entropy": univariate.signature_entropy(train, features, label, profile),
     }
@@ -76,6 +80,8 @@ def latent_reports(
         "anomaly_share": isolation.anomaly_share(flagged, label),
         "anomalies": charts.anomaly_chart(flagged, label),
         "components": components,
+        "component_points": charts.pca_points(train, features, label),
+        "regime_points": charts.regime_points(train, features, label),
         "components_needed": latent.components_needed(components),
         "regimes": charts.regime_chart(latent.operating_regimes(train, features, label)),
     }

@@ -3,9 +3,10 @@
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
-from procsight.operators import evaluate, features as engineered, models
+from procsight.operators import charts, evaluate, explain, features as engineered, models
 from procsight.operators.calibrate import CalibratedEnsemble, calibrate_cv, calibrated_oof
 from procsight.session import stored
 from procsight.sources.tables import write_reports
@@ -17,6 +18,13 @@ def resized(names: list[str], trees: int | None) -> list[models.ModelSpec]:
     return [replace(spec, trees=trees) for spec in specs] if trees else specs
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for more in tables[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 def run_baselines(
     train: DataFrame,
     features: list[str],
@@ -26,18 +34,38 @@ def run_baselines(
     k: int = 5,
     trees: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Cross-validated baselines, feature importance and the best threshold of the first model."""
+    """Cross-validated baselines: results, ROC curves by fold, importance, attributions, and the first model's best threshold."""
     specs = resized(models.BASELINES, trees)
-    results = models.compare_models(train, features, specs, label, key, k=k, train_scores=True)
+    # One set of fold scores of each model serves the results, the curves and the thresholds.
+    scored = {spec.name: models.fold_scores(train, features, spec, label, key, k, train_scores=True) for spec in specs}
+    results = _all([models.measured(rows, name, label) for name, rows in scored.items()])
+    held = {name: rows.filter("part = 'test'") for name, rows in scored.items()}
+    curves = [
+        evaluate.roc_curve(rows, "probability", label, ["fold"]).withColumn("model", F.lit(name)) for name, rows in held.items()
+    ]
     fitted = [models.fit(spec, train, features, label, key) for spec in specs]
-    scored = stored(models.oof_predictions(train, features, specs[0], label, key, k))
-    sweep = evaluate.threshold_sweep(scored, "probability", label, evaluate.threshold_grid(100))
+    importance = stored(models.feature_importance(fitted, train.sparkSession))
+    sweep = evaluate.threshold_sweep(held[specs[0].name], "probability", label, evaluate.threshold_grid(100))
     reports = {
         "model_comparison": evaluate.model_comparison(results.filter("part = 'test'")),
-        "feature_importance": models.feature_importance(fitted, train.sparkSession),
+        "fold_results": results,
+        "roc_by_fold": _all(curves),
+        "feature_importance": importance,
+        "feature_importance_top": models.top_importance(importance),
         "threshold_curve": sweep,
         "optimal_threshold": evaluate.optimal_threshold(sweep, "f1", fallback=None),
     }
+    boosted = [one for one in fitted if one.spec.kind == "boosted"]
+    if boosted:
+        # Boosted models are explained on their training rows, the first one's first defect also by itself.
+        explained = {
+            one.spec.name: stored(explain.tree_attributions(train, features, one.models[0].stages[-1], key, label)) for one in boosted
+        }
+        reports["attributions"] = _all(
+            [explain.global_attributions(rows, features).withColumn("model", F.lit(name)) for name, rows in explained.items()]
+        )
+        first = next(iter(explained.values()))
+        reports["attributions_first_defect"] = explain.explain_first_defect(first, features, key, label)
     write_reports(reports, folder)
     for one in fitted:
         models.save_model(one, f"{folder}/models/{one.spec.name}")
@@ -61,13 +89,15 @@ def run_strategies(
     names = [*features, *engineered.set1_registry(features)]
     specs = resized(models.STRATEGIES, trees)
     results = models.compare_models(wide, names, specs, label, key, k=k, resample=resample)
-    reports = {"strategy_comparison": evaluate.strategy_comparison(results)}
+    comparison = stored(evaluate.strategy_comparison(results))
+    reports = {"strategy_comparison": comparison, "strategy_chart": charts.strategy_chart(comparison)}
     for spec in specs[:3]:
         # The curves score models fitted on the rows as they are, as the comparison table does not.
         scored = models.oof_predictions(wide, names, replace(spec, resample=None), label, key, k)
         reports[f"threshold_curve_{spec.name}"] = evaluate.threshold_sweep(scored, "probability", label)
     registry = engineered.set1_registry(features)
     reports["engineered_features"] = engineered.feature_registry(train, registry)
+    reports["feature_types"] = engineered.feature_type_counts(reports["engineered_features"])
     write_reports(reports, folder)
     return reports
 
