@@ -61,7 +61,7 @@ def mark(*columns, seed=42):
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(columns)}, '{seed}')), 1, 15) AS BIGINT)"
 
 
-def share(number):
+def unit(number):
     """A number as one in [0, 1)."""
     return f"({number} % 4503599627370496) / 4503599627370496.0"
 
@@ -698,7 +698,7 @@ def statements() -> dict[str, str]:
         dealt = "dl AS (SELECT few.*, unnest(range(1, short // n1 + CAST(nr < short % n1 AS INTEGER) + 1)) AS copy FROM few, cs)"
         placed = (
             f"pl AS (SELECT *, {mark('CoilID', 'copy', seed=45)} % 3 + 1 AS place, "
-            f"{share(mark('CoilID', 'copy', seed=46))} AS gap FROM dl)"
+            f"{unit(mark('CoilID', 'copy', seed=46))} AS gap FROM dl)"
         )
         picked = "pi AS (SELECT pl.*, near[place].n AS neighbour FROM pl JOIN nd USING (CoilID))"
         columns = ", ".join(f"p.{c} + gap * (z.{c} - p.{c}) AS {c}" for c in names)
@@ -731,7 +731,7 @@ def statements() -> dict[str, str]:
         term /= copies + 1
     sql["balanced_bags"] = out(
         [LINES,
-         f"""dr AS (SELECT m.*, bag, {share(mark('CoilID', 'bag'))} AS u FROM m, (SELECT unnest(range(10)) AS bag)),
+         f"""dr AS (SELECT m.*, bag, {unit(mark('CoilID', 'bag'))} AS u FROM m, (SELECT unnest(range(10)) AS bag)),
          co AS (SELECT *, unnest(range(1, CASE {' '.join(steps)} ELSE 18 END + 1)) AS copy FROM dr),
          le AS (SELECT bag, min(n) AS size FROM (SELECT bag, Y, count(*) AS n FROM co GROUP BY bag, Y) GROUP BY bag),
          ke AS (SELECT co.*, size FROM co JOIN le USING (bag)

@@ -217,9 +217,9 @@ def binned_points(df: DataFrame, x: str, y: str, by: list[str], bins: int = GRID
     The grid spans the values of both columns; points without a value of either are left out.
     A column of one value has one bin. Two scans, and bins x bins rows for each group at most.
     """
-    points = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    points = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    points = df.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    points = points.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    ends = points.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y")).first()
     marks = {"x": ends[:2], "y": ends[2:]}
     if ends[0] is None:
         marks = {"x": (0.0, 0.0), "y": (0.0, 0.0)}
@@ -228,7 +228,7 @@ def binned_points(df: DataFrame, x: str, y: str, by: list[str], bins: int = GRID
         low, high = marks[name]
         if low == high:
             return F.lit(0).alias(f"bin_{name}")
-        step = F.floor((F.col(name) - low) / (high - low) * bins)
+        step = F.floor((F.col(f"__{name}") - low) / (high - low) * bins)
         return F.least(step, F.lit(bins - 1)).cast("int").alias(f"bin_{name}")
 
     def edge(name: str, side: str) -> Column:

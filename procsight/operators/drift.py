@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procsight.functions.columns import long_form
+from procsight.functions.columns import long_form, text_prefix
 from procsight.operators.interactions import bin_number, quantile_edges
 from procsight.operators.scoring import with_sample_id
 
@@ -73,12 +73,13 @@ def rolling_std(
 ) -> DataFrame:
     """Sample deviation over each row and the `window - 1` rows before it, in key order.
 
-    With `by`, within each group, else over the whole table. Rows are numbered in
+    With `by`, within each group, else over the whole table (text keys then in the order of `text_order`). Rows are numbered in
     key order and cut into parts of equal size, and each part gets the last rows
     of the one before it; so no group, not even one of all rows, is one task's work.
     """
     by = by or []
-    placed = with_sample_id(df, key, by)
+    text = dict(df.dtypes)[key] == "string"
+    placed = with_sample_id(df, key, by, text_prefix(key) if by and text else None)
     part = F.floor(F.col("sample_id") / rows_per_part)
     own = placed.withColumns({"__part": part, "__own": F.lit(True)})
     last = F.pmod("sample_id", F.lit(rows_per_part)) >= rows_per_part - (window - 1)

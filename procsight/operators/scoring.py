@@ -43,13 +43,18 @@ def predictions_table(
     )
 
 
-def with_sample_id(predictions: DataFrame, key: str = KEY, by: list[str] | None = None) -> DataFrame:
-    """Add `sample_id` 0..n-1 in key order (in the order of `text_order` for text keys), in each group of `by`.
+def with_sample_id(
+    predictions: DataFrame, key: str = KEY, by: list[str] | None = None, order: Column | None = None
+) -> DataFrame:
+    """Add `sample_id` 0..n-1 in each group of `by`, ordered by the number `order`, then by key.
+
+    Without `order` numeric keys come in their own order and text keys in that of `text_order`.
 
     Keys are split into ranges first, so neither the numbering nor a group that has most rows is one task's work.
     """
     by = by or []
-    order = text_order(key) if dict(predictions.dtypes)[key] == "string" else F.col(key)
+    if order is None:
+        order = text_order(key) if dict(predictions.dtypes)[key] == "string" else F.col(key)
     # A text, as rows with a null in `by` are a group too.
     group = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by])
     placed = with_ranges(
