@@ -37,3 +37,27 @@ def test_stack(small):
     model, scores = models.stack(small, FEATURES, specs, k=2)
     assert scores.count() == 300 and set(scores.columns) == {"CoilID", "Y", "forest", "boosted"}
     assert model.transform(scores).count() == 300
+
+
+def test_scatter_grid_holds_every_point(spark):
+    random = np.random.default_rng(5)
+    rows = [(float(a), float(b), int(a > 0)) for a, b in random.normal(0, 1, (400, 2))] + [(None, 1.0, 0), (1.0, None, 1)]
+    df = spark.createDataFrame(rows, "X1 double, X2 double, Y int")
+    found = charts.binned_points(df, "X1", "X2", ["Y"], bins=7).toPandas()
+    assert found.n.sum() == 400 and found.bin_x.between(0, 6).all() and found.bin_y.between(0, 6).all()
+    for r in found.itertuples():
+        inside = [
+            1 for a, b, y in rows[:400] if y == r.Y and r.low_x - 1e-9 <= a <= r.high_x + 1e-9 and r.low_y - 1e-9 <= b <= r.high_y + 1e-9
+        ]
+        assert len(inside) >= r.n
+    flat = charts.binned_points(df.withColumn("X2", F.lit(3.0)), "X1", "X2", [], bins=7).toPandas()
+    assert set(flat.bin_y) == {0} and flat.n.sum() == 401
+    assert charts.binned_points(df.filter("false"), "X1", "X2", ["Y"]).count() == 0
+
+
+def test_component_and_regime_points(wide):
+    names = [f"X{i}" for i in range(1, 8)]
+    points = charts.pca_points(wide, names).toPandas()
+    assert points.groupby(["panel", "Y"]).n.sum().groupby("panel").sum().tolist() == [wide.count()] * 2
+    regimes = charts.regime_points(wide, names).toPandas()
+    assert regimes.n.sum() == wide.count() and regimes.regime.nunique() > 1

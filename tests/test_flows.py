@@ -27,7 +27,8 @@ def test_every_statement_has_a_query():
 FAST = [
     "coerce_numeric", "fit_median", "univariate_stats", "mann_whitney_lineitem", "iqr_outliers_lineitem",
     "correlation_matrix_gaps", "interaction_scan", "critical_threshold", "operating_windows_lineitem",
-    "roc_curve", "threshold_sweep", "predictions_table", "rolling_std", "stream_monitor",
+    "roc_curve", "threshold_sweep", "predictions_table", "rolling_std", "stream_monitor", "stream_drift", "smote",
+    "balanced_bags", "stratified_folds", "binned_points", "isolation_samples", "write_predictions",
 ]
 
 
@@ -130,3 +131,38 @@ def test_scans_read_only_what_is_needed(spark):
     plan = df.select("p", "y")._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema: ")[1]
     assert "l_quantity" in schema and "l_tax" not in schema and "l_extendedprice" not in schema
+
+
+def test_drift_of_a_stream_equals_the_batch(spark, tmp_path):
+    """Three files, three batches: the counts of the last one are those of the whole table."""
+    from procsight.operators import drift
+    from procsight.streaming.scoring import latest_counts, start_drift, stream_drift
+
+    random = np.random.default_rng(8)
+    reference = spark.createDataFrame([(float(v),) for v in random.normal(0, 1, 500)], "value double")
+    current = spark.createDataFrame([(float(v),) for v in random.normal(0.7, 1.5, 900)], "value double")
+    current.repartition(3).write.parquet(str(tmp_path / "rows"))
+    edges = drift.open_edges(reference, ["value"])
+    stream = spark.readStream.schema("value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows"))
+    start_drift(stream, edges, str(tmp_path / "drift")).awaitTermination()
+    counts = drift.bin_counts(reference, edges)
+    found = stream_drift(spark, str(tmp_path / "drift"), counts).first()
+    whole = drift.stability_index(counts, drift.bin_counts(current, edges)).first()
+    assert found.n == 900 and np.isclose(found.psi, whole.psi) and found.psi > 0.1
+    assert latest_counts(spark, str(tmp_path / "drift")).count() == len(edges["value"]) - 1
+
+
+def test_rolling_deviation_of_one_group_of_all_rows(spark):
+    """A group that holds every row is cut into parts; null groups are groups too."""
+    from procsight.operators.drift import rolling_std
+
+    x = np.random.default_rng(9).normal(0, 1, 600)
+    rows = [(f"k{i:06d}", float(v), None if i % 10 == 3 else "hot") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "CoilID string, X1 double, line string").repartition(4)
+    found = rolling_std(df, ["X1"], "CoilID", ["line"], window=4, rows_per_part=50).toPandas().set_index("CoilID")
+    for line in ("hot", None):
+        own = [(k, v) for k, v, g in rows if g == line]
+        for i, (k, _) in enumerate(own):
+            part = [v for _, v in own[max(0, i - 3) : i + 1]]
+            want = np.std(part, ddof=1) if len(part) > 1 else np.nan
+            assert np.isclose(found.X1_rolling_std[k], want, equal_nan=True)

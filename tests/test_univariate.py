@@ -116,3 +116,48 @@ def test_fingerprints(small, table):
     for y in (0, 1):
         first = table[table.Y == y].X1
         assert np.isclose(found.loc[y, "mean"], first.mean()) and np.isclose(found.loc[y, "std"], first.std())
+
+
+@pytest.mark.parametrize("size", [4096, 8])
+def test_one_profile_serves_all_reports(small, size):
+    profile = univariate.ClassProfile(small, FEATURES, size=size)
+    a = univariate.class_moments(small, FEATURES).toPandas().sort_values(["feature", "Y"], ignore_index=True)
+    b = profile.moments().toPandas().sort_values(["feature", "Y"], ignore_index=True)
+    for c in ("n", "mean", "std", "std_pop", "variance", "skew", "kurtosis", "low", "high"):
+        assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, equal_nan=True), c
+    for report in (univariate.cv_instability, univariate.profile_diversity, univariate.signature_entropy, univariate.univariate_stats):
+        plain, shared = (report(small, FEATURES, profile=p).toPandas() for p in (None, profile))
+        for c in plain.columns:
+            if plain[c].dtype == float:
+                assert np.allclose(plain[c], shared[c], rtol=1e-9, equal_nan=True), (report, c)
+            else:
+                assert (plain[c] == shared[c]).all()
+    outliers = [univariate.iqr_outliers(small, FEATURES, size=size, profile=p).toPandas() for p in (None, profile)]
+    assert outliers[0].equals(outliers[1])
+
+
+def test_the_profile_reads_the_table_twice(spark, small):
+    """Quartiles in one scan, everything else in the other, for any number of features."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = small.select("Y", *FEATURES)
+    profile = univariate.ClassProfile(rows.mapInArrow(counting, rows.schema), FEATURES)
+    profile.moments().count()
+    profile.outlier_counts().count()
+    assert seen.value == 2 * 300
+
+
+def test_moments_far_from_zero(spark):
+    """Sums of powers are taken around the median, so a large offset costs no digits."""
+    x = 1e9 + np.random.default_rng(3).normal(0, 1, 500)
+    df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(x)], "X1 double, Y int")
+    found = {r.Y: r for r in univariate.ClassProfile(df, ["X1"]).moments().collect()}
+    for y in (0, 1):
+        own = x[y::2] - x[y::2].mean()
+        assert np.isclose(found[y].std, own.std(ddof=1), rtol=1e-6)
+        assert np.isclose(found[y].kurtosis, (own**4).mean() / (own**2).mean() ** 2 - 3, rtol=1e-5)
