@@ -306,7 +306,7 @@ def published(name):
 def cross_validate(spark, sf):
     return tidy(
         models.cross_validate(
-            embeddings(spark, sf), WIDE, models.preset("forest", trees=5, depth=5), k=FOLDS, train_scores=True
+            embeddings(spark, sf), WIDE, models.preset("forest"), k=FOLDS, train_scores=True
         )
     )
 
@@ -363,7 +363,7 @@ def platt(spark, sf):
 
 def calibrated_scores(spark, sf):
     df = embeddings(spark, sf)
-    ensemble = calibrate_cv(df, WIDE, models.preset("forest", trees=5, depth=5), k=FOLDS)
+    ensemble = calibrate_cv(df, WIDE, models.preset("forest"), k=FOLDS)
     return ensemble.score(df)
 
 
@@ -383,7 +383,7 @@ def oof_mixed(spark, sf):
 
 def permutation(spark, sf):
     df = given.measurements_documents(spark, sf)
-    fitted = models.fit(models.preset("forest", trees=5, depth=5), df, DOCS)
+    fitted = models.fit(models.preset("forest"), df, DOCS)
     return tidy(models.permutation_importance(fitted, df, repeats=10))
 
 
@@ -812,8 +812,8 @@ def registered() -> dict:
         "nearest_neighbours": neighbours,
         "hybrid_resample": hybrid_rows,
         "balanced_bags": balanced_bags,
-        "fit_gbt": scored_by("boosted"),
-        "fit_gbt_unbalanced": scored_by("unbalanced"),
+        "fit_gbt": published("boosted"),
+        "fit_gbt_unbalanced": published("unbalanced"),
         "fit_random_forest": published("forest"),
         "fit_balanced_bagging": published("bagging"),
         "cross_validate": cross_validate,
