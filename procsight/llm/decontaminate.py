@@ -3,10 +3,9 @@
 Terms are the benchmark's own words; document frequencies over all documents
 (counted in BUCKETS of hashed words) weigh them and the words that only documents
 have, which count in a passage's length alone. Passages are windows of WORDS
-words that overlap by half. A randomised SVD of the TF-IDF matrix of the
-benchmark's passages and a bounded sample of the documents' passages (two passes
-over it as Spark jobs) gives the latent axes, more of them for more passages;
-every window of every document is projected on them and compared with the
+words that overlap by half. A randomised SVD of the TF-IDF matrix of all the
+benchmark's and all the documents' passages (one pass over it as a Spark job)
+gives the latent axes, more of them for more passages; every window of every document is projected on them and compared with the
 benchmark's passages by cosine. A candidate is confirmed by the longest common
 subsequence of the item's words and the words around the window: a copy has COPY
 of them, a paraphrase PARAPHRASE and the item's answer, its closing words, or
@@ -23,6 +22,7 @@ The benchmark is handled in parts of bounded size, each with axes of its own.
 """
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsight.llm.memory import once
-from procsight.llm.tables import bounded, drop, kept_rows, new_path, utf8, written
+from procsight.llm.tables import kept_rows, utf8
 from procsight.llm.words import hashes, raw, slices, spans
 
 #: Of words whose document frequencies are counted.
@@ -41,9 +41,10 @@ BUCKETS = 1 << 16
 BLOCK, LONG, STRIDE = 8, 4, 2
 WORDS = BLOCK * LONG
 #: Least number of latent axes, passages for each further one, and columns that the randomised SVD has besides.
-AXES, PER_AXIS, SPARE, SEED = 128, 64, 8, 11
-#: Documents whose passages the axes are fitted on besides the benchmark's, about; the benchmark's weight among them.
-SAMPLE_ROWS, WEIGHT = 1500, 4.0
+AXES, PER_AXIS, SPARE, SEED = 128, 64, 16, 11
+#: The benchmark's weight among the documents in the matrix; as many documents as all of them together count for at most,
+#: so that the benchmark's share in the axes doesn't fall as documents grow.
+WEIGHT, MASS = 4.0, 1500
 #: Least cosine on the axes of a candidate whose item fills a passage, and least cosine when the passage's other words
 #: count too; items of fewer words need the less, by the root of their share.
 COSINE, WHOLE = 0.6, 0.5
@@ -57,8 +58,8 @@ REWORDED, ANSWER_WORDS = 0.7, 3
 RARE = 0.3
 #: Words of the benchmark in one part, about.
 PART_WORDS = 500_000
-#: Words whose sums travel together; words projected at a time.
-CHUNK, RUN = 1024, 1 << 14
+#: Words whose sums travel together; words projected at a time; bytes of text whose passages are summed at a time.
+CHUNK, RUN, TEXT = 128, 1 << 12, 1 << 17
 #: Uses of rare words counted at a time.
 HITS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +75,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for some in slices(batch, 0):
+            for some in slices(batch, 0, TEXT):
                 data, at = raw(some.column(0))
                 begin, end, first = spans(data, at)
                 row = np.repeat(np.arange(len(some)), np.diff(first))
@@ -112,16 +113,19 @@ def windows_of(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + LONG, edge[1:][row]), row
 
 
-def projected(bucket: np.ndarray, start: np.ndarray, matrix: np.ndarray, total: int) -> np.ndarray:
-    """Sums of the matrix' rows over the words of each block."""
-    out = np.zeros((len(start), matrix.shape[1]), np.float32)
-    ends = np.append(start[1:], total)
-    k = 0
-    while k < len(start):
-        stop = max(k + 1, int(np.searchsorted(ends, start[k] + RUN, side="right")))
-        rows = matrix[bucket[start[k] : ends[stop - 1]]]
-        out[k:stop] = np.add.reduceat(rows, start[k:stop] - start[k], axis=0)
-        k = stop
+def projected(word: np.ndarray, count: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sums of the matrix' rows over the words of each block; blocks have `count` words, few of them."""
+    out = np.zeros((len(count), matrix.shape[1]), np.float32)
+    begin = np.cumsum(count) - count
+    order = np.argsort(-count, kind="stable")
+    # Blocks of like counts are added up together, one word of each at a time, few enough to stay in the processor's cache.
+    for k in range(0, len(order), RUN // BLOCK):
+        some = order[k : k + RUN // BLOCK]
+        total = np.zeros((len(some), matrix.shape[1]), np.float32)
+        for i in range(int(count[some[0]])):
+            n = int(np.searchsorted(-count[some], -i))
+            total[:n] += matrix[word[begin[some[:n]] + i]]
+        out[some] = total
     return out
 
 
@@ -140,7 +144,9 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, idf: np.ndarray):
         self.words, self.idf = words, idf.astype(np.float32)
         # Most words that the benchmark lacks are dismissed by one bit.
-        self.maybe = np.packbits(np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0)
+        bits = np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+        self.maybe = np.packbits(bits > 0)
+        self.begin = (np.cumsum(bits) - bits).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.words)
@@ -150,32 +156,41 @@ class Vocabulary:
         out = np.full(len(h), len(self.words))
         high = h >> np.uint64(44)
         at = np.flatnonzero(self.maybe[high >> np.uint64(3)] >> (np.uint64(7) - (high & np.uint64(7))).astype(np.uint8) & 1)
-        row = np.searchsorted(self.words, h[at])
-        same = self.words[np.minimum(row, len(self.words) - 1)] == h[at] if len(self.words) else np.zeros(0, bool)
+        if not len(at):
+            return out
+        # Few words share their first bits, so a word is mostly the first one with its bits.
+        own = h[at]
+        row = self.begin[own >> np.uint64(44)]
+        other = np.flatnonzero(self.words[row] != own)
+        row[other] = np.searchsorted(self.words, own[other])
+        same = self.words[np.minimum(row, len(self.words) - 1)] == own
         out[at[same]] = row[same]
         return out
 
+    def inside(self, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words numbered by `rows`: the vocabulary's alone, and how many of them each block has."""
+        at = np.flatnonzero(row < len(self.words))
+        return row[at], np.diff(np.append(np.searchsorted(at, start), len(at)))
+
     def weights(self) -> np.ndarray:
         return self.idf[_bucket(self.words)]
 
 
 class Axes:
-    """Weighted latent axes: row i is the idf of the vocabulary's word i times its place on the axes, the last row is 0."""
+    """Weighted latent axes: row i is the idf of the vocabulary's word i times its place on the axes."""
 
     def __init__(self, known: Vocabulary, axes: np.ndarray):
         self.known = known
-        self.matrix = np.zeros((len(known) + 1, axes.shape[1]), np.float32)
-        self.matrix[:-1] = known.weights()[:, None] * axes
+        self.matrix = (known.weights()[:, None] * axes).astype(np.float32)
 
     def passages(self, h: np.ndarray, first: np.ndarray):
         """Unit latent vectors of all passages of rows, the share of each passage in the vocabulary, first and end word, row."""
         start, edge = blocks_of(first)
         low, high, row = windows_of(edge)
-        total = int(first[-1])
         if not len(low):
             return np.zeros((0, self.matrix.shape[1]), np.float32), np.zeros(0, np.float32), low, high, row
         word = self.known.rows(h)
-        v = sums(projected(word, start, self.matrix, total), low, high)
+        v = sums(projected(*self.known.inside(word, start), self.matrix), low, high)
         v /= np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
         square = self.known.idf[_bucket(h)] ** 2
         inside = np.where(word < len(self.known), square, 0)
@@ -184,21 +199,20 @@ class Axes:
         return v, share, start[low], np.minimum(start[high - 1] + BLOCK, first[1:][row]), row
 
 
-def _gram(rows: DataFrame, known: Vocabulary, columns: int, given: np.ndarray | None = None) -> np.ndarray:
+def _gram(rows: DataFrame, known: Vocabulary, columns: int) -> np.ndarray:
     """A'(A q) for the TF-IDF matrix A of the passages of rows(text, weight): each task sums its own part.
 
-    q is `given`, or random; tasks draw it from the seed, so that it need not be sent.
+    q is random; tasks draw it from the seed, so that it need not be sent.
     """
     size = len(known)
 
     def part(batches):
-        q = np.random.default_rng(SEED).standard_normal((size, columns), np.float32) if given is None else given
+        q = np.random.default_rng(SEED).standard_normal((size, columns), np.float32)
         idf = known.weights()[:, None]
-        weighted = np.zeros((size + 1, columns), np.float32)
-        weighted[:-1] = idf * q
-        total = np.zeros((size + 1, columns), np.float32)
+        weighted = (idf * q).astype(np.float32)
+        total = np.zeros((size, columns), np.float32)
         for batch in batches:
-            for some in slices(batch, 0, 1 << 20):
+            for some in slices(batch, 0, TEXT):
                 h, first = _hash_rows(some.column(0))
                 word = known.rows(h)
                 start, edge = blocks_of(first)
@@ -208,29 +222,38 @@ def _gram(rows: DataFrame, known: Vocabulary, columns: int, given: np.ndarray |
                 weight = some.column(1).to_numpy(zero_copy_only=False)[row]
                 square = np.add.reduceat(known.idf[_bucket(h)] ** 2, start)[:, None]
                 scale = (weight / np.maximum(np.sqrt(sums(square, low, high)[:, 0]), 1e-9)).astype(np.float32)
-                y = sums(projected(word, start, weighted, len(word)), low, high) * (scale**2)[:, None]
+                word, count = known.inside(word, start)
+                y = sums(projected(word, count, weighted), low, high) * (scale**2)[:, None]
                 # Back to the words: a block gives its words the sum of its passages.
                 back = np.zeros((len(start), columns), np.float32)
                 for i in range(LONG):
                     inside = low + i < high
-                    np.add.at(back, low[inside] + i, y[inside])
-                word_block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
-                order = np.argsort(word, kind="stable")
-                for k in range(0, len(order), RUN):
-                    some_words = order[k : k + RUN]
-                    own = word[some_words]
-                    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    total[own[cut]] += np.add.reduceat(back[word_block[some_words]], cut, axis=0)
-        total = total[:-1] * idf
+                    back[low[inside] + i] += y[inside]
+                word_block = np.repeat(np.arange(len(start)), count)
+                if not len(word):
+                    continue
+                order = np.argsort(word.astype(np.uint16) if size < 1 << 16 else word, kind="stable")
+                # A word's uses are summed in parts of up to BLOCK, then its parts.
+                own, uses = np.unique(word[order], return_counts=True)
+                parts = -(-uses // BLOCK)
+                part_first = np.cumsum(parts) - parts
+                part_uses = np.full(int(parts.sum()), BLOCK)
+                part_uses[part_first + parts - 1] = uses - (parts - 1) * BLOCK
+                total[own] += np.add.reduceat(projected(word_block[order], part_uses, back), part_first, axis=0)
+        total *= idf
         for k in range(0, size, CHUNK):
             if total[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k]), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "sums"]
                 )
 
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in parts.column("sums").to_pylist())
-        return pa.table({"chunk": parts.column("chunk").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in parts:
+            for x in batch.column("sums"):
+                total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+            chunk = batch.column("chunk").slice(0, 1)
+        yield pa.RecordBatch.from_arrays([chunk, pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["chunk", "sums"])
 
     kind = "chunk bigint, sums binary"
     out = np.zeros((size, columns), np.float32)
@@ -241,12 +264,8 @@ def _gram(rows: DataFrame, known: Vocabulary, columns: int, given: np.ndarray |
 
 def latent_axes(passages: DataFrame, known: Vocabulary, axes: int = AXES) -> np.ndarray:
     """The leading right singular vectors of the passages' TF-IDF matrix, (words, axes), by randomised SVD."""
-    columns = min(len(known), axes + SPARE)
-    q = np.linalg.qr(_gram(passages, known, columns))[0].astype(np.float32)
-    z = _gram(passages, known, columns, q)
-    # q' A'A q has the squares of the singular values.
-    value, vector = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    return q @ vector[:, np.argsort(-value)[:axes]]
+    sums_of_all = _gram(passages, known, min(len(known), axes + SPARE))
+    return np.linalg.svd(sums_of_all, full_matrices=False)[0][:, :axes]
 
 
 class Item:
@@ -441,13 +460,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     kind = "doc_id bigint, item_id bigint, cosine double, lcs int, item_words int, answer boolean"
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8("text").alias("text"))
     found = None
-    for part in _parts(docs, benchmark, key, item):
+    for part in _parts(docs, benchmark, item):
         hits = rows.mapInArrow(_search(part), kind)
         found = hits if found is None else found.union(hits)
     return docs.sparkSession.createDataFrame([], kind) if found is None else found
 
 
-def _parts(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id") -> list:
+def _parts(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> list:
     """The benchmark's parts, broadcast as plain bytes: workers need no installed copy of this package."""
     spark = docs.sparkSession
     texts = benchmark.select(F.col(item).cast("bigint").alias("item_id"), utf8("text").alias("text")).where("item_id is not null")
@@ -458,22 +477,17 @@ def _parts(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     # Words of all documents weigh little, but enough for passages that have no others.
     idf = LEAST_IDF + np.log((1.0 + n) / (1.0 + df))
     parts = max(1, -(-size // (6 * PART_WORDS)))
-    path = new_path(spark, "passages")
-    sample = written(
-        bounded(docs.where(F.col(key).isNotNull()).select(key, utf8("text").alias("text")), key, SAMPLE_ROWS).select("text", F.lit(1.0).alias("weight")).repartition(2),
-        path,
-    )
+    rows = docs.select(utf8("text").alias("text"), F.lit(min(1.0, MASS / max(1, n)) ** 0.5).alias("weight"))
     found = []
     for p in range(parts):
         own = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        part = _part(own, sample, idf)
+        part = _part(own, rows, idf)
         if part:
             found.append(spark.sparkContext.broadcast(cloudpickle.dumps(part)))
-    drop(spark, path)
     return found
 
 
-def _part(own: DataFrame, sample: DataFrame, idf: np.ndarray) -> Part | None:
+def _part(own: DataFrame, rows: DataFrame, idf: np.ndarray) -> Part | None:
     """At most about PART_WORDS words of the benchmark come to the driver; None if there are none."""
     table = own.orderBy("item_id").toArrow()
     h, first = _hash_rows(table.column("text"))
@@ -481,7 +495,7 @@ def _part(own: DataFrame, sample: DataFrame, idf: np.ndarray) -> Part | None:
         return None
     known = Vocabulary(np.unique(h), idf)
     low, high, row = windows_of(blocks_of(first)[1])
-    weighted = sample.union(own.select("text", F.lit(WEIGHT).alias("weight")))
+    weighted = rows.union(own.select("text", F.lit(WEIGHT).alias("weight")))
     axes = Axes(known, latent_axes(weighted, known, AXES + len(low) // PER_AXIS))
     items = [Item(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
     vectors, _, low, high, row = axes.passages(h, first)
@@ -498,7 +512,7 @@ def _search(broadcast):
     def search(batches):
         part = _loaded(broadcast)
         for batch in batches:
-            for some in slices(batch, 1, 1 << 20):
+            for some in slices(batch, 1, 2 * TEXT):
                 h, first = _hash_rows(some.column(1))
                 vectors, share, low, high, row = part.axes.passages(h, first)
                 best: dict[tuple[int, int], tuple] = {}
@@ -522,9 +536,9 @@ def _search(broadcast):
 
                 for k in range(0, len(vectors), 2048):
                     cosine = vectors[k : k + 2048] @ part.vectors.T
-                    near = cosine >= COSINE * part.root
-                    near &= cosine * share[k : k + 2048, None] >= WHOLE * part.root
-                    for i, q in np.argwhere(near).tolist():
+                    near, which = np.nonzero(cosine >= COSINE * part.root)
+                    whole = cosine[near, which] * share[k + near] >= WHOLE * part.root[which]
+                    for i, q in zip(near[whole].tolist(), which[whole].tolist(), strict=True):
                         item, at = int(part.owner[q]), k + i
                         if (item, at) not in tried:
                             judged(item, at, lambda: cosine[i, q], near=True)

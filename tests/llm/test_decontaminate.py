@@ -52,6 +52,45 @@ def test_axes_are_those_of_the_whole_matrix(spark):
     assert np.allclose(matrix @ axes @ axes.T, matrix, atol=1e-3)
 
 
+def test_block_sums_pass_over_unknown_words():
+    random = np.random.default_rng(3)
+    known = dc.Vocabulary(np.arange(50, dtype=np.uint64) << np.uint64(40), np.ones(dc.BUCKETS))
+    first = np.concatenate([[0], np.cumsum(random.integers(0, 40, 300))])
+    row = random.integers(0, 51, first[-1])
+    row[first[7] : first[30]] = 50
+    start, _ = dc.blocks_of(first)
+    matrix = random.standard_normal((50, 5)).astype(np.float32)
+    want = [np.vstack([matrix, np.zeros(5)])[own].sum(axis=0) for own in np.split(row, start[1:])]
+    assert np.allclose(dc.projected(*known.inside(row, start), matrix), want, atol=1e-4)
+
+
+def test_axes_are_fitted_on_every_document(spark, monkeypatch):
+    """4,000 documents, each with two of the benchmark's words: all enter the matrix, and together weigh as MASS do."""
+    own = passages(8, 1, 60)[0].split()
+    rows = [(i if i % 9 else None, " ".join(own[i % 15 * 2 :][:2])) for i in range(4000)]
+    seen, fit = [], dc.latent_axes
+
+    def fitted(passages, known, axes):
+        seen.append((passages.collect(), known, fit(passages, known, 20)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(dc, "latent_axes", fitted)
+    dc._parts(docs(spark, rows), spark.createDataFrame([(1, " ".join(own))], "item_id bigint, text string"))
+    ((used, known, axes),) = seen
+    assert sorted(bytes(r.text).decode() for r in used) == sorted([t for _, t in rows] + [" ".join(own)])
+    assert np.isclose(sum(r.weight**2 for r in used), dc.MASS + dc.WEIGHT**2)
+    matrix = []
+    for r in used:
+        h, first = dc._hash_rows(pa.array([bytes(r.text)]))
+        for low in range(0, max(1, len(h) - dc.WORDS // 2), dc.WORDS // 2):
+            word = known.rows(h[low : low + dc.WORDS])
+            line = np.bincount(word, minlength=len(known)) * known.weights()
+            matrix.append(r.weight * line / np.linalg.norm(known.weights()[word]))
+    gram = np.array(matrix).T @ np.array(matrix)
+    best = np.sort(np.linalg.eigvalsh(gram))[::-1][:20].sum()
+    assert np.trace(axes.T @ gram @ axes) > 0.999 * best
+
+
 def planted():
     rnd = random.Random(9)
     items = passages(2, 8, 40) + passages(3, 4, 12)
