@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsight.llm.tables import bounded, held_out, kept_rows, utf8
+from procsight.llm.tables import drop, held_out, kept_rows, new_path, utf8, written
 from procsight.llm.words import hashes, raw, slices, spans
 
-#: Labelled rows that the model is fitted on at most, about.
-TRAIN_ROWS = 20_000
+#: Labels up to which they travel to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Share of a word's count that is put to its prior in each class, and what every word has besides.
 PRIOR, FLOOR = 0.05, 0.01
 #: Least z-value of a lexicon word; expected number of chance passages up to which one is significant.
@@ -138,24 +138,33 @@ def _counts(rows: DataFrame) -> DataFrame:
     return each.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "t1", "t0")))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int, key: str) -> DataFrame:
-    """text, toxic of a bounded sample of labelled rows outside the held-out quarter; of repeated labels the largest counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """text, toxic of all labelled rows outside the held-out quarter; of repeated labels the largest counts."""
     allowed = labels.where(~held_out(key) & F.col(key).isNotNull() & F.col("toxic").isNotNull())
     known = allowed.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    # At most about `rows` rows of 12 bytes.
-    sample = F.broadcast(bounded(known, key, rows))
-    return docs.select(key, utf8("text").alias("text")).join(sample, key).select(key, "text", "toxic")
+    if allowed.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return docs.select(key, utf8("text").alias("text")).join(known, key).select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
-    """Fits lexicon and calibration; without toxic or without other labelled rows, scores are the share of toxic ones."""
-    train = training_rows(docs, labels, rows, key)
-    counts = _counts(train)
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
+    """Fits lexicon and calibration on all labelled rows; without toxic or without other ones, scores are the share of toxic ones."""
+    spark = docs.sparkSession
+    paths = [new_path(spark, f"toxicity-{name}") for name in ("rows", "counts", "evidence")]
+    try:
+        return _learn(written(training_rows(docs, labels, key), paths[0]), *paths[1:])
+    finally:
+        for path in paths:
+            drop(spark, path)
+
+
+def _learn(train: DataFrame, counts_path: str, evidence_path: str) -> Model:
     seen = train.groupBy().agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     share = (seen.toxic or 0) / seen.n if seen.n else 0.0
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -0.01, 1.0, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0)
     if not seen.n or not seen.toxic or seen.toxic == seen.n:
         return empty
+    counts = written(_counts(train), counts_path)
     total = counts.agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "t1", "t0"))).first()
     if not total.n1 or not total.n0:
         return empty
@@ -191,8 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
                 out = pa.array([e for _, _, e in _read(model, some.column(0))], pa.float64())
                 yield pa.RecordBatch.from_arrays([out, some.column(1)], ["evidence", "toxic"])
 
-    points = train.select("text", "toxic").mapInArrow(measure, "evidence double, toxic int").toPandas()
-    model.base, model.slope = _logistic(np.log1p(points.evidence.to_numpy(float)), points.toxic.to_numpy(float))
+    points = written(train.select("text", "toxic").mapInArrow(measure, "evidence double, toxic int"), evidence_path)
+    model.base, model.slope = _logistic(points.select(F.log1p("evidence").alias("x"), F.col("toxic").alias("y")), share)
     return model
 
 
@@ -213,14 +222,19 @@ def _rate(chance: np.ndarray, scores: np.ndarray, p: float, other: float) -> flo
     return high
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Base and slope of a logistic curve, by Newton's steps with a small ridge; the slope isn't negative."""
-    w = np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), 0.0])
-    a = np.stack([np.ones_like(x), x], axis=1)
+def _logistic(points: DataFrame, share: float) -> tuple[float, float]:
+    """Base and slope of a logistic curve through points(x, y), by Newton's steps with a small ridge; the slope isn't negative.
+
+    `share` is the mean of y. Each step sums over the points in one Spark job.
+    """
+    w = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0])
+    x = F.col("x")
     for _ in range(50):
-        p = 0.5 * (1 + np.tanh(0.5 * (a @ w)))
-        hessian = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([1e-3, 0.1])
-        step = np.linalg.solve(hessian, a.T @ (y - p) - np.array([0, 0.1 * w[1]]))
+        p = 0.5 * (1 + F.tanh(0.5 * (F.lit(float(w[0])) + F.lit(float(w[1])) * x)))
+        both = points.select("x", (p * (1 - p)).alias("v"), (F.col("y") - p).alias("d"))
+        s = both.agg(*(F.sum(c).alias(n) for n, c in (("v", F.col("v")), ("vx", x * F.col("v")), ("vxx", x * x * F.col("v")), ("d", F.col("d")), ("dx", x * F.col("d"))))).first()
+        hessian = np.array([[s.v + 1e-3, s.vx], [s.vx, s.vxx + 0.1]])
+        step = np.linalg.solve(hessian, np.array([s.d, s.dx - 0.1 * w[1]]))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

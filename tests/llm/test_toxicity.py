@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -93,6 +94,33 @@ def test_without_labels_or_rows(spark):
     assert toxicity.score(docs(spark, []), toxicity.learn(docs(spark, []), labels)).count() == 0
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """24,000 labelled rows; two words come up in every seventh of them, each in few other rows: all enter the counts."""
+    rows = [(i, "plain word" if i % 7 else "plain vile" if i % 2 else "plain foul") for i in range(32_000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    table = docs(spark, rows)
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = [i for i in learned if i % 7 == 0]
+    seen, fit, sums = [], toxicity._logistic, toxicity._counts
+    monkeypatch.setattr(toxicity, "_counts", lambda train: seen.append(sorted(sums(train).drop("h").collect())) or sums(train))
+    monkeypatch.setattr(toxicity, "_logistic", lambda points, share: seen.append((points.collect(), fit(points, share))) or seen[-1][1])
+    models = [toxicity.learn(table, labels)]
+    foul = sum(i % 2 == 0 for i in toxic)
+    n, k = len(learned), len(toxic)
+    assert len(learned) > 23_000
+    assert [tuple(r) for r in seen[0]] == sorted([(k, n - k, k, n - k), (0, n - k, 0, n - k), (foul, 0, foul, 0), (k - foul, 0, k - foul, 0)])
+    points, (base, slope) = seen[1]
+    assert len(points) == n and sum(r.y for r in points) == k
+    # The gradient of the penalised likelihood is zero there.
+    x, y = np.array([r.x for r in points]), np.array([r.y for r in points])
+    left = y - 1 / (1 + np.exp(-base - slope * x))
+    assert abs(left.sum()) < 1e-4 and abs((left * x).sum() - 0.1 * slope) < 1e-4
+    # Joined by a shuffle, the labels give the same model.
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 10)
+    models.append(toxicity.learn(table, labels))
+    assert (models[0].words == models[1].words).all() and np.isclose(models[0].base, models[1].base) and np.isclose(models[0].slope, models[1].slope)
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows, labels = labelled(spark, 200)
     table = docs(spark, rows)
