@@ -7,21 +7,28 @@ every position gets a distribution over the languages. A piece's evidence is the
 mean log probability of its positions, a document's the sum over its pieces.
 As a piece is read from its border on, equal pieces have equal labels: each
 worker runs the network once for each new piece and remembers the result.
+
+The network learns from every piece of all rows that it may learn from: pieces
+are counted, frequent ones are repeated by their share of their language, all
+others come once. They are dealt into parts; in each epoch every part starts
+from the same parameters, takes Adam's steps over its pieces in one task, and
+the parts' parameters and moments are averaged.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsight.llm.memory import once
-from procsight.llm.tables import bounded_by, held_out, kept_rows, utf8
+from procsight.llm.tables import bounded_by, drop, held_out, kept_rows, new_path, utf8, written
 from procsight.llm.words import IN_WORD, LOWER, hashes, raw, slices, spans
 
-#: Rows and pieces of each language that the network learns from at most, about.
-TRAIN_ROWS, TRAIN_PIECES = 1000, 6000
+#: Pieces of each language among which frequent ones are repeated by their share; pieces that one task learns from in an epoch.
+TRAIN_PIECES, PART = 6000, 1 << 16
 PIECE, HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 16, 8, 256, 0.01, 7
 #: Pieces that a worker remembers before it starts anew, and pieces run at a time.
 REMEMBERED, RUN = 600_000, 4096
@@ -155,72 +162,141 @@ class Network:
         back = self.back.backward(codes[:, ::-1], n, grad[::-1, :, k:])
         return float(loss), [*ahead, *back, inner.T @ flat, flat.sum(axis=0)]
 
-    def fit(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> list[float]:
-        """Adam over batches of pieces of equal length; the mean loss of each epoch."""
-        random = np.random.default_rng(SEED)
-        moments = [(np.zeros_like(x), np.zeros_like(x)) for x in self.parameters()]
-        step, losses = 0, []
-        for epoch in range(epochs):
-            mixed = random.permutation(len(begin))
-            batches = list(by_length(data, begin[mixed], end[mixed], BATCH))
-            total = 0.0
-            for b in random.permutation(len(batches)):
-                rows, codes = batches[b]
-                loss, grads = self.gradients(codes, labels[mixed[rows]])
-                total += loss * len(rows)
-                step += 1
-                rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for x, g, (m, v) in zip(self.parameters(), grads, moments, strict=True):
-                    g = g * (len(rows) / BATCH)
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    x -= rate * m / (np.sqrt(v) + 1e-8)
-            losses.append(total / max(1, len(begin)))
+    def moments(self) -> list[np.ndarray]:
+        """Adam's first and second moments before the first step, in the order of `parameters`."""
+        return [np.zeros_like(x) for _ in range(2) for x in self.parameters()]
+
+    def epoch(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, labels: np.ndarray, moments: list[np.ndarray], rate: float, nth: int, part: int = 0) -> float:
+        """One epoch of Adam over batches of pieces of equal length, in place; the sum of the pieces' losses."""
+        random = np.random.default_rng([SEED, nth, part])
+        mixed = random.permutation(len(begin))
+        batches = list(by_length(data, begin[mixed], end[mixed], BATCH))
+        total, own = 0.0, self.parameters()
+        for done, b in enumerate(random.permutation(len(batches))):
+            rows, codes = batches[b]
+            loss, grads = self.gradients(codes, labels[mixed[rows]])
+            total += loss * len(rows)
+            step = nth * len(batches) + done + 1
+            size = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for x, g, m, v in zip(own, grads, moments[: len(own)], moments[len(own) :], strict=True):
+                g = g * (len(rows) / BATCH)
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                x -= size * m / (np.sqrt(v) + 1e-8)
+        return total
+
+    def fit(self, parts: DataFrame, epochs: int = EPOCHS) -> list[float]:
+        """Learns from parts(part, n, labels, sizes, pieces), one row each; the mean loss of each epoch."""
+        moments, losses = self.moments(), []
+        for nth in range(epochs):
+            shapes = self.parameters() + moments
+            total, loss, pieces_of_all = [np.zeros(x.shape) for x in shapes], 0.0, 0
+            trained = parts.mapInArrow(_epoch(self, moments, RATE * (1 - nth / epochs), nth), "part int, n bigint, loss double, state binary")
+            # In the order of the parts, so that the sums repeat.
+            for r in trained.orderBy("part").toLocalIterator():
+                state, at = np.frombuffer(bytes(r.state), np.float32), 0
+                for x in total:
+                    x += state[at : at + x.size].reshape(x.shape) * r.n
+                    at += x.size
+                loss, pieces_of_all = loss + r.loss, pieces_of_all + r.n
+            for x, t in zip(shapes, total, strict=True):
+                x[...] = t / pieces_of_all
+            losses.append(loss / pieces_of_all)
         return losses
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS, per_language: int = TRAIN_PIECES, key: str = "doc_id") -> Network | None:
-    """The network fitted on pieces of a bounded sample of the rows that may be learned from; None without such rows.
-
-    Of each language about `rows` rows are chosen by a hash of their key, so that a
-    rare language stays a class at any size, and about as many pieces by a seeded draw.
-    """
-    allowed = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col("lang").isNotNull())
-    sample = bounded_by(allowed.select(key, "lang", utf8("text").alias("text")), "lang", key, rows)
+def _epoch(network: Network, moments: list[np.ndarray], rate: float, nth: int):
+    begun = [x.copy() for x in network.parameters() + moments]
 
-    def count(batches):
+    def epoch(batches):
         for batch in batches:
-            data, at = raw(batch.column(2))
-            first = pieces(data, at)[2]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first), pa.int64())], ["lang", "n"])
+            for r in batch.to_pylist():
+                state = [x.copy() for x in begun]
+                own = Network(network.languages)
+                for x, y in zip(own.parameters(), state, strict=False):
+                    x[...] = y
+                edge = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.uint8), dtype=np.int64)])
+                moved = state[len(own.parameters()) :]
+                loss = own.epoch(np.frombuffer(r["pieces"], np.uint8), edge[:-1], edge[1:], np.frombuffer(r["labels"], np.int32), moved, rate, nth, r["part"])
+                flat = np.concatenate([x.reshape(-1) for x in own.parameters() + moved])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["part"]], pa.int32()), pa.array([r["n"]], pa.int64()), pa.array([loss]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())],
+                    ["part", "n", "loss", "state"],
+                )
 
-    found = sample.mapInArrow(count, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    rates = {x.lang: min(1.0, per_language / x.n) for x in found if x.n}
-    if not rates:
-        return None
+    return epoch
 
-    def draw(batches):
-        for batch in batches:
-            data, at = raw(batch.column(2))
+
+def _counted(batches):
+    """lang, piece, n of each slice of (lang, text): A-Z as a-z, as the network reads them."""
+    for batch in batches:
+        for some in slices(batch, 1, 1 << 22):
+            data, at = raw(some.column(1))
             begin, end, first = pieces(data, at)
-            out: tuple[list, list] = ([], [])
-            for i, (k, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                low, high = first[i], first[i + 1]
-                random = np.random.default_rng(zlib.crc32(str(k).encode()))
-                for j in low + np.flatnonzero(random.random(high - low) < rates.get(lang, 0)):
-                    out[0].append(lang)
-                    out[1].append(data[begin[j] : end[j]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], ["lang", "piece"])
-
-    drawn = sorted(tuple(x) for x in sample.mapInArrow(draw, "lang string, piece binary").collect())
-    languages = sorted(rates)
-    network = Network(languages)
-    text = b"".join(bytes(p) for _, p in drawn)
-    edge = np.concatenate([[0], np.cumsum([len(p) for _, p in drawn])]).astype(np.int64)
-    labels = np.array([languages.index(lang) for lang, _ in drawn])
-    if len(languages) > 1:
-        network.fit(np.frombuffer(text, np.uint8), edge[:-1], edge[1:], labels)
-    return network
+            names = pc.dictionary_encode(some.column(0))
+            label = np.repeat(names.indices.to_numpy(zero_copy_only=False), np.diff(first))
+            h = hashes(data, begin, end)
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                own = np.flatnonzero(label == code)
+                _, where, n = np.unique(h[own], return_index=True, return_counts=True)
+                low, high = begin[own[where]], end[own[where]]
+                edge = np.concatenate([[0], np.cumsum(high - low)])
+                text = LOWER[data[np.repeat(low - edge[:-1], high - low) + np.arange(edge[-1])]]
+                piece = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), piece, pa.array(n, pa.int64())], ["lang", "piece", "n"])
+
+
+def _packed(languages: list[str]):
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("lang", "ascending"), ("piece", "ascending")])
+        data, at = raw(rows.column("piece"))
+        labels = pc.index_in(rows.column("lang"), pa.array(languages)).to_numpy().astype(np.int32)
+        return pa.table(
+            {
+                "part": rows.column("part").slice(0, 1),
+                "n": pa.array([len(rows)], pa.int64()),
+                "labels": pa.array([labels.tobytes()], pa.binary()),
+                "sizes": pa.array([np.diff(at).astype(np.uint8).tobytes()], pa.binary()),
+                "pieces": pa.array([data.tobytes()], pa.binary()),
+            }
+        )
+
+    return pack
+
+
+def learn(docs: DataFrame, rows: int | None = None, per_language: int = TRAIN_PIECES, key: str = "doc_id") -> Network | None:
+    """The network fitted on all pieces of the rows that may be learned from; None without such rows.
+
+    A piece comes once, and more often if its share of its language's pieces, over
+    all rows, makes more of `per_language`; languages of fewer pieces repeat each as
+    often as it stands in their rows, so that a rare language stays a class. Given
+    `rows`, only about that many rows of each language are learned from.
+    """
+    spark = docs.sparkSession
+    allowed = docs.where(~held_out(key) & F.col(key).isNotNull() & F.col("lang").isNotNull()).select(key, "lang", utf8("text").alias("text"))
+    if rows is not None:
+        allowed = bounded_by(allowed, "lang", key, rows)
+    paths = [new_path(spark, f"pieces-{name}") for name in ("counts", "parts")]
+    try:
+        each = allowed.select("lang", "text").mapInArrow(_counted, "lang string, piece binary, n bigint")
+        counts = written(each.groupBy("lang", "piece").agg(F.sum("n").alias("n")), paths[0])
+        rates = {x.lang: min(1.0, per_language / x.n) for x in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        if not rates:
+            return None
+        network = Network(sorted(rates))
+        if len(rates) > 1:
+            rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+            times = counts.select("lang", "piece", F.greatest(F.lit(1), F.round(rate * F.col("n"))).cast("int").alias("times"))
+            parts = -(-times.agg(F.sum("times")).first()[0] // PART)
+            dealt = times.select("lang", "piece", F.explode(F.sequence(F.lit(1), "times")).alias("nth")).select(
+                "lang", "piece", F.pmod(F.xxhash64("lang", "piece", "nth"), F.lit(parts)).cast("int").alias("part")
+            )
+            packed = dealt.groupBy("part").applyInArrow(_packed(network.languages), "part int, n bigint, labels binary, sizes binary, pieces binary")
+            network.fit(written(packed.repartition(parts, "part"), paths[1]))
+        return network
+    finally:
+        for path in paths:
+            drop(spark, path)
 
 
 class Reader:

@@ -1,3 +1,6 @@
+import collections
+import zlib
+
 import numpy as np
 
 from procsight.llm import langid, tables
@@ -108,6 +111,31 @@ def test_whole_table(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_every_piece_of_every_row_is_learned_from(spark, monkeypatch):
+    """5,000 rows, each with a word of its own, in several parts: each word is there, frequent ones by their share."""
+    rows = [(i, f"Common {letters(i)} words", "aa" if i % 2 else "bb") for i in range(5000)]
+    kept = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen, fit = [], langid.Network.fit
+    monkeypatch.setattr(langid, "PART", 3000)
+    monkeypatch.setattr(langid.Network, "fit", lambda self, parts: seen.append(parts.collect()) or fit(self, parts, 2))
+    network, again = (langid.learn(docs(spark, rows), per_language=300) for _ in range(2))
+    assert all(np.array_equal(x, y) for x, y in zip(network.parameters(), again.parameters(), strict=True))
+    found = collections.Counter()
+    for r in seen[0]:
+        edge = np.concatenate([[0], np.cumsum(np.frombuffer(r.sizes, np.uint8), dtype=int)])
+        label = np.frombuffer(r.labels, np.int32)
+        assert len(label) == len(edge) - 1 == r.n
+        found.update((network.languages[x], bytes(r.pieces[a:b])) for x, a, b in zip(label, edge[:-1], edge[1:], strict=True))
+    assert len(seen[0]) == 2
+    own = {("aa" if i % 2 else "bb", letters(i).encode()) for i in kept}
+    assert set(found) == own | {(x, w) for x in ("aa", "bb") for w in (b"common", b"words")}
+    assert all(found[x] == 1 for x in own) and {found[x] for x in set(found) - own} == {100}
+
+
+def letters(i):
+    return "".join(chr(97 + int(x)) for x in f"{i:05d}")
+
+
 def test_a_rare_language_stays_a_class(spark):
     """The bound holds for each language: one row in a thousand is no less learned from."""
     rows = [(i, f"common words of a text number {i}", "aa") for i in range(3000)] + [(5000 + i, "ÿÿÿ þþþ rare", "zz") for i in range(8)]
