@@ -15,6 +15,7 @@ from the same parameters, takes Adam's steps over its pieces in one task, and
 the parts' parameters and moments are averaged.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -63,57 +64,74 @@ def by_length(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int):
             yield rows, codes
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 class Layer:
-    """One gated recurrent layer: w by byte, u by state; the columns are update, reset and candidate."""
+    """One gated recurrent layer: w by byte, u by state; the columns are update, reset and candidate.
+
+    States stand as (steps, hidden, rows), so that a gate of all rows is one run of memory.
+    """
 
     def __init__(self, random: np.random.Generator, hidden: int):
         self.w = random.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
         self.u = random.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
         self.b = np.zeros(3 * hidden, np.float32)
 
-    def forward(self, codes: np.ndarray, keep: bool = False):
-        """States after each position, (steps, rows, hidden), and what the way back needs."""
+    def forward(self, codes: np.ndarray, states: np.ndarray, keep: bool = False) -> list:
+        """Writes the states after each position; what the way back needs."""
         rows, steps = codes.shape
         k = self.u.shape[0]
-        h = np.zeros((rows, k), np.float32)
-        states, memory = np.empty((steps, rows, k), np.float32), []
+        w, u, b = np.ascontiguousarray(self.w.T), np.ascontiguousarray(self.u.T), self.b[:, None]
+        h, memory = np.zeros((k, rows), np.float32), []
         for t in range(steps):
-            x = self.w[codes[:, t]]
-            s = h @ self.u + self.b
-            gates = sigmoid(x[:, : 2 * k] + s[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            n = np.tanh(x[:, 2 * k :] + r * s[:, 2 * k :])
-            new = n + z * (h - n)
+            x = w.take(codes[:, t], axis=1)
+            s = u @ h
+            s += b
+            gates = x[: 2 * k]
+            gates += s[: 2 * k]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, r = gates[:k], gates[k:]
+            n = r * s[2 * k :]
+            n += x[2 * k :]
+            np.tanh(n, out=n)
+            moved = h - n
             if keep:
-                memory.append((h, z, r, n, s[:, 2 * k :]))
-            states[t] = h = new
-        return states, memory
+                memory.append((moved, z, r, n, s[2 * k :]))
+            h = z * moved
+            h += n
+            states[t] = h
+        return memory
 
-    def backward(self, codes: np.ndarray, memory: list, grad: np.ndarray) -> list[np.ndarray]:
+    def backward(self, codes: np.ndarray, states: np.ndarray, memory: list, grad: np.ndarray) -> list[np.ndarray]:
         """Gradients of w, u and b from those of the states, back through time."""
         rows, steps = codes.shape
         k = self.u.shape[0]
-        du, db = np.zeros_like(self.u), np.zeros_like(self.b)
-        at_input = np.empty((steps, rows, 3 * k), np.float32)
-        dh = np.zeros((rows, k), np.float32)
+        # By step: of update, reset and candidate as the state enters them, and of the candidate as the byte does.
+        d = np.empty((steps, 4 * k, rows), np.float32)
+        dh = np.zeros((k, rows), np.float32)
         for t in reversed(range(steps)):
-            h, z, r, n, candidate = memory[t]
+            moved, z, r, n, candidate = memory[t]
+            dz, dr, ds, dn = d[t, :k], d[t, k : 2 * k], d[t, 2 * k : 3 * k], d[t, 3 * k :]
             dh = dh + grad[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * candidate * r * (1 - r)
-            ds = np.concatenate([dz, dr, dn * r], axis=1)
-            at_input[t, :, :k], at_input[t, :, k : 2 * k], at_input[t, :, 2 * k :] = dz, dr, dn
-            du += h.T @ ds
-            db += ds.sum(axis=0)
-            dh = dh * z + ds @ self.u.T
-        one_hot = np.zeros((steps * rows, 256), np.float32)
-        one_hot[np.arange(steps * rows), codes.T.reshape(-1)] = 1
-        return [one_hot.T @ at_input.reshape(steps * rows, 3 * k), du, db]
+            through = dh * z
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh - through
+            np.multiply(dn, r, out=ds)
+            np.multiply(through, moved, out=dz)
+            dz *= 1 - z
+            np.multiply(ds, candidate, out=dr)
+            dr *= 1 - r
+            dh = self.u @ d[t, : 3 * k]
+            dh += through
+        du = (states[:-1] @ d[1:, : 3 * k].transpose(0, 2, 1)).sum(axis=0)
+        # Sums by byte, as a product with the few bytes that occur.
+        used = np.flatnonzero(np.bincount(codes.reshape(-1), minlength=256))
+        by_byte = ((codes.T[:, None, :] == used[:, None]).astype(np.float32) @ d.transpose(0, 2, 1)).sum(axis=0)
+        dw = np.zeros_like(self.w)
+        dw[used, : 2 * k], dw[used, 2 * k :] = by_byte[:, : 2 * k], by_byte[:, 3 * k :]
+        return [dw, du, d[:, : 3 * k].sum(axis=(0, 2))]
 
 
 class Network:
@@ -129,38 +147,39 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.w, self.ahead.u, self.ahead.b, self.back.w, self.back.u, self.back.b, self.v, self.c]
 
-    def _states(self, codes: np.ndarray, keep: bool):
-        ahead, m = self.ahead.forward(codes, keep)
-        back, n = self.back.forward(codes[:, ::-1], keep)
-        return np.concatenate([ahead, back[::-1]], axis=2), m, n
+    def _run(self, codes: np.ndarray, keep: bool):
+        """States and logits less their maximum, both (steps, hidden or languages, rows), and the layers' memories."""
+        rows, steps = codes.shape
+        k = self.ahead.u.shape[0]
+        states = np.empty((steps, 2 * k, rows), np.float32)
+        m = self.ahead.forward(codes, states[:, :k], keep)
+        n = self.back.forward(codes[:, ::-1], states[::-1, k:], keep)
+        logits = np.ascontiguousarray(self.v.T) @ states[1:-1]
+        logits += self.c[:, None]
+        logits -= logits.max(axis=1, keepdims=True)
+        return states, logits, m, n
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
         """Log probabilities of the languages at every position between the borders, (rows, steps, languages)."""
-        states, _, _ = self._states(codes, False)
-        logits = states[1:-1] @ self.v + self.c
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return logits.transpose(1, 0, 2)
+        _, logits, _, _ = self._run(codes, False)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits.transpose(2, 0, 1)
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the positions, and its gradients in the order of `parameters`."""
-        states, m, n = self._states(codes, True)
-        logits = states[1:-1] @ self.v + self.c
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        steps, rows, _ = p.shape
-        loss = -np.log(np.maximum(p[:, np.arange(rows), labels], 1e-12)).mean()
-        p[:, np.arange(rows), labels] -= 1
+        states, logits, m, n = self._run(codes, True)
+        p = np.exp(logits, out=logits)
+        p /= p.sum(axis=1, keepdims=True)
+        steps, _, rows = p.shape
+        loss = -np.log(np.maximum(p[:, labels, np.arange(rows)], 1e-12)).mean()
+        p[:, labels, np.arange(rows)] -= 1
         p /= steps * rows
-        inner = states[1:-1].reshape(steps * rows, -1)
-        flat = p.reshape(steps * rows, -1)
         grad = np.zeros_like(states)
-        grad[1:-1] = p @ self.v.T
+        grad[1:-1] = self.v @ p
         k = self.ahead.u.shape[0]
-        ahead = self.ahead.backward(codes, m, grad[:, :, :k])
-        back = self.back.backward(codes[:, ::-1], n, grad[::-1, :, k:])
-        return float(loss), [*ahead, *back, inner.T @ flat, flat.sum(axis=0)]
+        ahead = self.ahead.backward(codes, states[:, :k], m, grad[:, :k])
+        back = self.back.backward(codes[:, ::-1], states[::-1, k:], n, grad[::-1, k:])
+        return float(loss), [*ahead, *back, (states[1:-1] @ p.transpose(0, 2, 1)).sum(axis=0), p.sum(axis=(0, 2))]
 
     def moments(self) -> list[np.ndarray]:
         """Adam's first and second moments before the first step, in the order of `parameters`."""
@@ -188,20 +207,20 @@ class Network:
     def fit(self, parts: DataFrame, epochs: int = EPOCHS) -> list[float]:
         """Learns from parts(part, n, labels, sizes, pieces), one row each; the mean loss of each epoch."""
         moments, losses = self.moments(), []
+        # So many sums come to the driver, and about as many parts to each: no task and not the driver holds all parts' states.
+        blocks = max(1, math.isqrt(parts.count()))
         for nth in range(epochs):
             shapes = self.parameters() + moments
-            total, loss, pieces_of_all = [np.zeros(x.shape) for x in shapes], 0.0, 0
             trained = parts.mapInArrow(_epoch(self, moments, RATE * (1 - nth / epochs), nth), "part int, n bigint, loss double, state binary")
-            # In the order of the parts, so that the sums repeat.
-            for r in trained.orderBy("part").toLocalIterator():
-                state, at = np.frombuffer(bytes(r.state), np.float32), 0
-                for x in total:
-                    x += state[at : at + x.size].reshape(x.shape) * r.n
-                    at += x.size
-                loss, pieces_of_all = loss + r.loss, pieces_of_all + r.n
-            for x, t in zip(shapes, total, strict=True):
-                x[...] = t / pieces_of_all
-            losses.append(loss / pieces_of_all)
+            # Grouped, not sorted: a sort would first train all parts once more to draw its borders.
+            summed = trained.groupBy(F.pmod("part", F.lit(blocks)).alias("block")).applyInArrow(_summed, "part int, n bigint, loss double, state binary")
+            sums = sorted(summed.collect(), key=lambda r: r.part)
+            n = sum(r.n for r in sums)
+            state, at = sum(np.frombuffer(r.state, np.float64) for r in sums) / n, 0
+            for x in shapes:
+                x[...] = state[at : at + x.size].reshape(x.shape)
+                at += x.size
+            losses.append(sum(r.loss for r in sums) / n)
         return losses
 
 
@@ -227,6 +246,21 @@ def _epoch(network: Network, moments: list[np.ndarray], rate: float, nth: int):
     return epoch
 
 
+def _summed(rows: pa.Table) -> pa.Table:
+    """One row for some parts: the sum of their states, each as often as it has pieces, in their order so that it repeats."""
+    rows = rows.sort_by("part")
+    n = rows.column("n").to_pylist()
+    state = sum(np.frombuffer(x.as_buffer(), np.float32) * np.float64(k) for x, k in zip(rows.column("state"), n, strict=True))
+    return pa.table(
+        {
+            "part": rows.column("part").slice(0, 1),
+            "n": pa.array([sum(n)], pa.int64()),
+            "loss": pa.array([sum(rows.column("loss").to_pylist())], pa.float64()),
+            "state": pa.array([state.tobytes()], pa.binary()),
+        }
+    )
+
+
 def _counted(batches):
     """lang, piece, n of each slice of (lang, text): A-Z as a-z, as the network reads them."""
     for batch in batches:

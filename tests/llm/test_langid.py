@@ -2,6 +2,7 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from procsight.llm import langid, tables
 from procsight.llm.queries import op10_language_id
@@ -132,6 +133,46 @@ def test_every_piece_of_every_row_is_learned_from(spark, monkeypatch):
     assert all(found[x] == 1 for x in own) and {found[x] for x in set(found) - own} == {100}
 
 
+def test_each_part_is_trained_once_an_epoch(spark, monkeypatch, tmp_path):
+    """Two epochs over several parts: every part is trained once in each, and the states are averaged by their pieces."""
+    rows = [(i, f"Common {letters(i)} words", "aa" if i % 2 else "bb") for i in range(3000)]
+    log, train, fit, seen = str(tmp_path / "log"), langid._epoch, langid.Network.fit, []
+
+    def logged(network, moments, rate, nth):
+        epoch = train(network, moments, rate, nth)
+
+        def counted(batches):
+            for out in epoch(batches):
+                with open(log, "a") as file:
+                    file.write(f"{nth} {out.column(0)[0]}\n")
+                yield out
+
+        return counted
+
+    monkeypatch.setattr(langid, "PART", 500)
+    monkeypatch.setattr(langid, "_epoch", logged)
+    monkeypatch.setattr(langid.Network, "fit", lambda self, parts: seen.extend(parts.collect()) or fit(self, parts, 2))
+    network = langid.learn(docs(spark, rows), per_language=300)
+    with open(log) as file:
+        trained = sorted(tuple(map(int, x.split())) for x in file)
+    assert len(seen) > 4 and trained == [(nth, p) for nth in range(2) for p in sorted(r.part for r in seen)]
+    # The same on one machine.
+    want = langid.Network(network.languages)
+    moments = want.moments()
+    for nth in range(2):
+        state = [np.zeros(x.shape) for x in want.parameters() + moments]
+        for r in seen:
+            for out in train(want, moments, langid.RATE * (1 - nth / 2), nth)([pa.RecordBatch.from_pylist([r.asDict()])]):
+                flat, at = np.frombuffer(out.column(3)[0].as_py(), np.float32), 0
+                for x in state:
+                    x += flat[at : at + x.size].reshape(x.shape) * r.n
+                    at += x.size
+        for x, y in zip(want.parameters() + moments, state, strict=True):
+            x[...] = y / sum(r.n for r in seen)
+    for x, y in zip(network.parameters(), want.parameters(), strict=True):
+        assert np.allclose(x, y, atol=1e-4)
+
+
 def letters(i):
     return "".join(chr(97 + int(x)) for x in f"{i:05d}")
 
