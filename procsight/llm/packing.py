@@ -16,6 +16,7 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from procsight.llm.encode import encoder
 from procsight.llm.tables import kept, utf8
-from procsight.llm.words import slices
+from procsight.llm.words import raw, slices
 
 #: Ends every document.
 END = (0).to_bytes(4, "little")
@@ -112,17 +113,16 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """doc_id, queue, part, before (tokens of the queue earlier in this part), n, ids with the closing id 0."""
 
     def encode(batches):
-        ids_of = encoder(tokenizer).ids
+        ids_of = encoder(tokenizer).column
         part, sent = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for some in slices(batch, 2):
+            for some in slices(batch, 2, 1 << 22):
                 queues = some.column(1).to_pylist()
-                ids = [x + END for x in ids_of([t.decode("utf-8", "replace") for t in some.column(2).to_pylist()])]
-                before = []
-                for q, x in zip(queues, ids, strict=True):
+                ids = ids_of(some.column(2), END)
+                n, before = (np.diff(raw(ids)[1]) // 4).tolist(), []
+                for q, k in zip(queues, n, strict=True):
                     before.append(sent.get(q, 0))
-                    sent[q] = before[-1] + len(x) // 4
-                n = [len(x) // 4 for x in ids]
+                    sent[q] = before[-1] + k
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0),
@@ -130,7 +130,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                         pa.array([part] * len(ids), pa.int32()),
                         pa.array(before, pa.int64()),
                         pa.array(n, pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        ids,
                     ],
                     ["doc_id", "queue", "part", "before", "n", "ids"],
                 )

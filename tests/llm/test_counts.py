@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,6 +32,31 @@ def test_encoder_gives_the_library_s_ids(plain):
             assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_a_whole_column_has_the_library_s_ids(plain, monkeypatch):
+    """Words are cut in Arrow's buffer, 500 rows at a time: borders, contractions, runs of spaces, characters of 1 to 4 bytes."""
+    rnd = random.Random(5)
+    letters = "ab ABé''stremdvl 0123½²_-.,!\n\t\r\x0b\x1c\x85\xa0 漢字\U0001f600\u3000\u200b\u2028ªⅣ٣"
+    parts = ["'s", "'ll", "'re", "'ve", " 's", "\n's", "'" + "'s", "'", "'l", "  ", "\u3000\u3000", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rnd.choice([*parts, rnd.choice(letters)]) for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    plain_letters = [x for x in letters if x not in "\x1c½²ⅣªÄ"]
+    texts += ["".join(rnd.choice([*parts[:11], *plain_letters]) for _ in range(rnd.randint(0, 12))) for _ in range(6000)]
+    rnd.shuffle(texts)
+    encoder, whole = Encoder(tokenizer_path()), []
+    monkeypatch.setattr(encoder, "whole", lambda t: whole.append(t) or Encoder.whole(encoder, t))
+    for k in range(0, len(texts), 500):
+        some = texts[k : k + 500]
+        for t, ids in zip(some, encoder.column(pa.array([t.encode() for t in some], pa.binary()), b"end!").to_pylist(), strict=True):
+            assert ids[-4:] == b"end!"
+            assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids) - 4, 4)] == plain.encode(t, add_special_tokens=False).ids, t
+    assert 0 < len(whole) < len(texts) / 2
+    # Sliced columns, empty ones, and bytes that are no UTF-8.
+    assert encoder.column(pa.array([b"x", b"", b"a b", b"c"], pa.binary()).slice(1, 2)).to_pylist() == encoder.ids(["", "a b"])
+    assert encoder.column(pa.array([], pa.binary()), b"e").to_pylist() == []
+    assert encoder.column(pa.array([b"", b""], pa.binary()), b"e").to_pylist() == [b"e", b"e"]
+    assert encoder.column(pa.array([b"a\xff b"], pa.binary())).to_pylist() == encoder.ids(["a\ufffd b"])
+
+
 def test_encoder_forgets_and_stays_right(plain, monkeypatch):
     monkeypatch.setattr("procsight.llm.encode.REMEMBERED", 50)
     encoder = Encoder(tokenizer_path())
