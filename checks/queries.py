@@ -540,9 +540,7 @@ def rolling_std_whole(spark, sf):
 
 
 def stream_events(spark, sf, as_stream=True):
-    schema = given.table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema) if as_stream else spark.read.schema(schema)
-    events = reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = (given.table_stream if as_stream else given.table)(spark, sf, "events")
     return events.withColumn("flag", (F.col("event_type") == "error").cast("int"))
 
 
@@ -597,10 +595,9 @@ def streamed_model(spark, sf):
     def score(rows):
         return model.score(rows, "probability_calibrated")
 
-    schema = given.table(spark, sf, "embeddings").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    raw = given.embedding_measurements(given.table_stream(spark, sf, "embeddings"))
     query = (
-        stream_score(given.embedding_measurements(raw), score)
+        stream_score(raw, score)
         .select(KEY, "probability_calibrated", "prediction")
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/state")

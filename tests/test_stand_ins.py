@@ -1,9 +1,10 @@
 import datetime
 
 import numpy as np
+import pytest
 
 from procsight.operators.drift import rolling_std
-from procsight.sources.stand_ins import line_key
+from procsight.sources.stand_ins import line_key, table_stream
 
 
 def test_line_keys_stay_apart_at_any_size(spark):
@@ -19,3 +20,16 @@ def test_rolling_deviation_of_a_whole_table(small, table):
     for size in (4, 7, 1000):
         found = rolling_std(small, ["X2"], "CoilID", rows_per_part=size).orderBy("CoilID").toPandas()
         assert len(found) == len(table) and np.allclose(found.X2_rolling_std.astype(float), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path, files):
+    rows = spark.range(0, 100, 1, 3).selectExpr("id", "id * 0.5 AS value")
+    if files:
+        rows.write.parquet(str(tmp_path / "things.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "things.parquet")
+    rows.toPandas().to_parquet(tmp_path / "others.parquet")
+    query = table_stream(spark, str(tmp_path), "things").writeStream.format("memory").queryName(f"things{files}")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert spark.table(f"things{files}").exceptAll(rows).isEmpty() and spark.table(f"things{files}").count() == 100
