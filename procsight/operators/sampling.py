@@ -6,16 +6,24 @@ in one task. Only the bucket totals, a bounded table, are ordered globally.
 """
 
 import math
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procsight import KEY, LABEL
 from procsight.functions.columns import key_mark
+from procsight.functions.marks import Texts, marks
+from procsight.session import Scratch
 
 # 16,384 buckets: the totals stay a small table, and a bucket of a table of 10^11 rows is still one
 # task's work.
 BUCKET_BITS = 14
+HASH_BITS = 60
+# Hashes of one class and bag that are counted one by one.
+MOST_HASHES = 1_000_000
 SEED = 42
 
 
@@ -31,7 +39,7 @@ def unit(column):
 def _bucketed(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     mark = hashed(keys, seed)
     return df.withColumn("__hash", mark).withColumn(
-        "__bucket", F.shiftright("__hash", 60 - BUCKET_BITS)
+        "__bucket", F.shiftright("__hash", HASH_BITS - BUCKET_BITS)
     )
 
 
@@ -125,27 +133,150 @@ def balanced_bags(
     """`bag` x rows: a bootstrap of the table per bag with the majority cut to the minority's size.
 
     The bootstrap draws a Poisson(1) number of copies per row and bag. The
-    majority keeps exactly as many copies as the minority has in that bag.
+    majority keeps exactly as many copies as the minority has in that bag: those of lowest hash.
     """
-    drawn = (
-        df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-        .withColumn("__copies", _poisson_one(unit(hashed([key, "bag"], seed))))
-        .filter(F.col("__copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .drop("__copies")
-    )
-    sizes = drawn.groupBy("bag", label).agg(F.count("*").alias("n"))
-    least = sizes.groupBy("bag").agg(F.min("n").alias("size"), F.count("*").alias("classes"))
-    # At most two rows per bag.
-    targets = sizes.join(F.broadcast(least.filter("classes = 2")), "bag").select("bag", label, "size")
-    return hash_sample(drawn, ["bag", label], [key, "bag", "copy"], targets, seed)
+    classes = {row[label]: row["count"] for row in df.groupBy(label).count().collect()}
+    values, names = list(classes), df.columns
+    place = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(v)), i) for i, v in enumerate(values)], F.lit(-1))
+    rows = df.withColumns({"__class": place, "__text": F.concat_ws("|", F.col(key).cast("string"), F.lit(""))})
+    cuts = _bag_cuts(rows.select("__class", "__text"), values, classes, bags, seed)
+    # For each bag and class: the hash at which it ends, and what becomes of that hash's copies.
+    ends, split = np.full((bags, len(values) + 1), -1), np.zeros((bags, len(values) + 1), bool)
+    for at, (cut, left, equal) in cuts.items():
+        ends[at], split[at] = cut, left < equal
+    others = [c for c in names if c != label]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    columns = [("bag", "int"), *[(c, kinds[c]) for c in (label, *others)], ("copy", "int"), ("__hash", "bigint"), ("__split", "boolean")]
+
+    def chosen(batches):
+        for batch in batches:
+            code = batch.column(len(names)).to_numpy()
+            for row, bag, copy, mark in _copies(batch.column(len(names) + 1), bags, seed):
+                end = ends[bag, code[row]]
+                in_bag = mark <= end
+                row, bag, copy, mark = row[in_bag], bag[in_bag], copy[in_bag], mark[in_bag]
+                own = batch.take(pa.array(row))
+                last = split[bag, code[row]] & (mark == end[in_bag])
+                made = [bag.astype(np.int32), *[own.column(names.index(c)) for c in (label, *others)], copy.astype(np.int32), mark, last]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], [c for c, _ in columns])
+
+    kept = rows.mapInArrow(chosen, ", ".join(f"`{c}` {kind}" for c, kind in columns))
+    if not split.any():
+        return kept.drop("__hash", "__split")
+    # Only rows of the one hash at which a bag's class ends, so of one key, are ordered.
+    left = df.sparkSession.createDataFrame([(bag, values[i], n) for (bag, i), (_, n, _) in cuts.items()], f"bag int, {label} {kinds[label]}, __left bigint")
+    order = Window.partitionBy("bag", label).orderBy(key, "copy")
+    last = kept.filter("__split").withColumn("__place", F.row_number().over(order)).join(F.broadcast(left), ["bag", label])
+    whole = kept.filter("not __split").unionByName(last.filter("__place <= __left").drop("__place", "__left"))
+    return whole.drop("__hash", "__split")
+
+
+def _copies(texts: pa.Array, bags: int, seed: int):
+    """(row, bag, copy, hash) of what a batch's rows draw, as arrays."""
+    for size, rows, own in Texts(texts).groups:
+        first = marks(size, own, [f"{bag}|{seed}".encode() for bag in range(bags)])
+        drawn = np.searchsorted(POISSON_ONE, (first % np.uint64(2**52)) / 2.0**52, side="right")
+        for copy in range(1, int(drawn.max(initial=0)) + 1):
+            bag, row = np.nonzero(drawn >= copy)
+            mark = marks(size, own, [f"{b}|{copy}|{seed}".encode() for b in range(bags)], (bag, row))
+            yield rows[row], bag, np.full(len(row), copy), mark.astype(np.int64)
+
+
+class _Span(NamedTuple):
+    """The hashes from low up to high, in cells of 2^shift."""
+
+    low: int
+    high: int
+    shift: int
+
+
+def _span(low: int, high: int, n: float) -> _Span:
+    """Cells of single hashes where few are expected."""
+    return _Span(low, high, 0 if n <= MOST_HASHES else max(0, (high - low - 1).bit_length() - BUCKET_BITS))
 
 
-def _poisson_one(u):
-    """Inverse of the Poisson(1) distribution function, far enough into the tail for 2^-52."""
+def _bag_cuts(rows: DataFrame, values: list, classes: dict, bags: int, seed: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """By bag and place of the class, of bags with two classes: the hash at which the class ends, how many of that hash's copies are in it, and exist.
+
+    The hash is looked for where even hashes would have it, in one pass; where it
+    is elsewhere, or too many hashes are near, further passes narrow the place down by cells.
+    """
+    spark, least, top = rows.sparkSession, min(classes.values(), default=0), 1 << HASH_BITS
+    spans: dict[tuple[int, int], _Span] = {}
+    for i, value in enumerate(values):
+        # Rows without a label are a class of their own, but of no bag.
+        if value is not None:
+            share, reach = least / classes[value], 6 * math.sqrt(3 / least)
+            low, high = (min(top, max(0, int(share * (1 + side) * top))) for side in (-reach, reach))
+            spans |= {(bag, i): _span(low, high, classes[value] * (high - low) / top) for bag in range(bags)}
+    cuts, sizes = {}, None
+    while spans:
+        with Scratch(spark) as scratch:
+            counts = scratch.stored(_cell_counts(rows, spans, len(values), bags, seed))
+            if sizes is None:
+                totals = {(r.bag, r.place): r.n for r in counts.groupBy("bag", "place").agg(F.sum("n").alias("n")).collect()}
+                own = {bag: [n for (b, _), n in totals.items() if b == bag] for bag, _ in totals}
+                sizes = {at: min(own[at[0]]) for at in totals if at in spans and len(own[at[0]]) == 2}
+                cuts = {at: (top, 0, 0) for at, size in sizes.items() if size == totals[at]}
+                spans = {at: span for at, span in spans.items() if at in sizes and at not in cuts}
+            ends = spark.createDataFrame([(*at, sizes[at]) for at in spans], "bag int, place int, size bigint")
+            running = F.sum("n").over(Window.partitionBy("bag", "place").orderBy("cell"))
+            ended = (
+                counts.join(F.broadcast(ends), ["bag", "place"]).withColumn("upto", running)
+                .filter((F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("n") < F.col("size")))
+            )
+            for r in ended.collect() if spans else []:
+                at = (r.bag, r.place)
+                low, high, shift = spans.pop(at)
+                if r.cell < 0:
+                    spans[at] = _span(0, low, r.n)
+                elif r.cell == top:
+                    spans[at] = _span(high, top, r.n)
+                elif shift:
+                    first = low + (r.cell << shift)
+                    spans[at] = _span(first, min(high, first + (1 << shift)), r.n)
+                else:
+                    cuts[at] = (low + r.cell, r.size - r.upto + r.n, r.n)
+    return cuts
+
+
+def _cell_counts(rows: DataFrame, spans: dict[tuple[int, int], _Span], classes: int, bags: int, seed: int) -> DataFrame:
+    """(bag, place, cell, n): copies by cell of their class's span; -1 and 2^60 are the cells below and above."""
+    top = 1 << HASH_BITS
+    low, high, shift = (np.zeros((bags, classes), np.int64) for _ in range(3))
+    for at, span in spans.items():
+        low[at], high[at], shift[at] = span
+
+    def count(batches):
+        rest = np.zeros((bags, classes, 2), np.int64)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        made = lambda *x: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(x, kinds, strict=True)], ["bag", "place", "cell", "n"])
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            for row, bag, _, mark in _copies(batch.column(1), bags, seed):
+                at = (bag, code[row])
+                inside = (mark >= low[at]) & (mark < high[at])
+                np.add.at(rest, (*(x[~inside] for x in at), (mark >= high[at])[~inside].astype(int)), 1)
+                if inside.any():
+                    b, c = at[0][inside], at[1][inside]
+                    cells, n = np.unique(np.stack([b, c, (mark[inside] - low[b, c]) >> shift[b, c]]), axis=1, return_counts=True)
+                    yield made(*cells, n)
+        found = np.argwhere(rest)
+        if len(found):
+            yield made(found[:, 0], found[:, 1], np.where(found[:, 2] == 0, -1, top), rest[tuple(found.T)])
+
+    counted = rows.mapInArrow(count, "bag int, place int, cell bigint, n bigint")
+    return counted.groupBy("bag", "place", "cell").agg(F.sum("n").alias("n"))
+
+
+def _poisson_one() -> np.ndarray:
+    """The Poisson(1) distribution function, far enough into the tail for 2^-52."""
     steps, term, reached = [], math.exp(-1.0), 0.0
     for count in range(18):
         reached += term
-        steps.append(F.when(u < reached, count))
+        steps.append(reached)
         term /= count + 1
-    return F.coalesce(*steps, F.lit(18))
+    return np.array(steps)
+
+
+POISSON_ONE = _poisson_one()

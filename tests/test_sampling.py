@@ -1,4 +1,8 @@
+import hashlib
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +109,56 @@ def test_smote_needs_neighbours(small):
 def test_hybrid(small):
     found = {r["Y"]: r["weight"] for r in hybrid_resample(small, FEATURES).select("Y", "weight").distinct().collect()}
     assert found == {0: 1.0, 1: 20.0}
+
+
+@pytest.mark.parametrize("most", [sampling.MOST_HASHES, 1])
+def test_bags_equal_brute_force(spark, monkeypatch, most):
+    """Also where a key has many rows, is null, or too many hashes are near to be counted one by one."""
+    monkeypatch.setattr(sampling, "MOST_HASHES", most)
+    keys = [*range(250), *[3] * 60, *[None] * 40]
+    rows = [(k, float(i), int(i % 9 == 1)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "CoilID bigint, X1 double, Y int").repartition(3)
+    found = sampling.balanced_bags(df, bags=6).toPandas()
+
+    def mark(*parts):
+        return int(hashlib.md5("|".join(str(p) for p in (*parts, sampling.SEED) if p is not None).encode()).hexdigest()[:15], 16)
+
+    def copies(u):
+        n, term, reached = 0, math.exp(-1.0), math.exp(-1.0)
+        while u >= reached:
+            n, term = n + 1, term / (n + 1)
+            reached += term
+        return n
+
+    for bag in range(6):
+        drawn = [
+            (mark(k, bag, c), k, c, y) for k, _, y in rows for c in range(1, copies(mark(k, bag) % 2**52 / 2**52) + 1)
+        ]
+        classes = [sorted(d[0] for d in drawn if d[3] == y) for y in (0, 1)]
+        size = min(map(len, classes))
+        for y in (0, 1):
+            own = found[(found.bag == bag) & (found.Y == y)]
+            got = [mark(None if np.isnan(k) else int(k), bag, c) for k, c in zip(own.CoilID, own["copy"], strict=True)]
+            assert sorted(got) == classes[y][:size]
+
+
+def test_bags_hash_in_batches(small):
+    """No MD5 is left to each row and bag, or to each branch that compares it."""
+    plan = sampling.balanced_bags(small, bags=4)._jdf.queryExecution().executedPlan().toString()
+    assert "md5(" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_marks_of_any_length(spark):
+    from procsight.functions.columns import key_mark
+    from procsight.functions.marks import Texts, marks
+
+    texts = [("x" * n + "é" * (n % 3),) for n in (0, 1, 2, 3, 4, 5, 30, 48, 49, 50, 60, 130) for _ in range(2)]
+    df = spark.createDataFrame(texts, "k string")
+    want = df.select(*[key_mark(["k", F.lit(i)], 42).alias(f"m{i}") for i in (3, 11)]).toPandas()
+    column = pa.array([f"{t}|" for t, in texts])
+    for size, rows, own in Texts(column.slice(2)).groups:
+        found = marks(size, own, [b"3|42", b"11|42"])
+        for i, name in enumerate(("m3", "m11")):
+            assert found[i].tolist() == want[name][rows + 2].tolist()
+        pairs = np.array([1, 0]), np.array([0, len(rows) - 1])
+        assert marks(size, own, [b"3|42", b"11|42"], pairs).tolist() == [found[1, 0], found[0, -1]]
