@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 
 from procsight import LABEL
 from procsight.operators.quantiles import SKETCH, exact_quantiles
+from procsight.session import stored
 
 # The shape of a decimal number, and the label names of the class report.
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 LABEL_NAMES = ("NORMAL", "DEFECT")
 SEVERE_RATIO = 10
+# Hashes of 8 bytes that every task may hold.
+FEW_HASHES = 1_000_000
 
 
 def coerce_numeric(df: DataFrame, features: list[str]) -> DataFrame:
@@ -111,8 +114,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     # A hash of the row keys the first aggregate, so that the shuffle carries 8 bytes per row;
     # only rows that share a hash with another row are then compared column by column.
     hashed = df.withColumn("row_hash", F.xxhash64(*df.columns))
-    repeated = hashed.groupBy("row_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
-    groups = hashed.join(repeated.select("row_hash"), "row_hash", "left_semi").groupBy(*df.columns).count()
+    repeated = stored(hashed.groupBy("row_hash").agg(F.count("*").alias("copies")).filter("copies > 1").select("row_hash"))
+    n = repeated.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(0,)], "duplicates bigint")
+    # Where the hashes are known to be few, no other row is shuffled.
+    few = F.broadcast(repeated) if n <= FEW_HASHES else repeated
+    groups = hashed.join(few, "row_hash", "left_semi").groupBy(*df.columns).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
 
 
@@ -142,27 +150,23 @@ def variance_range(df: DataFrame, features: list[str]) -> DataFrame:
 
 def dataset_profile(df: DataFrame, features: list[str], quantile: float = 0.10) -> DataFrame:
     """One row: size, missing cells, duplicates, and the range of the feature variances."""
-    cells = [F.count_if(F.col(c).isNull()) for c in features]
-    missing = cells[0]
-    for cell in cells[1:]:
-        missing = missing + cell
-    shape = df.agg(F.count("*").alias("rows"), missing.alias("missing_cells")).select(
-        "rows",
-        F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        F.lit(len(features)).cast("bigint").alias("features"),
-        "missing_cells",
-    )
-    variances = feature_variances(df, features).agg(
+    spark = df.sparkSession
+    # One scan for all but the duplicates.
+    found = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{i}") for i, c in enumerate(features)],
+        *[F.var_samp(c).alias(f"variance_{i}") for i, c in enumerate(features)],
+    ).first()
+    variances = spark.createDataFrame([(found[f"variance_{i}"],) for i in range(len(features))], "variance double").agg(
         F.min("variance").alias("min_variance"),
         F.max("variance").alias("max_variance"),
         F.percentile("variance", F.lit(quantile)).alias("low_variance_cut"),
     )
-    # Three one-row aggregates with different columns, folded into one row.
-    rows = shape.unionByName(duplicate_count(df), allowMissingColumns=True).unionByName(
-        variances, allowMissingColumns=True
-    )
-    names = shape.columns + ["duplicates"] + variances.columns
-    return rows.agg(*[F.max(c).alias(c) for c in names])
+    missing = sum(found[f"missing_{i}"] for i in range(len(features)))
+    size = (found["rows"], len(df.columns), len(features), missing, duplicate_count(df).first()["duplicates"])
+    shape = spark.createDataFrame([size], "rows bigint, columns bigint, features bigint, missing_cells bigint, duplicates bigint")
+    # Two tables of one row each.
+    return shape.crossJoin(F.broadcast(variances))
 
 
 def class_filter(df: DataFrame, value: int, label: str = LABEL) -> DataFrame:

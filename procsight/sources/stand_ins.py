@@ -3,6 +3,8 @@
 The same definitions exist in SQL in `checks/oracles.py`.
 """
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,27 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+# Rows that a task should get, and those of a table that every task may hold.
+ROWS_PER_TASK, SMALL = 1_000_000, 2_000_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a table that comes in fewer files than there are cores.
 
-    A table of many files is left as it is read.
+    A table of many files, or of more rows than the cores' tasks should get, is left as it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    few = len(df.inputFiles()) < cores and df.count() <= cores * ROWS_PER_TASK
+    return df.repartition(cores, key) if few else df
+
+
+def _met(df: DataFrame, key: str, rows: int, other: DataFrame, other_key: str, other_rows: int) -> DataFrame:
+    """An equi-join in tasks of bounded size, so that they sort in memory; a small `other` is sent to all of them."""
+    on = df[key] == other[other_key]
+    if other_rows <= SMALL:
+        return df.join(F.broadcast(other), on)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_TASK))
+    return df.repartition(parts, key).join(other.repartition(parts, other_key), on)
 
 
 def measurements_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,17 +97,17 @@ def measurements_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The key is the text of (order, line, part, supplier, ship day), unique at any size.
     """
-    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    joined = (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-    )
+    lines, bills, parts, clients, makers = (x.count() for x in (line, orders, part, customer, supplier))
+    # The lines, by far the most rows, meet the orders when these have found their customers: each join deals the lines out anew.
+    bought = _met(orders, "o_custkey", bills, customer, "c_custkey", clients)
+    joined = _met(spread(line, "l_orderkey"), "l_orderkey", lines, bought, "o_orderkey", bills)
+    joined = _met(joined, "l_partkey", lines, part, "p_partkey", parts)
+    joined = _met(joined, "l_suppkey", lines, supplier, "s_suppkey", makers)
     sources = {
         "X1": "l_quantity",
         "X2": "l_extendedprice",

@@ -93,3 +93,33 @@ def test_files(spark, small, tmp_path):
         tables.read_measurements(spark, str(tmp_path / "missing.csv")).count()
     tables.write_reports({"univariate": small}, str(tmp_path / "reports"))
     assert tables.read_reports(spark, str(tmp_path / "reports"), ["univariate"])["univariate"].count() == 300
+
+
+def test_duplicates_are_compared_only_where_hashes_repeat(spark, monkeypatch):
+    """Without repeated hashes no row is joined or shuffled; with few no row but theirs is."""
+    once = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "CoilID bigint, X1 double")
+    found = cleaning.duplicate_count(once)
+    assert found.first()[0] == 0 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    more = once.unionByName(once.filter("CoilID < 7")).unionByName(once.filter("CoilID < 2"))
+    for few in (cleaning.FEW_HASHES, 0):
+        monkeypatch.setattr(cleaning, "FEW_HASHES", few)
+        found = cleaning.duplicate_count(more)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.first()[0] == 9 and ("broadcast" in plan) == (few > 0)
+    profile = cleaning.dataset_profile(more, ["X1"]).first()
+    assert (profile.rows, profile.missing_cells, profile.duplicates) == (59, 0, 9)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, small):
+    """Their shuffles end with the writing; the setting is put back."""
+    from procsight.session import CLEANUP, stored
+
+    before = spark.conf.get(CLEANUP)
+    seen = []
+    write = type(small.write).parquet
+    try:
+        type(small.write).parquet = lambda self, *a, **b: (seen.append(spark.conf.get(CLEANUP)), write(self, *a, **b))[1]
+        assert stored(small.groupBy("Y").count()).count() == 2
+    finally:
+        type(small.write).parquet = write
+    assert seen == ["true"] and spark.conf.get(CLEANUP) == before

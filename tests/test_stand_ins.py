@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from procsight.operators.drift import rolling_std
+from procsight.sources import stand_ins
 from procsight.sources.stand_ins import line_key, table_stream
+from tests.conftest import SF
 
 
 def test_line_keys_stay_apart_at_any_size(spark):
@@ -33,3 +35,16 @@ def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path, files):
     query = table_stream(spark, str(tmp_path), "things").writeStream.format("memory").queryName(f"things{files}")
     query.trigger(availableNow=True).start().awaitTermination()
     assert spark.table(f"things{files}").exceptAll(rows).isEmpty() and spark.table(f"things{files}").count() == 100
+
+
+def test_lines_join_in_small_tasks_after_the_orders_found_their_customers(spark, monkeypatch):
+    want = stand_ins.measurements_lineitem(spark, SF)
+    monkeypatch.setattr(stand_ins, "SMALL", 0)
+    monkeypatch.setattr(stand_ins, "ROWS_PER_TASK", 100)
+    found = stand_ins.measurements_lineitem(spark, SF)
+    assert found.exceptAll(want).isEmpty() and found.count() == want.count()
+    assert found.rdd.getNumPartitions() >= want.count() / 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Each join with a large table deals both sides out; the customers' one deals out the orders instead of the lines.
+    assert plan.count("RepartitionByExpression") == 2 * 4
+    assert any("o_custkey" in x and "c_custkey" in x and "Join" in x for x in plan.splitlines())
