@@ -75,6 +75,16 @@ def kept_lines(spark, sf):
     return stored(lines(spark, sf))
 
 
+def large_lines(columns=None):
+    """`kept_lines` of some columns where the lines are many; few are joined again by each pass, which takes no disk."""
+
+    def rows(spark, sf):
+        df = lines(spark, sf).select(*columns) if columns else lines(spark, sf)
+        return stored(df) if given.table(spark, sf, "lineitem").count() > given.ROWS_PER_TASK else df
+
+    return rows
+
+
 def _on(source, operator, digits=6):
     """A query that applies `operator` to a stand-in table."""
     return lambda spark, sf: tidy(operator(source(spark, sf)), digits)
@@ -313,7 +323,7 @@ def cross_validate(spark, sf):
 
 def oof_predictions(spark, sf):
     spec = models.preset("forest", trees=5, depth=5)
-    return tidy(models.oof_predictions(lines(spark, sf), SCALE, spec, k=FOLDS))
+    return tidy(models.oof_predictions(large_lines()(spark, sf), SCALE, spec, k=FOLDS))
 
 
 def strategy_comparison(spark, sf):
@@ -325,7 +335,7 @@ def strategy_comparison(spark, sf):
 
 
 def feature_importance(spark, sf):
-    df = lines(spark, sf)
+    df = large_lines([*SCALE, LABEL])(spark, sf)
     fitted = [
         models.fit(models.preset("boosted", **TREES), df, SCALE),
         models.fit(models.preset("forest", trees=5, depth=5), df, SCALE),
@@ -383,6 +393,9 @@ def oof_mixed(spark, sf):
 
 def permutation(spark, sf):
     df = given.measurements_documents(spark, sf)
+    if given.table(spark, sf, "documents").count() > given.ROWS_PER_TASK:
+        # Each pass would read all texts for three numbers.
+        df = stored(df)
     fitted = models.fit(models.preset("forest"), df, DOCS)
     return tidy(models.permutation_importance(fitted, df, repeats=10))
 
@@ -648,7 +661,7 @@ def pca_norms(spark, sf):
 
 def bag_balance(spark, sf):
     """Every bag has as many rows of either class."""
-    sizes = sampling.balanced_bags(lines(spark, sf), bags=10).groupBy("bag").agg(
+    sizes = sampling.balanced_bags(stored(lines(spark, sf).select(KEY, LABEL)), bags=10).groupBy("bag").agg(
         F.count_if(F.col(LABEL) == 0).alias("n0"), F.count_if(F.col(LABEL) == 1).alias("n1")
     )
     return tidy(sizes.select("bag", ((F.col("n0") == F.col("n1")) & (F.col("n0") > 0)).alias("balanced")))
@@ -657,7 +670,7 @@ def bag_balance(spark, sf):
 def oof_folds(spark, sf):
     """Every row is scored once, by the model of its fold."""
     spec = models.preset("forest", trees=5, depth=5)
-    scored = models.oof_predictions(lines(spark, sf), SCALE, spec, k=FOLDS)
+    scored = models.oof_predictions(large_lines()(spark, sf), SCALE, spec, k=FOLDS)
     return tidy(scored.groupBy(LABEL, "fold").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("keys")))
 
 
@@ -699,7 +712,7 @@ def registered() -> dict:
         "class_distribution": _on(lines, cleaning.class_distribution),
         "imbalance_ratio": _on(lines, cleaning.imbalance_ratio),
         "dataset_profile": _on(
-            lines, lambda df: cleaning.dataset_profile(df, SCALE).drop("min_variance"), 2
+            kept_lines, lambda df: cleaning.dataset_profile(df, SCALE).drop("min_variance"), 2
         ),
         "duplicate_count": duplicate_count,
         "low_variance_features": _on(embeddings, lambda df: cleaning.low_variance_features(df, WIDE), 9),
@@ -891,7 +904,7 @@ def registered() -> dict:
         ),
         "regime_points": _on(embeddings, lambda df: charts.regime_points(df, WIDE)),
         "regime_point_totals": _on(
-            lines, lambda df: charts.regime_points(df, SCALE).groupBy(LABEL).agg(F.sum("n").alias("n"))
+            large_lines([*SCALE, LABEL]), lambda df: charts.regime_points(df, SCALE).groupBy(LABEL).agg(F.sum("n").alias("n"))
         ),
         "regime_chart": lambda spark, sf: tidy(charts.regime_chart(regimes(spark, sf))),
         "fingerprints": _on(embeddings, lambda df: charts.fingerprints(df, WIDE)),

@@ -22,6 +22,7 @@ from procsight.session import Scratch
 # task's work.
 BUCKET_BITS = 14
 HASH_BITS = 60
+ROWS_PER_TASK = 1_000_000
 # Hashes of one class and bag that are counted one by one.
 MOST_HASHES = 1_000_000
 SEED = 42
@@ -50,11 +51,17 @@ def _bucket_offsets(bucketed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, by: list[str], keys: list[str], name: str = "position", seed: int = SEED
+    df: DataFrame, by: list[str], keys: list[str], name: str = "position", seed: int = SEED, rows: int = 0
 ) -> DataFrame:
-    """Add a 0-based gapless number within each group, in hash order."""
+    """Add a 0-based gapless number within each group, in hash order.
+
+    `rows`, where known, keeps the tasks of a large table small enough to sort in memory.
+    """
     bucketed = _bucketed(df, keys, seed)
     offsets = _bucket_offsets(bucketed, by).select(*by, "__bucket", "__offset")
+    parts = math.ceil(rows / ROWS_PER_TASK)
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        bucketed, offsets = (x.repartition(parts, *by, "__bucket") for x in (bucketed, offsets))
     inside = Window.partitionBy(*by, "__bucket").orderBy("__hash", *keys)
     return (
         bucketed.join(offsets, [*by, "__bucket"])
@@ -64,10 +71,10 @@ def numbered(
 
 
 def stratified_folds(
-    df: DataFrame, label: str = LABEL, key: str = KEY, k: int = 5, seed: int = SEED
+    df: DataFrame, label: str = LABEL, key: str = KEY, k: int = 5, seed: int = SEED, rows: int = 0
 ) -> DataFrame:
     """Add `fold` in 0..k-1; per class the fold sizes differ by at most one."""
-    return numbered(df, [label], [key], "__place", seed).withColumn(
+    return numbered(df, [label], [key], "__place", seed, rows).withColumn(
         "fold", F.pmod("__place", F.lit(k)).cast("int")
     ).drop("__place")
 
@@ -248,7 +255,7 @@ def _cell_counts(rows: DataFrame, spans: dict[tuple[int, int], _Span], classes:
         low[at], high[at], shift[at] = span
 
     def count(batches):
-        rest = np.zeros((bags, classes, 2), np.int64)
+        rest = np.zeros(bags * classes * 2, np.int64)
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
         made = lambda *x: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(x, kinds, strict=True)], ["bag", "place", "cell", "n"])
         for batch in batches:
@@ -256,14 +263,15 @@ def _cell_counts(rows: DataFrame, spans: dict[tuple[int, int], _Span], classes:
             for row, bag, _, mark in _copies(batch.column(1), bags, seed):
                 at = (bag, code[row])
                 inside = (mark >= low[at]) & (mark < high[at])
-                np.add.at(rest, (*(x[~inside] for x in at), (mark >= high[at])[~inside].astype(int)), 1)
+                place = (bag * classes + code[row]) * 2 + (mark >= high[at])
+                rest += np.bincount(place[~inside], minlength=len(rest))
                 if inside.any():
                     b, c = at[0][inside], at[1][inside]
                     cells, n = np.unique(np.stack([b, c, (mark[inside] - low[b, c]) >> shift[b, c]]), axis=1, return_counts=True)
                     yield made(*cells, n)
-        found = np.argwhere(rest)
+        found = np.flatnonzero(rest)
         if len(found):
-            yield made(found[:, 0], found[:, 1], np.where(found[:, 2] == 0, -1, top), rest[tuple(found.T)])
+            yield made(found // (classes * 2), found // 2 % classes, np.where(found % 2 == 0, -1, top), rest[found])
 
     counted = rows.mapInArrow(count, "bag int, place int, cell bigint, n bigint")
     return counted.groupBy("bag", "place", "cell").agg(F.sum("n").alias("n"))
