@@ -48,3 +48,13 @@ def test_lines_join_in_small_tasks_after_the_orders_found_their_customers(spark,
     # Each join with a large table deals both sides out; the customers' one deals out the orders instead of the lines.
     assert plan.count("RepartitionByExpression") == 2 * 4
     assert any("o_custkey" in x and "c_custkey" in x and "Join" in x for x in plan.splitlines())
+
+
+def test_many_lines_are_joined_once(spark, monkeypatch):
+    from checks.queries import large_lines
+
+    few = large_lines(["X1", "Y"])(spark, SF)
+    monkeypatch.setattr(stand_ins, "ROWS_PER_TASK", 1000)
+    many = large_lines(["X1", "Y"])(spark, SF)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (few, many)]
+    assert "Join" in plans[0] and "Join" not in plans[1] and many.exceptAll(few).isEmpty() and many.columns == ["X1", "Y"]
