@@ -101,18 +101,20 @@ def smote(
     few = rows.filter(F.col(label) == minority)
     near = nearest_neighbours(few, features, key, k, rows_per_leaf).select(key, "neighbour", "place")
     share, extra = divmod(short, sizes[minority])
-    dealt = (
+    # What a row's copies can end at, gathered by row, so that copies, up to a table of them, are made after the last shuffle.
+    ends = few.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"__to_{c}") for c in features])
+    targets = near.join(ends, "neighbour").groupBy(key).agg(
+        F.collect_list(F.struct("place", "neighbour", *[f"__to_{c}" for c in features])).alias("__targets")
+    )
+    made = (
         numbered(few, [label], [key], "__place", seed)
         .withColumn("__copies", F.lit(share) + (F.col("__place") < extra).cast("int"))
         .filter(F.col("__copies") > 0)
+        .join(targets, key)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .withColumn("place", (F.pmod(hashed([key, "__copy"], seed + 3), F.lit(k)) + 1).cast("int"))
+        .withColumn("__turn", (F.pmod(hashed([key, "__copy"], seed + 3), F.lit(k)) + 1).cast("int"))
         .withColumn("gap", unit(hashed([key, "__copy"], seed + 4)))
-    )
-    ends = few.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"__to_{c}") for c in features])
-    made = (
-        dealt.join(near, [key, "place"])
-        .join(ends, "neighbour")
+        .select(key, *features, label, "gap", "__copy", F.inline(F.filter("__targets", lambda x: x["place"] == F.col("__turn"))))
         .select(
             F.lit(None).cast(kind).alias(key),
             *[(F.col(c) + F.col("gap") * (F.col(f"__to_{c}") - F.col(c))).alias(c) for c in features],
