@@ -175,7 +175,7 @@ def oof_predictions(
     Resampling happens inside the fold, on its training rows only. `then` may
     rework the scored rows of a fold given the model and its training rows.
     """
-    folded = stored(stratified_folds(df.select(key, *features, label), label, key, k, seed))
+    folded = stored(stratified_folds(df.select(key, *features, label), label, key, k, seed, df.count()))
     scored = []
     for fold in range(k):
         train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
@@ -306,7 +306,8 @@ def permutation_importance(
     """
     names = fitted.features
     used = [names[i] for i in sorted({int(i) for m in fitted.models for i in _SPLIT.findall(m.stages[-1].toDebugString)})]
-    rows = df.select(key, *names, label).withColumn("__all", F.lit(0))
+    # Stored, as every repeat numbers all rows.
+    rows = stored(df.select(key, *names, label)).withColumn("__all", F.lit(0))
     placed = stored(numbered(rows, ["__all"], [key], "__place", seed))
     variants = F.array(
         *[
@@ -323,7 +324,8 @@ def permutation_importance(
         partner = other.select("__place", *[F.col(c).alias(f"__other_{c}") for c in used])
         part = placed.join(partner, "__place").select(key, label, F.lit(repeat).alias("repeat"), F.explode(variants).alias("__v"))
         swapped = part if swapped is None else swapped.unionByName(part)
-    scored = fitted.score(swapped.select(key, label, "repeat", "__v.*"), "probability")
+    # Stored, as ranks take several passes and a pass would score all variants again.
+    scored = stored(fitted.score(swapped.select(key, label, "repeat", "__v.*"), "probability").select("feature", "repeat", label, "probability"))
     whole = roc_auc(fitted.score(rows, "probability"), "probability", label).first()["roc_auc"]
     areas = roc_auc(scored, "probability", label, ["feature", "repeat"])
     found = areas.groupBy("feature").agg(

@@ -162,3 +162,18 @@ def test_marks_of_any_length(spark):
             assert found[i].tolist() == want[name][rows + 2].tolist()
         pairs = np.array([1, 0]), np.array([0, len(rows) - 1])
         assert marks(size, own, [b"3|42", b"11|42"], pairs).tolist() == [found[1, 0], found[0, -1]]
+
+
+def test_many_rows_are_numbered_in_small_tasks(small, monkeypatch):
+    want = sampling.numbered(small, ["Y"], ["CoilID"])
+    monkeypatch.setattr(sampling, "ROWS_PER_TASK", 10)
+    found = sampling.numbered(small, ["Y"], ["CoilID"], rows=300)
+    assert found.exceptAll(want).isEmpty() and found.count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and ", 30" in plan
+
+
+def test_synthetic_rows_are_made_after_the_last_join(small):
+    plan = smote(small, FEATURES)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    copies = next(i for i, line in enumerate(plan) if "Generate explode(sequence(1" in line)
+    assert not any("Join" in line for line in plan[:copies])
