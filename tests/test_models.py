@@ -255,3 +255,11 @@ def test_skipping_ahead_draws_each_pair_alike():
     assert abs(together - 0.07**2).max() < 5 * np.sqrt(0.07**2 / 40_000)
     row, tree = isolation.trees_of(marks[:5], 4, 1.0)
     assert row.tolist() == np.repeat(np.arange(5), 4).tolist() and tree.tolist() == [0, 1, 2, 3] * 5
+
+
+def test_permuted_rows_are_scored_once(small):
+    """Rows and scores are stored: the report's plan neither numbers nor scores anything again."""
+    fitted = models.fit(models.preset("forest", trees=2, depth=3), small.fillna(0.0), ["X1", "X2", "X3"])
+    found = models.permutation_importance(fitted, small.fillna(0.0), repeats=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "UDF(" not in plan and found.count() == 3
